@@ -107,17 +107,17 @@ def set_bits(rows: DataFrame, column: str, bits: int) -> np.ndarray:
 
     Built from partial bitmaps of 2**15 positions; at most 2**(bits - 15) rows of 4 KB reach the driver.
     """
-    at = F.pmod(F.col(column), F.lit(1 << bits))
+    at = F.pmod(F.col(column), F.lit(1 << bits)) + 1  # the bitmap functions count positions from 1
     parts = (
         rows.select(at.alias("at"))
         .groupBy(F.bitmap_bucket_number("at").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
         .collect()
     )
-    out = np.zeros((1 << bits) // 8 + 4096, dtype=np.uint8)
-    for bucket, bitmap in parts:  # bucket b holds positions (b - 1) * 32768 + 1 to b * 32768, position 0 is in bucket 0
+    out = np.zeros(max(1 << bits, 1 << 15) // 8, dtype=np.uint8)
+    for bucket, bitmap in parts:
         raw = np.frombuffer(bytes(bitmap), dtype=np.uint8)
-        start = bucket * 4096
+        start = (bucket - 1) * 4096
         out[start : start + len(raw)] |= raw
     return out
 

@@ -8,7 +8,7 @@ where its documents were read: nothing is shuffled, and a block that is lost is
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -229,3 +229,23 @@ def contamination(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id"
         return step
 
     return map_batches(found, start, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without any benchmark window, filtered where they are read, with all their columns."""
+    at = df.columns.index(text_col)
+    for w in passes(benchmark, item_col, item_text_col):
+        gap = max((len(x) for x in w.windows), default=1)
+
+        def run(batches: Iterator[pa.RecordBatch], w: Windows = w, gap: int = gap) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for begin in range(0, batch.num_rows, BLOCK_ROWS):
+                    part = batch.slice(begin, BLOCK_ROWS)
+                    block = Block([words(t) for t in part.column(at).to_pylist()], w.terms, gap)
+                    hit = np.zeros(part.num_rows, bool)
+                    for window in w.windows:
+                        hit[np.searchsorted(block.starts, block.phrase(window), side="right") - 1] = True
+                    yield part.filter(pa.array(~hit))
+
+        df = df.mapInArrow(run, df.schema)
+    return df
