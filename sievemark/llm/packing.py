@@ -13,34 +13,97 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, mix64
 
-#: Words longer than this are encoded each time; the cache of shorter ones is emptied at CACHE words.
-CACHE, CACHED_LENGTH = 400_000, 48
+#: Words longer than LONG are not kept from one slice of SLICE_ROWS documents to the next; a generation of the cache
+#: ends at CACHE words, and the one before it goes.
+CACHE, LONG, SLICE_ROWS = 400_000, 64, 256
+MARK = "\x01"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int"
 
 
-class Encoder(dict):
+class Encoder:
     """Token ids of texts as little-endian uint32 bytes.
 
     White space ends every piece of the tokenizer's pre-tokenizer and is dropped, so the ids of a text are those of
-    its space-separated words one after the other; repeated words come from this dict.
-    """
+    its space-separated words one after the other. Words seen before come from a cache of two generations.
 
-    def __init__(self, path: str):
-        super().__init__()
-        from tokenizers import Tokenizer
+    New words of Latin letters, digits and ASCII signs are lower-cased and cut here by the tokenizer's own pattern, and
+    their pieces go together to its merges alone. Other words, and special tokens, go through the whole tokenizer.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str, cache: int = CACHE):
+        import json
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = ids
-        return ids
+        import regex
+        from tokenizers import Tokenizer
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split(" ")))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.tokenizer, self.size = Tokenizer.from_str(json.dumps(spec)), cache
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        split, byte_level = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])[:2]
+        end = spec["model"].get("end_of_word_suffix")
+        known = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and byte_level.get("type") == "ByteLevel"
+        self.merges = None
+        if known and end:
+            self.pattern = regex.compile(split["pattern"]["Regex"])
+            self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+            for token, i in spec["model"]["vocab"].items():
+                self.ends[i] = token.endswith(end)
+            self.merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+            # A byte-level vocabulary writes the printable bytes as themselves and the others from U+0100 on.
+            plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+            rest = iter(range(0x100, 0x200))
+            sign = [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+            self.signs = {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0x250 + 0x100) if chr(c) != " "}
+            self.other = regex.compile(r"[^\x20-\x7E\t\n\r\u00A1-\u024F]|<\|")
+
+    def _whole(self, words: list[str]) -> None:
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.now[word] = np.array(found.ids, dtype="<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        if self.merges is None:
+            return self._whole(words)
+        if self.other.search(" ".join(words)):
+            self._whole([w for w in words if self.other.search(w)])
+            words = [w for w in words if not self.other.search(w)]
+        # MARK stands alone between white space, so it is a piece of its own and shows where a word ends.
+        pieces = self.pattern.findall(f"\n{MARK}\n".join([*words, ""]).lower()) if words else []
+        fresh = [p for p in set(pieces) if p not in self.pieces]
+        ids = np.array(self.merges.encode_batch_fast([" ".join(fresh).translate(self.signs)], add_special_tokens=False)[0].ids, dtype="<u4")
+        after = (4 * np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])).tolist()  # where each piece's ids end
+        raw = ids.tobytes()
+        self.pieces.update(zip(fresh, (raw[a:b] for a, b in zip(after, after[1:], strict=False)), strict=True))
+        known, own, at = self.pieces, [], iter(words)
+        for piece in pieces:
+            if piece == MARK:
+                self.now[next(at)] = own[0] if len(own) == 1 else b"".join(own)
+                own = []
+            else:
+                own.append(known[piece])
+        if len(known) > self.size:
+            known.clear()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.split(" ") for t in texts]
+        new, now, old = [], self.now, self.old
+        for word in set().union(*split):
+            if word not in now:
+                if word in old:
+                    now[word] = old[word]
+                else:
+                    new.append(word)
+        if new:
+            self._learn(new)
+        out = [b"".join([now[w] for w in words]) for words in split]
+        for word in new:
+            if len(word) > LONG:
+                del now[word]
+        if len(now) > self.size:
+            self.old, self.now = now, {}
+        return out
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, *, capacity: int, end_id: int, parts: int, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -58,8 +121,9 @@ def token_pieces(df: DataFrame, tokenizer_path: str, *, capacity: int, end_id: i
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             docs, texts = batch.column(0), batch.column(1)
             at, starts, lengths, crcs, totals, ids = [], [], [], [], [], []
-            for i, text in enumerate(texts.to_pylist()):
-                raw = encoder.encode(text) + end if text else end
+            encoded = (raw for part in range(0, batch.num_rows, SLICE_ROWS) for raw in encoder.encode([t or "" for t in texts.slice(part, SLICE_ROWS).to_pylist()]))
+            for i, raw in enumerate(encoded):
+                raw += end
                 for begin in range(0, len(raw), width):
                     piece = raw[begin : begin + width]
                     at.append(i)
