@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +17,9 @@ from .grams import hashed, held_out, labelled_sample, letter_text
 SIZES, BITS = (4, 5, 6), 20
 #: Labelled rows that the classifier is fitted on, about: the fit runs in one task, whose memory this bounds.
 SAMPLE = 12_000
-#: An n-gram counts where this many sampled rows have it and its log-count ratio is at least LEAST_RATIO either way.
-LEAST_ROWS, LEAST_RATIO = 4, 1.0
-SMOOTH, PENALTY, EPOCHS, RATE, SEED = 1.0, 1e-4, 12, 0.2, 3
+#: An n-gram counts where its log-count ratio is this many standard errors and at least LEAST_RATIO, either way.
+LEAST_Z, LEAST_RATIO = 4.0, 0.5
+PENALTY, EPOCHS, RATE, SEED = 1e-4, 12, 0.2, 3
 
 
 def present(text: str | None) -> np.ndarray:
@@ -28,21 +30,22 @@ def present(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate([hashed(points, n, BITS) for n in SIZES]))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
+def log_count_ratio(positive: np.ndarray, negative: np.ndarray, n_positive: int, n_negative: int) -> np.ndarray:
+    """Naive Bayes log-count ratios of presence, smoothed by one; 0 where the ratio is small or uncertain."""
+    p, q = positive + 1.0, negative + 1.0
+    ratio = np.log(p / (n_positive + 2)) - np.log(q / (n_negative + 2))
+    ratio[(np.abs(ratio) < LEAST_Z * np.sqrt(1 / p + 1 / q)) | (np.abs(ratio) < LEAST_RATIO)] = 0
+    return ratio
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
     """(weights, bias): logistic regression by AdaGrad on presence times log-count ratio, the ratio multiplied in."""
-    positive, negative = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for x, label in zip(rows, y, strict=True):
-        (positive if label else negative)[x] += 1
-    p, q = positive + SMOOTH, negative + SMOOTH
-    ratio = np.log((p / p.sum()) / (q / q.sum()))
-    ratio[(positive + negative < LEAST_ROWS) | (np.abs(ratio) < LEAST_RATIO)] = 0
-    rows = [x[ratio[x] != 0] for x in rows]
-    w, bias, grad, grad_bias = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-6), 1e-6
+    w, bias, grad, grad_bias = np.zeros(len(ratio)), 0.0, np.full(len(ratio), 1e-6), 1e-6
     draw = np.random.default_rng(SEED)
     for _ in range(EPOCHS):
         for i in draw.permutation(len(rows)):
             x = rows[i]
-            r = ratio[x] / max(1.0, np.sqrt(len(x)))
+            r = ratio[x]
             error = 1 / (1 + np.exp(-np.clip(r @ w[x] + bias, -30, 30))) - y[i]
             g = error * r + PENALTY * w[x]
             grad[x] += g * g
@@ -52,29 +55,55 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
     return (w * ratio).astype(np.float32), float(bias)
 
 
+def _counts(rows: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    """Per label the rows and how many of them have each n-gram: one array for each task and label is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, found = [0, 0], np.zeros((2, 1 << BITS), np.int64)
+        for batch in batches:
+            for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                n[y > 0] += 1
+                found[int(y > 0), present(text)] += 1
+        if sum(n):
+            yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(n, pa.int64()), pa.array([zlib.compress(f.astype("<i8").tobytes(), 1) for f in found], pa.binary())], names=["y", "n", "counts"])
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(c), "<i8") for c in part["counts"])
+        return pd.DataFrame({"y": [part["y"].iloc[0]], "n": [part["n"].sum()], "counts": [total.tobytes()]})
+
+    got = rows.mapInArrow(run, "y int, n long, counts binary").groupBy("y").applyInPandas(merge, "y int, n long, counts binary").collect()
+    return {r["y"]: (r["n"], np.frombuffer(bytes(r["counts"]), "<i8")) for r in got}
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, sample: int = SAMPLE, **columns: str) -> tuple[np.ndarray, float]:
-    """Fits in one executor task on a bounded sample of labelled rows. Without both classes the weights are zero."""
-    rows = labelled_sample(docs, labels, label, sample, **columns)
+    """Counts by all executors, fits in one task, both on a bounded sample of labelled rows.
+
+    Where one class is missing the weights are zero and the bias says the other; without labelled rows, label 0.
+    """
+    rows = labelled_sample(docs, labels, label, sample, **columns).select("doc_id", "text", "y")
+    counts = _counts(rows)
+    (n0, negative), (n1, positive) = (counts.get(y, (0, np.zeros(1 << BITS, np.int64))) for y in (0, 1))
+    if not n0 or not n1:
+        return np.zeros(1 << BITS, np.float32), 6.0 if n1 else -6.0
+    ratio = log_count_ratio(positive, negative, n1, n0)
+    used = ratio != 0
 
     def features():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [present(t).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "y", "x"])
+            found = [present(t) for t in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[used[x]].astype("<i4").tobytes() for x in found], pa.binary())], names=["doc_id", "y", "x"])
 
         return step
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
-        table = table.sort_by([("doc_id", "ascending"), ("x", "ascending")]) if table.num_rows else table
-        y = table["y"].to_numpy().astype(float) if table.num_rows else np.zeros(0)
-        if 0 < y.sum() < len(y):
-            w, bias = fit([np.frombuffer(x, "<i4").astype(np.int64) for x in table["x"].to_pylist()], y)
-        else:
-            w, bias = np.zeros(1 << BITS, np.float32), (6.0 if y.sum() else -6.0)
-        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], names=["w", "bias"])
+        if table.num_rows:
+            table = table.sort_by([("doc_id", "ascending"), ("x", "ascending")])
+            w, bias = fit([np.frombuffer(x, "<i4").astype(np.int64) for x in table["x"].to_pylist()], table["y"].to_numpy().astype(float), ratio)
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], names=["w", "bias"])
 
-    got = map_batches(rows.select("doc_id", "text", "y"), features, "doc_id long, y int, x binary").repartition(1).mapInArrow(run, "w binary, bias double").collect()
-    return (np.frombuffer(bytes(got[0]["w"]), np.float32), got[0]["bias"]) if got else (np.zeros(1 << BITS, np.float32), -6.0)
+    got = map_batches(rows, features, "doc_id long, y int, x binary").repartition(1).mapInArrow(run, "w binary, bias double").first()
+    return np.frombuffer(bytes(got["w"]), np.float32), got["bias"]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,7 +121,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], *, threshold: float
                 points = letter_text(text) if text else np.zeros(0, np.uint32)
                 x = np.concatenate([hashed(points, n, BITS) for n in SIZES])
                 x = np.unique(x[used[x]])
-                scores.append(1 / (1 + np.exp(-np.clip(float(w[x].sum()) / max(1.0, np.sqrt(len(x))) + bias, -30, 30))))
+                scores.append(1 / (1 + np.exp(-np.clip(float(w[x].sum()) + bias, -30, 30))))
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
         return step
