@@ -131,7 +131,7 @@ WITH k(id, sentence) AS (VALUES {values}),
 t AS (
   SELECT doc_id, 'lines' AS kind, coalesce(text, '') AS text FROM documents
   UNION ALL
-  SELECT doc_id, 'wrapped', array_to_string(list_transform(regexp_split_to_array(coalesce(text, ''), '\n[ \t]*\n'), x -> replace(x, chr(10), ' ')), chr(29)) FROM documents),
+  SELECT doc_id, 'wrapped', array_to_string(list_transform(regexp_split_to_array(coalesce(text, ''), '\n[ \t]*\n'), lambda x: replace(x, chr(10), ' ')), chr(29)) FROM documents),
 p AS (
   SELECT doc_id, kind, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos
   FROM (SELECT doc_id, kind, string_split(replace(regexp_replace(text, '([.!?;:])[ \t\n]+', '\1' || chr(29), 'g'), chr(10), chr(29)), chr(29)) AS parts FROM t)),
@@ -141,7 +141,7 @@ seq AS (
   SELECT t.doc_id, t.kind, coalesce(string_agg('|' || k.id || '|', '' ORDER BY n.pos), '') AS ids, coalesce(string_agg('|' || k.id || '|', '' ORDER BY n.pos), '') AS q0
   FROM (SELECT doc_id, kind FROM t) t LEFT JOIN (n JOIN k ON n.sentence = k.sentence) ON t.doc_id = n.doc_id AND t.kind = n.kind GROUP BY 1, 2),
 {", ".join(steps)},
-f AS (SELECT doc_id, kind, ids, list_filter([{hits}], x -> x IS NOT NULL) AS found FROM {last}),
+f AS (SELECT doc_id, kind, ids, list_filter([{hits}], lambda x: x IS NOT NULL) AS found FROM {last}),
 g AS (SELECT doc_id, list_sort(list_distinct(flatten(list(found)))) AS found, max(ids) FILTER (WHERE kind = 'lines') AS sentence_ids FROM f GROUP BY doc_id)
 SELECT doc_id, array_to_string(found, ',') AS licences, CAST(len(found) AS BIGINT) AS n_licences, sentence_ids FROM g
 """
