@@ -96,8 +96,8 @@ def price_progression(df: DataFrame, lot: str, price: str) -> DataFrame:
             hit = (at < len(rest)) & (rest[np.minimum(at, len(rest) - 1)] == 2 * middle - x)
             if hit.any():
                 y = middle[hit.argmax()]
-                return pd.DataFrame({"lot": [part["lot"].iloc[0]], "first_cents": [x], "middle_cents": [y], "last_cents": [2 * y - x], "gap_cents": [y - x]})
-        return pd.DataFrame({"lot": [], "first_cents": [], "middle_cents": [], "last_cents": [], "gap_cents": []})
+                return pd.DataFrame({"lot": pd.Series([part["lot"].iloc[0]], dtype=object), "first_cents": [x], "middle_cents": [y], "last_cents": [2 * y - x], "gap_cents": [y - x]})
+        return pd.DataFrame({c: pd.Series(dtype=object if c == "lot" else "int64") for c in ("lot", "first_cents", "middle_cents", "last_cents", "gap_cents")})
 
     rows = df.filter(F.col(price).isNotNull()).select(F.col(lot).cast("string").alias("lot"), F.round(F.col(price) * 100).cast("long").alias("cents")).distinct()
     return rows.groupBy("lot").applyInPandas(search, "lot string, first_cents long, middle_cents long, last_cents long, gap_cents long")
