@@ -94,6 +94,12 @@ def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    """The batches as one; None without rows."""
+    parts = [p for p in parts if p.num_rows]
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser over uint64."""
     x = x + GOLDEN

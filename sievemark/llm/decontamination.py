@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import joined, map_batches
 
 #: Fixed value: ASCII that is no word character after lower-casing: \x00-\x2F, \x3A-\x60 and \x7B-\x7F.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -112,7 +112,7 @@ def _search(df: DataFrame, columns: list[str], schema: str, match: Callable[[Blo
                 part = batch.slice(at, BLOCK_ROWS)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 outs.append(match(Block([words(t) for t in texts], terms, gap), part))
-            return pa.Table.from_batches(outs).combine_chunks().to_batches()[0] if outs else None
+            return joined(outs)
 
         return step
 

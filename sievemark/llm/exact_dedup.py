@@ -49,7 +49,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """Every row of ``df`` with keep_id, group_size, kept and text_sha256 of its group of equal texts.
 
     * null text counts as empty; texts are equal when identical, without any normalisation;
-    * the row with the largest ``id_col`` stays (null ids are smallest); of rows that also share the id, exactly one;
+    * the row with the largest ``id_col`` stays (null ids are smallest); of rows that also share the id, exactly one,
+      told by its place in the scan: ``df`` must then be read from a table;
     * columns of ``df`` named like an output column are replaced; others, whatever their names, are carried along;
     * an empty table gives an empty result.
 
@@ -66,8 +67,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     tested = may_repeat(base, twice, "text_sha256", bits)
     single = tested.filter("not __maybe").select("*", F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     maybe = tested.filter("__maybe")
-    groups = maybe.groupBy(F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("group_size"), F.max(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("__best"))
+    same = maybe.groupBy(F.col("text_sha256").alias("__sha"), F.col(id_col).alias("__id")).agg(F.count("*").alias("n"), F.max("__row").alias("row"))
+    groups = same.groupBy("__sha").agg(F.sum("n").alias("group_size"), F.max(F.struct(F.col("__id").alias("id"), "n", "row")).alias("__best"))
+    stays = F.col(id_col).eqNullSafe(F.col("__best.id")) & ((F.col("__best.n") == 1) | (F.col("__best.row") == F.col("__row")))
     # A hot text is split by the skew-join rule; the group's side has one row for each text.
-    joined = maybe.join(groups, F.col("text_sha256") == F.col("__sha")).select("*", F.col("__best.id").alias("keep_id"), (F.col("__best.row") == F.col("__row")).alias("kept"))
+    joined = maybe.join(groups, F.col("text_sha256") == F.col("__sha")).select("*", F.col("__best.id").alias("keep_id"), stays.alias("kept"))
     out = [c for c in base.columns if c not in ("__row", "text_sha256")] + names
     return single.select(out).unionByName(joined.select(out))

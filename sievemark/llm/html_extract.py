@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices
+from .common import joined, map_batches, slices
 
 # HTML elements by their role here.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
@@ -193,7 +193,7 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
             for part in slices(batch, 500):
                 texts = [extract(h).encode("utf-8", "replace").decode() for h in part.column(2).to_pylist()]
                 outs.append(pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]))
-            return pa.Table.from_batches(outs).combine_chunks().to_batches()[0] if outs else None
+            return joined(outs)
 
         return step
 

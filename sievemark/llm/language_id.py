@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices
+from .common import joined, map_batches, slices
 from .grams import hashed, held_out, letter_text
 
 N, BITS, ALPHA = 3, 16, 0.5
@@ -132,7 +132,7 @@ def identify(docs: DataFrame, model: Mixtures, *, id_col: str = "doc_id", text_c
                         names=["doc_id", "held_out", "lang_pred", "score", "langs"],
                     )
                 )
-            return pa.Table.from_batches(outs).combine_chunks().to_batches()[0] if outs else None
+            return joined(outs)
 
         return step
 

@@ -129,9 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", *, sample:
         return step
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows:
-            table = table.sort_by([("doc_id", "ascending"), ("i", "ascending")])
+        batches = list(batches)
+        if batches:
+            table = pa.Table.from_batches(batches).sort_by([("doc_id", "ascending"), ("i", "ascending")])
             texts = [(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(w, "<f4")) for i, w in zip(table["i"].to_pylist(), table["w"].to_pylist(), strict=True)]
             s = fit(texts, table["y"].to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (s.projection, s.vectors, s.labels)] + [pa.array([s.prior])], names=["p", "v", "y", "prior"])

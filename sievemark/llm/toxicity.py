@@ -96,9 +96,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, sample: i
         return step
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows:
-            table = table.sort_by([("doc_id", "ascending"), ("x", "ascending")])
+        batches = list(batches)
+        if batches:
+            table = pa.Table.from_batches(batches).sort_by([("doc_id", "ascending"), ("x", "ascending")])
             w, bias = fit([np.frombuffer(x, "<i4").astype(np.int64) for x in table["x"].to_pylist()], table["y"].to_numpy().astype(float), ratio)
             yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], names=["w", "bias"])
 
