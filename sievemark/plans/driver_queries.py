@@ -79,7 +79,7 @@ def prj_06_normalize_compare_value(spark, sf):
 
 @query(r"SELECT p_partkey, regexp_replace(p_name || '，' || p_brand || '。', '[\s，,。；;：:]', '', 'g') AS value FROM part")
 def prj_07_normalize_clause(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", normalize_clause(F.concat(F.lit("（"[:0]), F.concat(F.lit("12、 "), F.col("p_name"), F.lit("，"), F.col("p_brand"), F.lit("。")))).alias("value"))
+    return table(spark, sf, "part").select("p_partkey", normalize_clause(F.concat(F.lit("12、 "), F.col("p_name"), F.lit("，"), F.col("p_brand"), F.lit("。"))).alias("value"))
 
 
 @query(r"SELECT p_partkey, lower(regexp_replace(p_type, '\s+', '', 'g')) AS value FROM part")
@@ -126,8 +126,6 @@ def flt_18_missing_terms(spark, sf):
 
 QUERIES["chk_16_missing_elements"], ORACLE["chk_16_missing_elements"] = flt_18_missing_terms, ORACLE["flt_18_missing_terms"]
 
-HEAD_RE = r"^([A-Z][^ ]* ){0,2}[^ ]+\.$"
-
 
 @query(f"WITH l AS ({LINES_SQL}) SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE length(trim(raw)) <= 80 AND regexp_matches(trim(raw), '^(第.|[一二三四五六七八九十]+、|[0-9]+[、.．]|[（(][0-9]+[）)])')) AS n_headings FROM l GROUP BY doc_id")
 def flt_06_is_heading(spark, sf):
@@ -172,7 +170,8 @@ def ano_01_collusion_text(spark, sf):
 
 
 QUERIES["ano_01_collusion_text"] = ano_01_collusion_text
-ORACLE["ano_01_collusion_text"] = "SELECT doc_id, CAST(0 AS BIGINT) AS n_snippets FROM documents WHERE " + " OR ".join(f"regexp_matches(text, '(?i){p}')" for p in K.COLLUSION_PATTERNS)
+SNIPPETS_SQL = "flatten([" + ", ".join(f"regexp_extract_all(text, '(?i){p}')" for p in K.COLLUSION_PATTERNS) + "])"
+ORACLE["ano_01_collusion_text"] = f"SELECT doc_id, CAST(least(5, len(list_distinct({SNIPPETS_SQL}))) AS BIGINT) AS n_snippets FROM documents WHERE len({SNIPPETS_SQL}) > 0"
 
 
 @query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), lambda x: lower(x)))), ',') AS emails FROM documents")
