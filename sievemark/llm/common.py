@@ -134,6 +134,15 @@ def has_bits(bitmap: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
+#: Most rows of a small relation (a few numbers a row) that is broadcast to a join; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint where its counted rows allow it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of ``edges`` (src long, dst long); component is the smallest node reachable.
 
@@ -141,12 +150,13 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     shuffle, so a hub with very many neighbours costs one row for each task. Each round is a written table.
     """
     both = scratch.save(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct(), "edges")
+    rows = both.count()
     labels = scratch.save(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("l")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("l").alias("l"))
-        step = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("l", "label")).alias("label"))
+        near = both.join(small(labels.select(F.col("node").alias("dst"), F.col("label").alias("l")), rows), "dst").groupBy(F.col("src").alias("node")).agg(F.min("l").alias("l"))
+        step = labels.join(small(near, rows), "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("l", "label")).alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        step = step.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
+        step = step.join(small(up, rows), "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
         step = scratch.save(step, "labels")
         changed = step.filter("label <> old").limit(1).count()
         labels = step.select("node", "label")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, has_bits, map_batches, mix64, set_bits
+from .common import Scratch, connected_components, has_bits, map_batches, mix64, set_bits, small
 
 WORDS = 5
 #: Positions of the count sketch: 2**22 counters, whatever the corpus. It only orders shingles; results don't depend on it.
@@ -30,45 +30,82 @@ SKETCH_BITS, SKETCH_BLOCKS = 22, 64
 FREQUENT = 16
 SALTS = 16
 CANDIDATE_BITS = 23
-CACHE = 300_000
+#: Texts are hashed together in blocks of about this many bytes.
+BLOCK_BYTES = 1 << 18
+#: Rounds of grouping: each holds every set against another hub; they end when few of the tried pairs link in two of them.
+ROUNDS, LEAST_SHARE, LEAST_YIELD = 10, 0.25, 0.03
+#: Groups of more members than SMALL_GROUP are opened by blocks, smaller ones pair by pair.
+SMALL_GROUP, GROUP_BLOCK, QUERY_BLOCK = 4, 256, 2048
 #: Most ids that are broadcast to take rows out; beyond it the rows are shuffled.
 BROADCAST_IDS = 1_000_000
-#: Fixed value: the multiplier that chains word hashes.
-CHAIN = np.uint64(0x9FB21C651E98DF25)
-
-
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= CACHE:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
+#: The multipliers of byte and word polynomials, odd and so invertible modulo 2**64.
+BASE, CHAIN = np.uint64(0xD1342543DE82EF95), np.uint64(0x9FB21C651E98DF25)
 
 
 class Shingler:
-    """Sorted distinct shingle hashes (uint64) of a text: ``width`` words each, or all words where there are fewer.
+    """Sorted distinct shingle hashes (uint64) of texts: ``width`` words each, or all words where there are fewer.
 
-    Words are what stands between ASCII white space, with A-Z lower-cased.
+    Words are what stands between ASCII white space, with A-Z lower-cased. Texts are hashed together from their UTF-8
+    bytes: a word's hash is a difference of prefix sums of a polynomial, so no word is made a Python object.
     """
 
     def __init__(self, width: int = WORDS):
-        self.width, self.cache = width, _WordHash()
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words))
-        width = min(self.width, len(words))
-        count = len(words) - width + 1
-        acc = np.full(count, np.uint64(width))
-        for j in range(width):
-            acc = acc * CHAIN + h[j : j + count]
-        return np.unique(mix64(acc))
+        self.width = width
+        table = mix64(np.arange(256, dtype=np.uint64) + np.uint64(1))
+        table[65:91] = table[97:123]
+        self.table = table
+        self.white = np.zeros(256, bool)
+        self.white[[9, 10, 11, 12, 13, 32]] = True
+        self._powers(1 << 16)
+
+    def _powers(self, n: int) -> None:
+        base, inverse = int(BASE), pow(int(BASE), -1, 1 << 64)
+        self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, np.uint64(x)))]) for x in (base, inverse))
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        texts = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+        ends, at = offsets[1:], 0  # null texts have no bytes of their own
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, offsets[at] + BLOCK_BYTES, side="right")))
+            out += self._block(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            at = to
+        return out
+
+    def _block(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        n = len(data)
+        if n > len(self.up):
+            self._powers(2 * n)
+        ink = ~self.white[data]
+        edge = np.zeros(n + 1, bool)  # a text ends where the next begins
+        edge[offsets] = True
+        begin, end = ink.copy(), ink.copy()
+        begin[1:] &= ~ink[:-1] | edge[1:n]
+        end[:-1] &= ~ink[1:] | edge[1:n]
+        begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.table[data] * self.up[:n], out=sums[1:])
+        word = mix64((sums[end] - sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
+        bounds = np.searchsorted(begin, offsets).tolist()
+        count = max(0, len(word) - self.width + 1)
+        acc = np.full(count, np.uint64(self.width))
+        for j in range(self.width):
+            acc = acc * CHAIN + word[j : j + count]
+        acc, out = mix64(acc), []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            if b - a >= self.width:
+                s = np.sort(acc[a : b - self.width + 1])
+                out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+            elif b > a:
+                h = np.full(1, np.uint64(b - a))
+                for w in word[a:b]:
+                    h = h * CHAIN + w
+                out.append(mix64(h))
+            else:
+                out.append(np.zeros(0, np.uint64))
+        return out
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -86,8 +123,7 @@ def _scan(df: DataFrame) -> DataFrame:
         names = ["doc_id", "key", "n", "block", "counts"]
         for batch in batches:
             keys, sizes, heads = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingler(text)
+            for s in shingler(batch.column(1)):
                 sizes.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
                 heads.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
@@ -130,8 +166,7 @@ def _postings(docs: DataFrame, frequent: np.ndarray, num: int, den: int) -> Data
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             tokens, keys, sizes, hot = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingler(text)
+            for s in shingler(batch.column(1)):
                 if not len(s) or (key := set_key(s)) in seen:
                     continue
                 seen.add(key)
@@ -178,9 +213,9 @@ def _shared(postings: DataFrame) -> DataFrame:
 POSTING = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("salt", pa.int32())])
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """The links among ``pairs`` (src, dst: set keys), by comparing whole sets."""
-    nodes = scratch.save(pairs.select(F.explode(F.array("src", "dst")).alias("key")).distinct(), "nodes")
+def _sets(docs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, tokens) once for each of ``nodes`` (key), found by a bitmap of fixed size and then exactly."""
+    nodes = small(nodes, nodes.count())
     wanted = set_bits(nodes, "key", CANDIDATE_BITS)
 
     def start():
@@ -188,8 +223,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, scratch: Scratch, num: int, den:
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, sets = [], []
-            for text in batch.column(1).to_pylist():
-                s = shingler(text)
+            for s in shingler(batch.column(1)):
                 if len(s) and (key := set_key(s)) not in seen and has_bits(wanted, np.array([key]), CANDIDATE_BITS)[0]:
                     seen.add(key)
                     keys.append(key)
@@ -198,7 +232,51 @@ def _verify(docs: DataFrame, pairs: DataFrame, scratch: Scratch, num: int, den:
 
         return step
 
-    sets = scratch.save(map_batches(docs, start, "key long, tokens binary").join(nodes, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    return scratch.save(map_batches(docs, start, "key long, tokens binary").join(nodes, "key", "left_semi").dropDuplicates(["key"]), "sets")
+
+
+def _open_groups(docs: DataFrame, opened: DataFrame, groups: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """The links of queries (key) with members of the groups opened for them (other), a block of members at a time.
+
+    groups: key, grp of all members. A block holds about GROUP_BLOCK members and QUERY_BLOCK queries, so no task holds
+    a whole group, and a query's set is sent once for a block instead of once for a member.
+    """
+    load = opened.groupBy("other").agg(F.count("*").alias("asked")).join(groups.groupBy(F.col("grp").alias("other")).agg(F.count("*").alias("held")), "other")
+    load = load.select(F.col("other").alias("grp"), F.ceil(F.col("held") / GROUP_BLOCK).cast("int").alias("mb"), F.ceil(F.col("asked") / QUERY_BLOCK).cast("int").alias("qb"))
+    part = lambda n: F.pmod(F.xxhash64(F.lit(3), "key"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = groups.join(load, "grp").withColumn("m", part("mb")).select("grp", "key", "m", each("qb").alias("q"))
+    queries = opened.withColumnRenamed("other", "grp").join(load, "grp").withColumn("q", part("qb")).select("grp", "key", "q", each("mb").alias("m"))
+    sets = _sets(docs, scratch.save(members.select("key").union(queries.select("key")).distinct(), "nodes"), scratch)
+
+    def compare(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        tokens = [np.frombuffer(t, np.uint64) for t in held["tokens"]]
+        size = np.array([len(t) for t in tokens])
+        stream, owner = np.concatenate([*tokens, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(tokens)), size)
+        order = np.argsort(stream, kind="stable")
+        stream, owner = stream[order], owner[order]
+        keys, src, dst = held["key"].to_numpy(), [], []
+        for key, raw in zip(asked["key"], asked["tokens"], strict=True):
+            x = np.frombuffer(raw, np.uint64)
+            lo, hi = np.searchsorted(stream, x), np.searchsorted(stream, x, side="right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(x) else lo
+            both = np.bincount(owner[at], minlength=len(tokens))
+            hit = np.flatnonzero(den * both >= num * (len(x) + size - both))[:1]  # a group is one component: one link joins
+            dst += keys[hit].tolist()
+            src += [key] * len(hit)
+        return pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
+
+    keyed = [d.join(sets, "key").select("grp", "m", "q", "key", "tokens").toDF(*[f"{side}_{c}" for c in ("grp", "m", "q")], "key", "tokens") for side, d in (("h", members), ("a", queries))]
+    keyed[1] = keyed[1].select(*[F.col(c).alias(c) for c in keyed[1].columns])
+    links = scratch.save(keyed[0].groupBy("h_grp", "h_m", "h_q").cogroup(keyed[1].groupBy("a_grp", "a_m", "a_q")).applyInPandas(compare, "src long, dst long"), "links")
+    scratch.drop(sets)
+    return links
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """The links among ``pairs`` (src, dst: set keys), by comparing whole sets."""
+    sets = _sets(docs, scratch.save(pairs.select(F.col("src").alias("key")).union(pairs.select("dst")).distinct(), "nodes"), scratch)
 
     def compare():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -212,7 +290,9 @@ def _verify(docs: DataFrame, pairs: DataFrame, scratch: Scratch, num: int, den:
 
         return step
 
-    joined = pairs.select("src", "dst").join(sets.select(F.col("key").alias("src"), F.col("tokens").alias("a")), "src").join(sets.select(F.col("key").alias("dst"), F.col("tokens").alias("b")), "dst")
+    # A hub's set meets its pairs while they are small; then each pair goes to its other end, which has few.
+    pairs = pairs.select("src", "dst")
+    joined = small(pairs, pairs.count()).join(sets.select(F.col("key").alias("dst"), F.col("tokens").alias("b")), "dst").join(sets.select(F.col("key").alias("src"), F.col("tokens").alias("a")), "src")
     links = scratch.save(map_batches(joined.select("src", "dst", "a", "b"), compare, "src long, dst long"), "links")
     scratch.drop(sets)
     return links
@@ -250,28 +330,52 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return scratch.keep(out, "components")
 
 
+def _held(shared: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(token, key, n, grp, size) of the tokens that more than one group has; size is the group's."""
+    size = labels.groupBy("component").agg(F.count("*").alias("size"))
+    labels = scratch.save(labels.join(size, "component").withColumnRenamed("node", "key"), "sizes")
+    held = shared.join(small(labels, labels.count()), "key", "left").select("token", "key", "n", "score", F.coalesce("component", "key").alias("grp"), F.coalesce("size", F.lit(1)).alias("size"))
+    several = held.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a <> b").select("token")
+    return scratch.save(held.join(several, "token").select("token", "key", "n", "score", "grp", "size"), "held")
+
+
 def _links(docs: DataFrame, shared: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     ratio = lambda a, b: (F.lit(den) * F.least(a, b) >= F.lit(num) * F.greatest(a, b))
-    # Groups: each set against the most central set of the tokens it has, by the mean frequency of its prefix tokens.
-    central = shared.groupBy("key").agg(F.avg("df").alias("score"))
-    scored = shared.join(central, "key")
-    hubs = scored.groupBy("token").agg(F.max(F.struct("score", "key", "n")).alias("hub"))
-    near = shared.join(hubs, "token").select("key", "n", F.col("hub.key").alias("dst"), F.col("hub.n").alias("m")).filter("key <> dst").filter(ratio(F.col("n"), F.col("m")))
-    best = near.groupBy("key", "dst").count().groupBy("key").agg(F.max(F.struct("count", "dst")).alias("best"))
-    first = scratch.save(best.select(F.col("key").alias("src"), F.col("best.dst").alias("dst")), "pairs")
-    edges = _verify(docs, first, scratch, num, den)
-    labels = connected_components(edges, scratch)
+    shared = scratch.save(shared.join(shared.groupBy("key").agg(F.avg("df").alias("score")), "key"), "scored")
+    held, edges, labels, poor = shared.withColumn("grp", F.col("key")).withColumn("size", F.lit(1)), None, None, 0
+    for r in range(ROUNDS):
+        # Groups: each set against the hub of the tokens it has: of the largest group the most central set, in later
+        # rounds that of a random quarter.
+        drawn = F.lit(r == 0) | (F.pmod(F.xxhash64(F.lit(r), "key"), F.lit(4)) == 0)
+        scored = held.withColumn("score", F.struct("size", drawn.alias("drawn"), "score"))
+        hubs = scored.groupBy("token").agg(F.max(F.struct("score", "key", "n", "grp")).alias("hub"))
+        near = held.join(hubs, "token").filter("grp <> hub.grp").select("key", "n", F.col("hub.key").alias("dst"), F.col("hub.n").alias("m")).filter(ratio(F.col("n"), F.col("m")))
+        best = near.groupBy("key", "n", "dst").count().filter(F.col("count") >= LEAST_SHARE * (F.col("n") - _suffix(F.col("n"), num, den)))
+        best = best.groupBy("key").agg(F.max(F.struct("count", "dst")).alias("best"))
+        pairs = scratch.save(best.select(F.col("key").alias("src"), F.col("best.dst").alias("dst")), "pairs")
+        tried = pairs.count()
+        links = _verify(docs, pairs, scratch, num, den) if tried else pairs
+        found = links.count()
+        if found or edges is None:
+            edges = links if edges is None else scratch.save(edges.union(links), "edges")
+            labels = connected_components(edges, scratch)
+            held = _held(shared, labels, scratch)
+        poor = poor + 1 if found <= LEAST_YIELD * tried else 0
+        if poor == 2 or not found:
+            break
 
     # The token-group matrix, of tokens that more than one group has.
-    held = shared.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("grp", F.coalesce("component", "key")).select("token", "key", "n", "grp")
-    several = held.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a <> b").select("token")
-    held = scratch.save(held.join(several, "token").select("token", "key", "n", "grp"), "held")
-    matrix = held.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnRenamed("grp", "other")
+    matrix = held.groupBy("token", F.col("grp").alias("other"), F.col("size").alias("other_size")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     n, lo, hi = F.col("n"), F.greatest("lo", F.ceil(F.col("n") * num / den)), F.least("hi", F.floor(F.col("n") * den / num))
     most = F.col("c") + F.greatest(_suffix(n, num, den), _suffix(hi, num, den))
-    bound = held.join(matrix, "token").filter("other < grp").filter(lo <= hi).groupBy("key", "n", "other").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    opened = bound.filter(F.lit(num + den) * most >= F.lit(num) * (n + lo)).select("key", "other")
-    opened = scratch.save(opened, "opened")
+    asks = (F.col("size") < F.col("other_size")) | ((F.col("size") == F.col("other_size")) & (F.col("grp") < F.col("other")))  # the smaller group asks
+    bound = held.join(matrix, "token").filter(asks).filter(lo <= hi).groupBy("key", "n", "other", "other_size").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    opened = scratch.save(bound.filter(F.lit(num + den) * most >= F.lit(num) * (n + lo)).select("key", "other", "other_size"), "opened")
+    large = opened.filter(F.col("other_size") > SMALL_GROUP).select("key", "other")
+    if large.limit(1).count():
+        groups = labels.select(F.col("node").alias("key"), F.col("component").alias("grp")).join(large.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi")
+        edges = scratch.save(edges.union(_open_groups(docs, large, groups, scratch, num, den)), "edges")
+    opened = opened.filter(F.col("other_size") <= SMALL_GROUP).select("key", "other")
 
     # Members of opened groups that share a prefix token with the set, by the same bound for the pair.
     probe = held.join(opened, "key").select("token", F.col("key").alias("src"), "n", F.col("other").alias("grp"))
