@@ -16,6 +16,7 @@ from .common import joined, map_batches, slices
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("applet audio button canvas datalist dialog embed footer form head iframe map math menu nav noframes noscript object script select style svg template textarea title video aside".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div td th center body".split())
 # Words of class and id names, and roles, that mark what is not the article.
 HINTS = frozenset("ad ads adsense adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar footer header masthead topbar toolbar pagination pager share sharing social comment comments disqus respond replies reply related recommended recommendations trending widget widgets hidden copyright".split())
@@ -25,6 +26,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 _NAME = re.compile(r"[A-Za-z][a-z]*")
 
 SIGMA = 1.0
+#: Lines that the smoothing reaches to either side.
+REACH = int(3 * SIGMA)
 
 
 class _Line:
@@ -44,7 +47,8 @@ class LineParser(HTMLParser):
         self.stack: list[tuple[str, int]] = [("", 0)]  # open containers: element and number
         self.marks: list[tuple[str, int]] = []  # open article and main elements, and the first line of each
         self.count = 0
-        self.skip, self.skip_tag, self.links = 0, "", 0
+        self.skip, self.skip_tag, self.heading = 0, "", ""
+        self.link: list[tuple[_Line, int]] | None = None  # characters in the open link; they count once it is closed
         self.line: _Line | None = None
 
     def _break(self) -> None:
@@ -97,8 +101,12 @@ class LineParser(HTMLParser):
             self.line.tags += 1
             if tag in ("br", "td", "th", "img"):
                 self.line.parts.append(" ")
+        if tag in HEADINGS:
+            self.heading = tag
         if tag == "a":
-            self.links += 1
+            href = dict(attrs).get("href")
+            own = href is None or self.heading == "h1" or (self.heading and href.startswith("#"))  # a title's link, or an anchor
+            self.link = None if own else []
         if tag in CONTAINERS:
             self.count += 1
             self.stack.append((tag, self.count))
@@ -116,8 +124,12 @@ class LineParser(HTMLParser):
             self._break()
         elif self.line is not None:
             self.line.tags += 1
+        if tag in HEADINGS:
+            self.heading = ""
         if tag == "a":
-            self.links = max(0, self.links - 1)
+            for line, n in self.link or ():
+                line.link += n
+            self.link = None
         if tag in CONTAINERS and any(t == tag for t, _ in self.stack):
             while self.stack[-1][0] != tag:
                 self._close(*self.stack.pop())
@@ -134,34 +146,58 @@ class LineParser(HTMLParser):
             return
         line = self._open()
         line.parts.append(data)
-        if self.links:
-            line.link += len(data)
+        if self.link is not None:
+            self.link.append((line, len(" ".join(data.split()))))
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
-    reach = int(3 * SIGMA)
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
-    return np.convolve(np.pad(x, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
+    kernel = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
+    return np.convolve(np.pad(x, REACH, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def content_containers(lines: list[tuple[str, int, int, int]]) -> set[int]:
-    """Numbers of the containers whose text is mostly in content regions.
+def content_lines(lines: list[tuple[str, int, int, int, int]]) -> list[bool]:
+    """Whether each line belongs to the main text.
 
-    lines: text, tags, characters in links, container. A line's ratio is its characters outside links for each tag;
-    lines whose smoothed ratio passes the standard deviation of all form the content regions.
+    lines: text, tags, characters in links, container, landmark. A line's ratio is its characters outside links for each
+    tag; lines whose smoothed ratio passes the standard deviation of all are content. Lines mostly of links are not.
+    A line below the threshold goes by the content around it: it stays if the nearest content before or after it is of
+    its own container, if content is near on both sides, or if its landmark (article, main) has content.
     """
-    ratio = np.array([max(0, len(t) - link) / max(1, tags) for t, tags, link, _ in lines], float)
+    ratio = np.array([max(0, len(t) - link) / max(1, tags) for t, tags, link, *_ in lines], float)
     smooth = _smooth(ratio)
-    content = smooth >= smooth.std()
-    total: dict[int, int] = {}
-    inside: dict[int, int] = {}
-    for (t, _, link, c), ok in zip(lines, content.tolist(), strict=True):
+    linked = [2 * link > len(t) for t, _, link, *_ in lines]
+    content = [ok and not out for ok, out in zip((smooth >= smooth.std()).tolist(), linked, strict=True)]
+    if not any(content):  # a page of links: the container with the most text
+        total: dict[int, int] = {}
+        for t, _, _, c, _ in lines:
+            total[c] = total.get(c, 0) + len(t)
+        most = max(total, key=lambda c: total[c])
+        return [x[3] == most for x in lines]
+    last: list[int | None] = []
+    at = None
+    for i, ok in enumerate(content):
+        at = i if ok else at
+        last.append(at)
+    following: list[int | None] = [None] * len(lines)
+    at = None
+    for i in range(len(lines) - 1, -1, -1):
+        at = i if content[i] else at
+        following[i] = at
+    landmarks = {x[4] for x, ok in zip(lines, content, strict=True) if ok and x[4]}
+    keep = []
+    for i, (_, _, _, container, landmark) in enumerate(lines):
+        before, after = last[i], following[i]
+        own = any(k is not None and lines[k][3] == container for k in (before, after))
+        between = before is not None and after is not None and i - before <= REACH and after - i <= REACH
+        keep.append(not linked[i] and (content[i] or own or between or landmark in landmarks))
+    total, inside = {}, {}
+    for (t, _, _, c, _), ok in zip(lines, content, strict=True):
         total[c] = total.get(c, 0) + len(t)
-        inside[c] = inside.get(c, 0) + (len(t) if ok and 2 * link <= len(t) else 0)
+        inside[c] = inside.get(c, 0) + (len(t) if ok else 0)
     chosen = {c for c in total if 2 * inside[c] >= total[c]}
     # Regions as large as the largest, or at least a tenth of it, are the article; slighter ones are asides.
     most = max((inside[c] for c in chosen), default=0)
-    return {c for c in chosen if 10 * inside[c] >= most} or ({max(total, key=lambda c: total[c])} if total else set())
+    return [ok and (x[4] > 0 or (x[3] in chosen and 10 * inside[x[3]] >= most)) for x, ok in zip(lines, keep, strict=True)]
 
 
 def extract(html: str | None) -> str:
@@ -173,11 +209,8 @@ def extract(html: str | None) -> str:
     parser.close()
     lines = [(" ".join("".join(x.parts).split()), x.tags, x.link, x.container, x.landmark) for x in parser.lines]
     lines = [x for x in lines if x[0]]
-    marked = [x for x in lines if x[4]]
-    if marked:
-        return "\n".join(x[0] for x in marked)
-    chosen = content_containers([x[:4] for x in lines]) if lines else set()
-    return "\n".join(x[0] for x in lines if x[3] in chosen)
+    keep = content_lines(lines) if lines else []
+    return "\n".join(x[0] for x, ok in zip(lines, keep, strict=True) if ok)
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
