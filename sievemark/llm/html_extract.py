@@ -190,14 +190,7 @@ def content_lines(lines: list[tuple[str, int, int, int, int]]) -> list[bool]:
         own = any(k is not None and lines[k][3] == container for k in (before, after))
         between = before is not None and after is not None and i - before <= REACH and after - i <= REACH
         keep.append(not linked[i] and (content[i] or own or between or landmark in landmarks))
-    total, inside = {}, {}
-    for (t, _, _, c, _), ok in zip(lines, content, strict=True):
-        total[c] = total.get(c, 0) + len(t)
-        inside[c] = inside.get(c, 0) + (len(t) if ok else 0)
-    chosen = {c for c in total if 2 * inside[c] >= total[c]}
-    # Regions as large as the largest, or at least a tenth of it, are the article; slighter ones are asides.
-    most = max((inside[c] for c in chosen), default=0)
-    return [ok and (x[4] > 0 or (x[3] in chosen and 10 * inside[x[3]] >= most)) for x, ok in zip(lines, keep, strict=True)]
+    return keep
 
 
 def extract(html: str | None) -> str:

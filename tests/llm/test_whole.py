@@ -13,3 +13,9 @@ def test_html_clusters_pages_with_landmarks():
     page = f"<body><article><h1><a href='/t'>Title</a></h1><p>{story}</p><div><a href='/x'>Buy cheap shoes</a></div><p>Short.</p><p>{more}</p>{links}</article><div>{outside}</div></body>"
     assert html_extract.extract(page) == "\n".join(["Title", story, "Short.", more, outside])
     assert html_extract.extract(f"<article><p><a href='/x'>never closed<p>{story}</article>") == f"never closed\n{story}"
+
+
+def test_html_keeps_slight_regions():
+    intro, main, end = words("intro", 33), words("main", 100), words("end", 33)
+    page = f"<body><section><p>{intro}</p></section><section>{f'<p>{main}</p>' * 5}</section><section><p>{end}</p></section></body>"
+    assert html_extract.extract(page) == "\n".join([intro, *[main] * 5, end])
