@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, map_batches
+from .common import Scratch, joined, map_batches
 
 #: Fixed value: ASCII that is no word character after lower-casing: \x00-\x2F, \x3A-\x60 and \x7B-\x7F.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -191,11 +191,15 @@ def contamination(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id"
     """Per row of ``df``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     n_hit counts words inside any occurrence of a benchmark window (WINDOW consecutive words of an item; all words of
-    a shorter one). Items with the same text all count; null or empty items occur nowhere; with an empty benchmark no
-    row is contaminated. Rows keep apart even with equal ids while the benchmark takes one pass; with more passes
-    their positions meet by id and word count. Other columns aren't read.
+    a shorter one). Items with the same text all count, an item id counts once; null or empty items occur nowhere; with
+    an empty benchmark no row is contaminated. Rows keep apart even with equal or null ids: with several passes they
+    are numbered in a written table, and the passes meet by that number. Other columns aren't read.
     """
     sets = passes(benchmark, item_col, item_text_col)
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    key = "doc_id"
+    if len(sets) > 1:
+        rows, key = Scratch(df.sparkSession).keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows"), "row"
     found = None
     for w in sets:
         names = [str(i) for i in w.items]
@@ -210,10 +214,11 @@ def contamination(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id"
 
             return map_batches(rows, start, "doc_id long, n_words long, hits binary, items array<string>")
 
-        part = finish(find_windows(df, w, id_col, text_col))
-        found = part if found is None else found.unionByName(part)
-    if len(sets) > 1:  # at most one row for each document and pass; hits may overlap
-        found = found.groupBy("doc_id", "n_words").agg(F.collect_list("hits").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        part = finish(find_windows(rows, w, key, "text"))
+        found = part if found is None else found.unionByName(part.filter(F.length("hits") > 0))
+    if len(sets) > 1:  # every row once from the first pass, and from others where they hit; hits may overlap
+        found = found.withColumnRenamed("doc_id", "row").groupBy("row", "n_words").agg(F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+        found = found.join(rows.select("row", "doc_id"), "row").select("doc_id", "n_words", "hits", "items")
     else:
         found = found.withColumn("hits", F.array("hits"))
 
@@ -222,8 +227,9 @@ def contamination(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id"
             n_hit, n_items, digests = [], [], []
             for hits, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 n_hit.append(len(hits[0]) // 8 if len(hits) == 1 else len(np.unique(np.frombuffer(b"".join(hits), "<i8"))))
-                n_items.append(len(items))
-                digests.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
+                held = sorted(set(items))
+                n_items.append(len(held))
+                digests.append(hashlib.sha256(",".join(held).encode()).hexdigest())
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests), pa.array([h > 0 for h in n_hit])], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
         return step

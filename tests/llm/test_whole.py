@@ -1,5 +1,8 @@
 """Training-data operators on inputs where a shortcut would lose part of the job."""
 
+import hashlib
+
+from sievemark.llm import decontamination as D
 from sievemark.llm import html_extract
 
 
@@ -19,3 +22,17 @@ def test_html_keeps_slight_regions():
     intro, main, end = words("intro", 33), words("main", 100), words("end", 33)
     page = f"<body><section><p>{intro}</p></section><section>{f'<p>{main}</p>' * 5}</section><section><p>{end}</p></section></body>"
     assert html_extract.extract(page) == "\n".join([intro, *[main] * 5, end])
+
+
+def test_decontamination_passes_keep_rows_apart(spark, monkeypatch):
+    items = [(i, f"k{i} a b c d e f g h i") for i in (0, 1, 2, 2)]  # item 2 is there twice
+    hit = {i: text for i, text in items}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    ids, texts = [7, 7, None, None, 7, 8], [hit[0], "x " * 10, hit[1], "y " * 10, hit[2], f"{hit[0]} {hit[2]}"]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    held = [["0"], [], ["1"], [], ["2"], ["0", "2"]]
+    want = [(d, 10 * max(1, len(h)), 10 * len(h), len(h), hashlib.sha256(",".join(h).encode()).hexdigest(), bool(h)) for d, h in zip(ids, held, strict=True)]
+    assert sorted(map(tuple, D.contamination(docs, bench).collect()), key=str) == sorted(want, key=str)
+    real = D.passes
+    monkeypatch.setattr(D, "passes", lambda b, i, t: real(b, i, t, most=10))
+    assert sorted(map(tuple, D.contamination(docs, bench).collect()), key=str) == sorted(want, key=str)
