@@ -15,8 +15,8 @@ from .common import joined, map_batches, slices
 from .grams import hashed, held_out, letter_text
 
 N, BITS, ALPHA = 3, 16, 0.5
-#: EM rounds for each set of languages; most languages in a set.
-ROUNDS, MOST = 12, 3
+#: EM rounds for each set of languages.
+ROUNDS = 12
 #: What a further language must add to the log-likelihood, for each log of the number of n-grams.
 PENALTY = 6.0
 BLOCK_ROWS = 256
@@ -86,22 +86,35 @@ class Mixtures:
         starts = np.searchsorted(doc, np.arange(len(full)))
         totals = np.add.reduceat(n, starts)
         count = len(self.langs)
-        weights, _ = self._em(p, n, starts, doc, totals, np.full((len(full), count), 1 / count, np.float32))
+        weights, ll = self._em(p, n, starts, doc, totals, np.full((len(full), count), 1 / count, np.float32))
+        # No mixture is likelier than this: by Jensen's inequality, the optimum is at most totals * log(largest gradient)
+        # above any weights. The slack is for sums of float32.
+        gradient = np.add.reduceat(p * (n / np.maximum((p * weights[doc]).sum(axis=1), 1e-30))[:, None], starts, axis=0) / totals[:, None]
+        bound = ll + totals * np.log(np.maximum(gradient.max(axis=1), 1)) + 1e-5 * np.abs(ll) + 1e-3
         single = np.add.reduceat(n[:, None] * np.log(p), starts, axis=0)
         order = np.argsort(-weights, axis=1, kind="stable")
         # The first set is the single likeliest language; the others grow by the full mixture's weights.
         first = single.argmax(axis=1)
         for r in range(len(full)):
             order[r] = [first[r], *(x for x in order[r] if x != first[r])]
-        best, value = [np.ones((len(full), 1), np.float32)], [single[np.arange(len(full)), first]]
-        for k in range(2, min(MOST, count) + 1):
-            part = np.take_along_axis(p, order[doc, :k], axis=1)
-            w, ll = self._em(part, n, starts, doc, totals, np.full((len(full), k), 1 / k, np.float32))
-            best.append(w)
-            value.append(ll - (k - 1) * PENALTY * np.log1p(totals))
-        chosen = np.argmax(np.array(value), axis=0)
+        best, value = [np.ones(1, np.float32)] * len(full), single[np.arange(len(full)), first]
+        cost = PENALTY * np.log1p(totals)
+        for k in range(2, count + 1):
+            # Only documents for which a set of k or more can still be the best; up to all languages learned.
+            rows = np.flatnonzero(bound - (k - 1) * cost > value)
+            if not len(rows):
+                break
+            size = np.diff(starts, append=len(doc))[rows]
+            begin = np.cumsum(size) - size
+            own = np.repeat(np.arange(len(rows)), size)
+            at = np.arange(len(own)) + (starts[rows] - begin)[own]
+            part = np.take_along_axis(p[at], order[rows][own, :k], axis=1)
+            w, ll = self._em(part, n[at], begin, own, totals[rows], np.full((len(rows), k), 1 / k, np.float32))
+            ll = ll - (k - 1) * cost[rows]
+            for j in np.flatnonzero(ll > value[rows]).tolist():
+                best[rows[j]], value[rows[j]] = w[j], ll[j]
         for r, i in enumerate(full):
-            w = best[chosen[r]][r]
+            w = best[r]
             pairs = sorted(zip((self.langs[x] for x in order[r, : len(w)]), w.tolist(), strict=True), key=lambda x: (-x[1], x[0]))
             out[i] = [(lang, min(1.0, max(0.0, float(s)))) for lang, s in pairs]
         return out

@@ -3,7 +3,7 @@
 import hashlib
 
 from sievemark.llm import decontamination as D
-from sievemark.llm import html_extract
+from sievemark.llm import html_extract, language_id
 
 
 def words(word, n):
@@ -36,3 +36,16 @@ def test_decontamination_passes_keep_rows_apart(spark, monkeypatch):
     real = D.passes
     monkeypatch.setattr(D, "passes", lambda b, i, t: real(b, i, t, most=10))
     assert sorted(map(tuple, D.contamination(docs, bench).collect()), key=str) == sorted(want, key=str)
+
+
+def test_language_sets_of_any_size(spark):
+    letters = {"aa": "abc", "bb": "def", "cc": "ghi", "dd": "jkl", "ee": "mno"}
+    rows = [(i, " ".join(f"{x[i % 3]}{x[1]}{x[0]}{x[2]}" for _ in range(30)), lang) for i, (lang, x) in enumerate(list(letters.items()) * 30)]
+    model = language_id.Mixtures(language_id.gram_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    one = {lang: next(t for _, t, x in rows if x == lang) for lang in letters}
+    mixed = spark.createDataFrame([(1, " ".join(one.values())), (2, " ".join(one[x] for x in ("aa", "bb", "cc", "dd", "dd"))), (3, one["ee"])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_id.identify(mixed, model).collect()}
+    assert set(got[1]["langs"]) == set(letters) and abs(got[1]["score"] - 0.2) < 0.03
+    assert set(got[2]["langs"]) == {"aa", "bb", "cc", "dd"} and abs(got[2]["score"] - 0.4) < 0.03
+    assert set(got[3]["langs"]) == {"ee"}
+    assert {r["doc_id"] for r in language_id.keep_identified(mixed, model).collect()} == {3}
