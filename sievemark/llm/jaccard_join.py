@@ -309,8 +309,9 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component_id is the smallest id reachable by links, the row's own included. Null and empty texts, and those
     without words, have no shingles and link with nothing. Equal sets are linked; copies are not expanded into pairs.
     Repeated rows give repeated results; a null id reaches others but is never the smallest. Other columns are not
-    read. An empty table gives no rows. No link is lost: the sketch and the groups only choose the order of work.
-    Shingles and sets are told apart by 64-bit hashes.
+    read. An empty table gives no rows. Only components are computed, and they are those of all links: links inside a
+    component that is already joined are neither counted nor returned. The sketch and the groups only choose the order
+    of work. Shingles and sets are told apart by 64-bit hashes.
     """
     spark: SparkSession = df.sparkSession
     with Scratch(spark) as scratch:
