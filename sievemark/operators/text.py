@@ -47,9 +47,11 @@ def islands(df: DataFrame, keys: list[str], order: str, opens: Column, out: str
     return df.withColumn(out, F.sum(opens.cast("int")).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def sections(docs: DataFrame, doc: str, text: str, limit: int = 200) -> DataFrame:
+def sections(docs: DataFrame, doc: str, text: str, limit: int | None = 200) -> DataFrame:
     """(doc, section_no, title, level, line_start, content): text cut at its headings, at most ``limit`` for a document.
 
+    Without a limit all sections come.
+
     What stands before the first heading is 文档正文 and only comes where it has text.
     """
     rows = docs.select(F.col(doc).alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "raw")).select("doc", "pos", strip("raw").alias("line"))
@@ -57,7 +59,9 @@ def sections(docs: DataFrame, doc: str, text: str, limit: int = 200) -> DataFram
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head") & (F.col("line") != ""), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
     out = rows.groupBy("doc", "island").agg(F.max(F.when(F.col("head"), F.col("line"))).alias("h"), (F.min("pos") + 1).alias("line_start"), body.alias("content"))
     out = out.filter("h IS NOT NULL OR content <> ''").withColumn("title", F.coalesce("h", F.lit("文档正文")))
-    out = out.withColumn("section_no", F.row_number().over(Window.partitionBy("doc").orderBy("island"))).filter(F.col("section_no") <= limit)
+    out = out.withColumn("section_no", F.row_number().over(Window.partitionBy("doc").orderBy("island")))
+    if limit is not None:
+        out = out.filter(F.col("section_no") <= limit)
     return out.select("doc", "section_no", "title", F.when(F.col("h").isNull(), 1).otherwise(heading_level("title")).alias("level"), "line_start", "content")
 
 
@@ -175,6 +179,13 @@ def coverage_candidates(docs: DataFrame, doc: str, text: str, limit: int = 20) -
     return firsts.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("pos"))).filter(F.col("n") <= limit).drop("n")
 
 
+def uncovered(candidates: DataFrame, returned: DataFrame, evidence: str = "evidence") -> DataFrame:
+    """The candidates whose evidence neither holds nor is held by any returned evidence; blank ones cover nothing."""
+    held = returned.select(normalize_clause(evidence).alias("__held")).filter("__held <> ''").distinct()
+    rows = candidates.withColumn("__own", normalize_clause(evidence))
+    return rows.join(F.broadcast(held), F.contains("__own", "__held") | F.contains("__held", "__own"), "left_anti").drop("__own")
+
+
 def clause_group(text: str | Column) -> Column:
     hits = [count_hits(text, words) for _, words in K.CLAUSE_GROUPS]
     best = F.greatest(*hits)

@@ -193,6 +193,11 @@ def ext_01_sections(spark, sf):
     return rows.groupBy("conv_id", "island").agg(F.min("turn").alias("first_turn"), F.count("*").alias("n_turns"), F.sum(F.length("text")).alias("n_chars"))
 
 
+@query()
+def ext_01b_document_sections(spark, sf):
+    return text.sections(docs(spark, sf), "doc_id", "text", limit=None)
+
+
 QUERIES["win_08_islands"], ORACLE["win_08_islands"] = ext_01_sections, ORACLE["ext_01_sections"]
 
 CHUNK_SQL = r"""WITH b AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM documents),

@@ -20,6 +20,8 @@ CLAUSES = ("id int, line string", [
     (1, "投标人注册地址必须在本市，否则不得参加投标。"), (2, "须提供指定品牌的服务器，其他品牌不得分。"), (3, "方案优秀得 10 分，一般得 5 分。"), (4, "招标人有权调整中标候选人，无需说明理由。"), (5, "供应商注册资本不低于 500 万元。"),
     (6, "不得设置注册资本限制，成立满3年。"), (7, "短"), (8, "本项目注册资本金由项目公司承担，成立满1年。"), (9, "供货产品的技术参数应兼容现有系统。"), (10, "今天天气很好，宜外出。"),
 ])
+# Evidence of returned findings: a part of clause 1, and more than clause 3.
+RETURNED = ("evidence string", [("注册地址必须在本市",), ("评分标准：方案优秀得 10 分，一般得 5 分。以上为主观分",), ("",), (None,)])
 VALUES = ("id int, field string, value string", [
     (1, "tenderer", "____"), (2, "tenderer", "待填写"), (3, "tenderer", "某市财政局"), (4, "tenderer", "是指依法进行政府采购的单位"), (5, "budget", "120万元"), (6, "budget", "人民币1,200.50元"), (7, "budget", "1.5亿元整"), (8, "budget", "（   ）万元"), (9, "name", "乙（集团）有限公司"), (10, "name", "1. 评分细则公司"), (11, "name", "某大学"), (12, "budget", ""),
 ])
@@ -93,7 +95,14 @@ add("flt_12_coverage_candidates", CLAUSES, COVER, f"SELECT id, {CATEGORY_SQL} AS
 HITS = {g: " + ".join(f"CAST(contains(line, '{w}') AS INTEGER)" for w in words) for g, words in K.CLAUSE_GROUPS}
 GROUP_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(line, '{w}')" for w in words) + f" THEN '{g}'" for words, g in K.CLAUSE_OVERRIDES) + f" WHEN greatest({', '.join(HITS.values())}) = 0 THEN 'procedure' " + " ".join(f"WHEN {h} = greatest({', '.join(HITS.values())}) THEN '{g}'" for g, h in HITS.items()) + " END"
 add("flt_21_batch_classifier", CLAUSES, lambda d: d.select("id", text.clause_group("line").alias("grp")), f"SELECT id, {GROUP_SQL} AS grp FROM t")
-add("chk_15_coverage_gap", CLAUSES, lambda d: COVER(d).filter("id NOT IN (1, 3)"), f"SELECT id, {CATEGORY_SQL} AS category FROM t WHERE {CATEGORY_SQL} <> '' AND NOT {NON_OP_SQL} AND id NOT IN (1, 3)")
+
+
+def coverage_gap(d: DataFrame) -> DataFrame:
+    left = text.uncovered(text.coverage_candidates(d, "id", "line"), frame(d.sparkSession, RETURNED))
+    return left.select(F.col("doc").alias("id"), "category")
+
+
+add("chk_15_coverage_gap", CLAUSES, coverage_gap, f"SELECT id, {CATEGORY_SQL} AS category FROM t WHERE {CATEGORY_SQL} <> '' AND NOT {NON_OP_SQL} AND id NOT IN (1, 3)")
 
 PLACE_SQL = f"(c = '' OR regexp_matches(c, '^[_＿—\\-/.（）()\\[\\]【】]+(万元|元)?$') OR regexp_matches(c, '[_＿]{{2,}}') OR lower(c) IN ({', '.join(repr(w) for w in K.NULL_WORDS)}))"
 COMPACT = "(SELECT *, regexp_replace(value, '\\s+', '', 'g') AS c FROM t)"
