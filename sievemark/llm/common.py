@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -108,6 +109,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def sum_arrays(parts: DataFrame, keys: dict[str, str], spread: int = 64) -> DataFrame:
+    """(keys, counts): sums of arrays that tasks sent as rows (keys, task, counts), zlib over little-endian int64.
+
+    Summed in two levels, first among the tasks of one of ``spread`` residues, then all. A task adds up rows as they
+    come and holds one array for each key it was dealt, however many tasks sent one.
+    """
+    names = list(keys)
+    schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + ", task int, counts binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, tuple] = {}
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+                own = np.frombuffer(zlib.decompress(row[-1]), "<i8")
+                task, held = sums.get(row[:-2], (row[-2], None))
+                if held is None:
+                    held = own.copy()
+                else:
+                    held += own
+                sums[row[:-2]] = (min(task, row[-2]), held)
+        for key, (task, held) in sums.items():
+            yield pa.RecordBatch.from_pylist([dict(zip(names, key, strict=True)) | {"task": task, "counts": zlib.compress(held.tobytes(), 1)}], schema=to_arrow)
+
+    to_arrow = pa.schema([(k, {"int": pa.int32(), "string": pa.string()}[t]) for k, t in keys.items()] + [("task", pa.int32()), ("counts", pa.binary())])
+    rows = parts.select(*names, "task", "counts")
+    level = rows.repartition(*names, F.pmod("task", F.lit(spread))).mapInArrow(run, schema)
+    return level.repartition(*names).mapInArrow(run, schema).select(*names, "counts")
+
+
 def set_bits(rows: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bitmap of 2**bits positions, set where ``column`` modulo that number occurs: its size is fixed, whatever the rows.
 

@@ -1,9 +1,13 @@
 """Training-data operators on inputs where a shortcut would lose part of the job."""
 
 import hashlib
+import random
+
+import pyarrow as pa
+import pytest
 
 from sievemark.llm import decontamination as D
-from sievemark.llm import html_extract, language_id
+from sievemark.llm import html_extract, jaccard_join, language_id
 
 
 def words(word, n):
@@ -49,3 +53,52 @@ def test_language_sets_of_any_size(spark):
     assert set(got[2]["langs"]) == {"aa", "bb", "cc", "dd"} and abs(got[2]["score"] - 0.4) < 0.03
     assert set(got[3]["langs"]) == {"ee"}
     assert {r["doc_id"] for r in language_id.keep_identified(mixed, model).collect()} == {3}
+
+
+def brute_components(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    low = list(range(len(texts)))
+    for _ in range(len(texts)):
+        before = list(low)
+        for a, x in enumerate(sets):
+            for b in range(a):
+                both = len(x & sets[b])
+                if 100 * both >= 80 * (len(x) + len(sets[b]) - both):
+                    low[a] = low[b] = min(low[a], low[b])
+        if before == low:
+            return low
+
+
+def family(kind, count=300, seed=3):
+    """Texts around one passage: with own words at the end, or with single words of it replaced."""
+    draw = random.Random(seed)
+    base = [f"b{i}" for i in range(100)]
+    out = []
+    for k in range(count):
+        if kind == "own ends":  # 85 in 100 shingles are common to all: no two link
+            out.append(" ".join(base + [f"x{k}y{i}" for i in range(17)]))
+        elif kind == "links":
+            out.append(" ".join(base + [f"x{k}y{i}" for i in range(draw.randrange(1, 10))]))
+        else:  # the text itself is not among them; some link with few others
+            own = list(base)
+            for i in draw.sample(range(100), draw.randrange(1, 5)):
+                own[i] = f"x{k}y{i}"
+            out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["own ends", "links", "edited"])
+def test_large_families_against_brute_force(spark, kind):
+    texts = family(kind)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+    want = brute_components(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert len(set(want)) == {"own ends": 300, "links": 1}.get(kind, len(set(want)))
+
+
+def test_sets_with_one_first_hash_stay_apart():
+    first, second = (jaccard_join.Shingler()(pa.array([t]))[0] for t in ("a b c d e f", "g h i j k l"))
+    clash = frozenset([jaccard_join.set_keys(first)[0]])
+    assert jaccard_join.set_key(first, clash) == jaccard_join.set_keys(first)[1]
+    assert jaccard_join.set_key(second, clash) == jaccard_join.set_keys(second)[0]
