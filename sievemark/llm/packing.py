@@ -13,132 +13,216 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, mix64
 
-#: Words longer than LONG are not kept from one slice of SLICE_ROWS documents to the next; a generation of the cache
-#: ends at CACHE words, and the one before it goes.
-CACHE, LONG, SLICE_ROWS = 400_000, 64, 256
-MARK = "\x01"
+#: Units that an encoder knows at most, about: beyond it it starts anew. Texts are cut together in blocks of about
+#: BLOCK_BYTES bytes.
+CACHE, BLOCK_BYTES = 600_000, 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int"
+# What the tokenizer's pattern tells apart, as classes of bytes.
+SPACE, LETTER, DIGIT, SIGN, ODD = range(5)
 
 
-class Encoder:
-    """Token ids of texts as little-endian uint32 bytes.
+def _classes() -> np.ndarray:
+    """The class of each byte: white space, letters (with the bytes of U+00C0 to U+024F), digits, signs, and others."""
+    table = np.full(256, ODD, np.uint8)
+    table[0x21:0x7F] = SIGN
+    table[[0x09, 0x0A, 0x0D, 0x20]] = SPACE
+    table[0x30:0x3A] = DIGIT
+    table[0x41:0x5B] = table[0x61:0x7B] = table[0x80:0xC0] = table[0xC3:0xCA] = LETTER
+    table[0x27] = ODD  # an apostrophe may begin a piece with the letters after it
+    return table
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    ends = np.cumsum(lengths)
+    out = np.arange(ends[-1] if len(ends) else 0)
+    return out + np.repeat(starts - (ends - lengths), lengths)
 
-    White space ends every piece of the tokenizer's pre-tokenizer and is dropped, so the ids of a text are those of
-    its space-separated words one after the other. Words seen before come from a cache of two generations.
 
-    New words of Latin letters, digits and ASCII signs are lower-cased and cut here by the tokenizer's own pattern, and
-    their pieces go together to its merges alone. Other words, and special tokens, go through the whole tokenizer.
+class Encoder:
+    """Token ids of texts, as arrays of little-endian uint32.
+
+    White space ends every piece of the tokenizer's pre-tokenizer and is dropped, so the ids of a text are those of its
+    words one after the other. A word of ASCII letters, digits and signs and of Latin letters is cut into units here as
+    the tokenizer's pattern does: runs of letters, single digits, runs of signs. Any other word is one unit, and goes
+    through the whole tokenizer by itself. Units are told apart by 128-bit hashes, so each is tokenized once while it
+    is known, and no Python object is made for one that is.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer, self.size = Tokenizer.from_str(json.dumps(spec)), cache
-        self.now: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         split, byte_level = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])[:2]
         end = spec["model"].get("end_of_word_suffix")
-        known = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and byte_level.get("type") == "ByteLevel"
-        self.merges = None
-        if known and end:
-            self.pattern = regex.compile(split["pattern"]["Regex"])
-            self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
-            for token, i in spec["model"]["vocab"].items():
-                self.ends[i] = token.endswith(end)
-            self.merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
-            # A byte-level vocabulary writes the printable bytes as themselves and the others from U+0100 on.
-            plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-            rest = iter(range(0x100, 0x200))
-            sign = [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-            self.signs = {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0x250 + 0x100) if chr(c) != " "}
-            self.other = regex.compile(r"[^\x20-\x7E\t\n\r\u00A1-\u024F]|<\|")
-
-    def _whole(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.now[word] = np.array(found.ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        if self.merges is None:
-            return self._whole(words)
-        if self.other.search(" ".join(words)):
-            self._whole([w for w in words if self.other.search(w)])
-            words = [w for w in words if not self.other.search(w)]
-        # MARK stands alone between white space, so it is a piece of its own and shows where a word ends.
-        pieces = self.pattern.findall(f"\n{MARK}\n".join([*words, ""]).lower()) if words else []
-        fresh = [p for p in set(pieces) if p not in self.pieces]
-        ids = np.array(self.merges.encode_batch_fast([" ".join(fresh).translate(self.signs)], add_special_tokens=False)[0].ids, dtype="<u4")
-        after = (4 * np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])).tolist()  # where each piece's ids end
-        raw = ids.tobytes()
-        self.pieces.update(zip(fresh, (raw[a:b] for a, b in zip(after, after[1:], strict=False)), strict=True))
-        known, own, at = self.pieces, [], iter(words)
-        for piece in pieces:
-            if piece == MARK:
-                self.now[next(at)] = own[0] if len(own) == 1 else b"".join(own)
-                own = []
-            else:
-                own.append(known[piece])
-        if len(known) > self.size:
-            known.clear()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        new, now, old = [], self.now, self.old
-        for word in set().union(*split):
-            if word not in now:
-                if word in old:
-                    now[word] = old[word]
-                else:
-                    new.append(word)
-        if new:
-            self._learn(new)
-        out = [b"".join([now[w] for w in words]) for words in split]
-        for word in new:
-            if len(word) > LONG:
-                del now[word]
-        if len(now) > self.size:
-            self.old, self.now = now, {}
-        return out
+        self.by_pieces = bool(end) and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and byte_level.get("type") == "ByteLevel"
+        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        for token, i in spec["model"]["vocab"].items():
+            self.ends[i] = bool(end) and token.endswith(end)
+        self.classes, self.tables = _classes(), [mix64(np.arange(256, dtype=np.uint64) + np.uint64(k)) for k in (1, 1000)]
+        self.up = self.down = np.zeros(0, np.uint64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.check, self.number = (np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64))
+        self.ids, self.first, self.count = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, odd) of all units. odd: the whole word goes through the tokenizer."""
+        n = len(data)
+        kind = self.classes[data]
+        # Bytes of characters that are no plain letter: the multiplication and division signs and the dotted I, and
+        # C3 to C9 without exactly one continuation byte cannot come from a cut text.
+        pair = data[:-1].astype(np.uint16) << 8 | data[1:]
+        for sign in (0xC397, 0xC3B7, 0xC4B0, 0x3C7C):  # the last: "<|", as in special tokens
+            kind[np.flatnonzero(pair == sign)] = ODD
+        cut = np.zeros(n + 1, bool)
+        cut[offsets] = True
+        ink = kind != SPACE
+        begin = ink.copy()
+        begin[1:] &= ~ink[:-1] | cut[1:n]
+        words = np.flatnonzero(begin)
+        end = ink.copy()
+        end[:-1] &= ~ink[1:] | cut[1:n]
+        ends = np.flatnonzero(end) + 1
+        bad = np.concatenate([[0], np.cumsum(kind == ODD)])
+        bad = bad[ends] > bad[words] if self.by_pieces else np.ones(len(words), bool)
+        if bad.any():  # as if such a word were one run
+            kind[_ranges(words[bad], (ends - words)[bad])] = ODD
+        step = ink.copy()
+        step[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT) | cut[1:n]
+        at = np.flatnonzero(step)
+        stop = np.append(at[1:], n)
+        stop = np.minimum(stop, ends[np.searchsorted(words, at, side="right") - 1])
+        return at, stop, kind[at] == ODD
+
+    def _learn(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, count of each) of new units."""
+        raw = data.tobytes()
+        texts = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        plain = np.flatnonzero(~odd)
+        ids = np.zeros(0, "<u4")
+        if len(plain):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in plain.tolist()])], add_special_tokens=False)[0].ids, dtype="<u4")
+        after = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        if len(after) != len(plain) + 1:
+            raise ValueError("the tokenizer cuts words in another way than this encoder")
+        count = np.zeros(len(texts), np.int64)
+        count[plain] = np.diff(after)
+        if odd.any():
+            whole = [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast([texts[i] for i in np.flatnonzero(odd).tolist()], add_special_tokens=False)]
+            count[odd] = [len(x) for x in whole]
+            first = np.cumsum(count) - count
+            out = np.zeros(int(count.sum()), "<u4")
+            out[_ranges(first[plain], count[plain])] = ids
+            out[_ranges(first[odd], count[odd])] = np.concatenate(whole)
+            return out, count
+        return ids, count
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; of a null one none."""
+        texts = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(offsets[1:], offsets[at] + BLOCK_BYTES, side="right")))
+            yield from self._block(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            at = to
+
+    def _hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(data)
+        if n > len(self.up):
+            size = max(2 * BLOCK_BYTES, 2 * n) if n > BLOCK_BYTES else 2 * BLOCK_BYTES
+            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, np.uint64(x)))]) for x in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)))
+        out = []
+        for table in self.tables:
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(table[data] * self.up[:n], out=sums[1:])
+            out.append(mix64((sums[end] - sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64)))
+        return out[0], out[1]
+
+    def _block(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        if not len(data):
+            for _ in range(len(offsets) - 1):
+                yield np.zeros(0, "<u4")
+            return
+        begin, end, odd = self._units(data, offsets)
+        key, check = self._hashes(data, begin, end)
+        distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, distinct)
+        there = at < len(self.known)
+        there[there] = self.known[at[there]] == distinct[there]
+        new = np.flatnonzero(~there)
+        number = np.zeros(len(distinct), np.int64)
+        number[there] = self.number[at[there]]
+        if len(new):
+            ids, count = self._learn(data, begin[first[new]], end[first[new]], odd[first[new]])
+            number[new] = len(self.count) + np.arange(len(new))
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+            self.ids, self.count, self.check = (np.concatenate(x) for x in ((self.ids, ids), (self.count, count), (self.check, check[first[new]])))
+            self.known, self.number = np.insert(self.known, at[new], distinct[new]), np.insert(self.number, at[new], number[new])
+        unit = number[which]
+        if (self.check[unit] != check).any():
+            raise ValueError("two words have the same hash")
+        count = self.count[unit]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = self.ids[_ranges(self.first[unit], count)]
+        bounds = total[np.searchsorted(begin, offsets)].tolist()
+        if len(self.known) > self.size:
+            self._forget()
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            yield ids[a:b]
+
+
+#: Fixed value: the multiplier of the byte polynomial, odd and so invertible modulo 2**64.
+MULTIPLIER = 0xD1342543DE82EF95
+#: One encoder for a Python worker, which reads a tokenizer's file once and not once a task.
+_ENCODER: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODER:
+        _ENCODER.clear()
+        _ENCODER[path] = Encoder(path)
+    return _ENCODER[path]
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, *, capacity: int, end_id: int, parts: int, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Each document's ids and the end id, cut every ``capacity`` ids: a row for each piece.
 
-    ``part`` is the randomised group that packs the piece, drawn from the id and the row's place in its task, so equal
-    ids do not meet in one group. Null text is empty: one piece with the end id alone. ``with_ids`` adds the ids.
+    ``part`` is the randomised group that packs the piece, drawn from the piece's own values alone, so a task that runs
+    again sends it to the same group. Null text is empty: one piece with the end id alone. ``with_ids`` adds the ids.
     """
-    width = 4 * capacity
 
     def start():
-        encoder, seen = Encoder(tokenizer_path), [0]
-        end = np.array([end_id], dtype="<u4").tobytes()
+        encode = encoder(tokenizer_path)
+        end = np.array([end_id], dtype="<u4")
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            docs, texts = batch.column(0), batch.column(1)
             at, starts, lengths, crcs, totals, ids = [], [], [], [], [], []
-            encoded = (raw for part in range(0, batch.num_rows, SLICE_ROWS) for raw in encoder.encode([t or "" for t in texts.slice(part, SLICE_ROWS).to_pylist()]))
-            for i, raw in enumerate(encoded):
-                raw += end
-                for begin in range(0, len(raw), width):
-                    piece = raw[begin : begin + width]
+            for i, own in enumerate(encode(batch.column(1))):
+                raw = np.concatenate([own, end])
+                for begin in range(0, len(raw), capacity):
+                    piece = raw[begin : begin + capacity]
                     at.append(i)
-                    starts.append(begin // 4)
-                    lengths.append(len(piece) // 4)
+                    starts.append(begin)
+                    lengths.append(len(piece))
                     crcs.append(zlib.crc32(piece))
-                    totals.append(len(raw) // 4)
+                    totals.append(len(raw))
                     if with_ids:
-                        ids.append(piece)
-            own = docs.take(pa.array(at, pa.int64()))
-            key = np.nan_to_num(own.to_numpy(zero_copy_only=False).astype(float), nan=-1).astype(np.int64).astype(np.uint64)
-            draw = mix64(mix64(key + np.uint64(seed)) + np.arange(seen[0], seen[0] + len(at)).astype(np.uint64))
-            seen[0] += len(at)
-            part = (draw % np.uint64(parts)).astype(np.int32)
-            columns = [own, pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64()), pa.array(totals, pa.int64()), pa.array(part)]
+                        ids.append(piece.tobytes())
+            docs = batch.column(0).take(pa.array(at, pa.int64()))
+            key = docs.fill_null(-1).to_numpy().view(np.uint64)
+            draw = key
+            for x in (starts, crcs, totals):
+                draw = mix64(draw + np.uint64(seed)) + np.array(x, np.uint64)
+            part = (mix64(draw) % np.uint64(parts)).astype(np.int32)
+            columns = [docs, pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64()), pa.array(totals, pa.int64()), pa.array(part)]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part"]
             if with_ids:
                 columns.append(pa.array(ids, pa.binary()))

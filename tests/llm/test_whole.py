@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 
 from sievemark.llm import decontamination as D
-from sievemark.llm import html_extract, jaccard_join, language_id
+from sievemark.llm import html_extract, jaccard_join, language_id, packing
+from sievemark.llm.queries import tokenizer_path
 
 
 def words(word, n):
@@ -102,3 +103,31 @@ def test_sets_with_one_first_hash_stay_apart():
     clash = frozenset([jaccard_join.set_keys(first)[0]])
     assert jaccard_join.set_key(first, clash) == jaccard_join.set_keys(first)[1]
     assert jaccard_join.set_key(second, clash) == jaccard_join.set_keys(second)[0]
+
+
+def test_encoder_against_tokenizer():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    draw = random.Random(8)
+    signs = ["don't", "'tis", "it''s", "a'", "é", "×", "÷3", "İstanbul", "ÀÉÿ", "Ʒx", "x\u0301", "\u00a0", "…", "“q”", "a\tb\r\n", "\x0b", "\x1c", "<|endoftext|>", "<|", "12é3", "&&&'s", "_", "中文", "\u0250a", "😀", "B" * 300, "", "  ", "ǅ", "ª", "µ", "\x7f", "\u0085"]
+    texts = ["".join(draw.choice([*signs, " ", " ", "word", "Two3", "!?"]) for _ in range(draw.randrange(0, 12))) for _ in range(600)] + [None, "", " "]
+    enc = packing.Encoder(tokenizer_path(), cache=50)
+    for _ in range(2):
+        for t, ids in zip(texts, enc(pa.array(texts, pa.string()).slice(0)), strict=True):
+            assert ids.tolist() == whole.encode(t or "", add_special_tokens=False).ids, repr(t)
+    assert [x.tolist() for x in enc(pa.array(texts, pa.string()).slice(5, 3))] == [whole.encode(t, add_special_tokens=False).ids for t in texts[5:8]]
+
+
+def test_packing_wastes_little_and_is_the_same_again(spark):
+    draw = random.Random(9)
+    texts = [" ".join(draw.choice(["alpha", "beta", "stone", "river"]) for _ in range(draw.randrange(1, 900))) for _ in range(400)]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    one, two = (packing.pack_documents(docs.repartition(n), tokenizer_path(), capacity=512, docs_per_part=200) for n in (1, 5))
+    rows = sorted(map(tuple, one.collect()))
+    assert rows == sorted(map(tuple, two.collect()))  # however rows are dealt, as after a lost task
+    used = {}
+    for r in one.collect():
+        used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
+    assert sum(512 - n for n in used.values()) < 0.02 * 512 * len(used)
+    assert packing.pack_documents(docs.limit(0), tokenizer_path()).count() == 0
