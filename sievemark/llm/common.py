@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import ctypes.util
+import gc
 import tempfile
 import uuid
 import zlib
@@ -19,8 +22,19 @@ MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 
 
+def _libc() -> ctypes.CDLL | None:
+    try:
+        libc = ctypes.CDLL(ctypes.util.find_library("c") or "libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+_LIBC = _libc()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may go without it."""
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if given:
@@ -28,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(given)
         return given.rstrip("/")
     if not sc.getCheckpointDir():
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sievemark-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -41,6 +57,21 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Roots whose kept tables go when the interpreter ends.
+_KEPT: set[str] = set()
+
+
+def kept_roots() -> set[str]:
+    return set(_KEPT)
+
+
+def forget(spark: SparkSession, roots: set[str]) -> None:
+    """Deletes the kept tables under ``roots``, which nothing may read any more."""
+    for root in roots:
+        _KEPT.discard(root)
+        _delete(spark, root)
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors.
 
@@ -72,10 +103,32 @@ class Scratch:
                 _delete(self.spark, f)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        atexit.register(_delete, self.spark, self.root)
+        if self.root not in _KEPT:
+            _KEPT.add(self.root)
+            atexit.register(_delete, self.spark, self.root)
         return self._write(df, f"{self.root}/keep/{name}-{uuid.uuid4().hex[:8]}")
 
 
+def release() -> None:
+    """Gives a Python worker's free memory back to the system: workers live on from task to task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _LIBC:
+        _LIBC.malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """mapInArrow that releases what a task held when it ends."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(released, schema)
+
+
 def map_batches(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """mapInArrow with per-task state: ``fn()`` is called once in a task and gives the function of a batch."""
 
@@ -86,7 +139,7 @@ def map_batches(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.Re
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
@@ -134,8 +187,8 @@ def sum_arrays(parts: DataFrame, keys: dict[str, str], spread: int = 64) -> Data
 
     to_arrow = pa.schema([(k, {"int": pa.int32(), "string": pa.string()}[t]) for k, t in keys.items()] + [("task", pa.int32()), ("counts", pa.binary())])
     rows = parts.select(*names, "task", "counts")
-    level = rows.repartition(*names, F.pmod("task", F.lit(spread))).mapInArrow(run, schema)
-    return level.repartition(*names).mapInArrow(run, schema).select(*names, "counts")
+    level = map_arrow(rows.repartition(*names, F.pmod("task", F.lit(spread))), run, schema)
+    return map_arrow(level.repartition(*names), run, schema).select(*names, "counts")
 
 
 def set_bits(rows: DataFrame, column: str, bits: int) -> np.ndarray:

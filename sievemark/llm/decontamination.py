@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, joined, map_batches
+from .common import Scratch, joined, map_arrow, map_batches
 
 #: Fixed value: ASCII that is no word character after lower-casing: \x00-\x2F, \x3A-\x60 and \x7B-\x7F.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -253,5 +253,5 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, *, text_col: str = "t
                         hit[np.searchsorted(block.starts, block.phrase(window), side="right") - 1] = True
                     yield part.filter(pa.array(~hit))
 
-        df = df.mapInArrow(run, df.schema)
+        df = map_arrow(df, run, df.schema)
     return df

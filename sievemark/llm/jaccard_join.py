@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, has_bits, map_batches, mix64, set_bits, small, sum_arrays
+from .common import Scratch, connected_components, has_bits, map_arrow, map_batches, mix64, set_bits, small, sum_arrays
 
 WORDS = 5
 #: Positions of the count sketch: 2**22 counters, whatever the corpus. It only orders shingles; results don't depend on it.
@@ -157,7 +157,7 @@ def _scan(df: DataFrame) -> DataFrame:
             if part.any():
                 yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array([block], pa.int32()), pa.array([task], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names)
 
-    return df.mapInArrow(run, "doc_id long, first long, second long, n long, block int, task int, counts binary")
+    return map_arrow(df, run, "doc_id long, first long, second long, n long, block int, task int, counts binary")
 
 
 def _frequent(parts: DataFrame, total: int) -> np.ndarray:
@@ -248,7 +248,7 @@ def _shared(postings: DataFrame, parts: int, scratch: Scratch) -> tuple[DataFram
             out = pa.Table.from_arrays([pa.array(c[stay]) for c in (token, key, n, far)], names=["token", "key", "n", "reach"])
             yield from out.to_batches(max_chunksize=100_000)
 
-    pruned = scratch.save(postings.repartition(parts, "token", "salt").mapInArrow(prune, "token long, key long, n int, reach int"), "pruned")
+    pruned = scratch.save(map_arrow(postings.repartition(parts, "token", "salt"), prune, "token long, key long, n int, reach int"), "pruned")
     least = pruned.groupBy("token").agg(F.count("*").alias("df"), F.min(F.when(F.col("reach") >= F.col("n"), F.col("n"))).alias("least")).filter("df > 1")
     wide = scratch.save(pruned.join(least, "token"), "wide")
     met = wide.filter("reach >= least")

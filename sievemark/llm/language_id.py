@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, map_batches, slices
+from .common import joined, map_arrow, map_batches, slices
 from .grams import hashed, held_out, letter_text
 
 N, BITS, ALPHA = 3, 16, 0.5
@@ -176,7 +176,7 @@ def keep_identified(docs: DataFrame, model: Mixtures, *, least: float = 0.5, tex
 
         return step
 
-    return docs.mapInArrow(_filtering(start), docs.schema)
+    return map_arrow(docs, _filtering(start), docs.schema)
 
 
 def _filtering(start):
