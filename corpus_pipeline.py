@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievemark.llm import decontamination, exact_dedup, jaccard_join, language_id, packing, queries
+from sievemark.llm import common, decontamination, exact_dedup, jaccard_join, language_id, packing, queries
 from sievemark.llm.common import Scratch
 
 
@@ -25,17 +25,27 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents linked at five-word Jaccard 0.8 the one with the smallest doc_id stays."""
+    """Of each component of documents linked at five-word Jaccard 0.8 the one with the smallest doc_id stays.
+
+    Texts without words, null and empty ones link with nothing and stay, as do rows with a null id. Repeated rows share
+    an id and stay together. An empty table gives an empty one.
+    """
     return jaccard_join.representatives(docs, jaccard_join.jaccard_components(docs))
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of ten words of a benchmark item."""
+    """Drops documents that hold a window of ten words of a benchmark item; null and empty texts and all columns stay.
+
+    Repeated rows go or stay together. With an empty benchmark or table nothing goes.
+    """
     return decontamination.drop_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all tokens of what is left into sequences; the columns are those of the packing query."""
+    """Packs all tokens of what is left into sequences; the columns are those of the packing query.
+
+    Null and empty texts hold the end id alone; repeated rows are packed like any other; an empty table gives no rows.
+    """
     return packing.pack_documents(docs, queries.tokenizer_path(), capacity=queries.SEQUENCE_TOKENS, end_id=queries.END_ID)
 
 
@@ -52,8 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again before the next."""
-    docs, scratch = queries.table(spark, sf_dir, "documents"), Scratch(spark)
+    """All stages over ``documents``; each result is written and read again before the next.
+
+    A stage's own tables and its predecessor's result are deleted as soon as its result is there.
+    """
+    docs, before = queries.table(spark, sf_dir, "documents"), common.kept_roots()
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"{name}-{uuid.uuid4().hex[:6]}")
+        after = Scratch(spark)
+        docs = after.keep(stage(spark, docs, sf_dir), f"{name}-{uuid.uuid4().hex[:6]}")
+        common.forget(spark, common.kept_roots() - before - {after.root})
     return docs
