@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import ctypes.util
 import gc
 import tempfile
 import uuid
@@ -22,17 +21,6 @@ MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 
 
-def _libc() -> ctypes.CDLL | None:
-    try:
-        libc = ctypes.CDLL(ctypes.util.find_library("c") or "libc.so.6")
-        return libc if hasattr(libc, "malloc_trim") else None
-    except OSError:
-        return None
-
-
-_LIBC = _libc()
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may go without it."""
     sc = spark.sparkContext
@@ -113,8 +101,10 @@ def release() -> None:
     """Gives a Python worker's free memory back to the system: workers live on from task to task."""
     gc.collect()
     pa.default_memory_pool().release_unused()
-    if _LIBC:
-        _LIBC.malloc_trim(0)
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has its own ways
+        pass
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
