@@ -97,6 +97,10 @@ class Scratch:
         return self._write(df, f"{self.root}/keep/{name}-{uuid.uuid4().hex[:8]}")
 
 
+#: Most rows of an Arrow batch that carries texts.
+BATCH_ROWS = 1000
+
+
 def release() -> None:
     """Gives a Python worker's free memory back to the system: workers live on from task to task."""
     gc.collect()
@@ -108,7 +112,13 @@ def release() -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
-    """mapInArrow that releases what a task held when it ends."""
+    """mapInArrow that releases what a task held when it ends.
+
+    Texts are long, so the session's Arrow batches are set to BATCH_ROWS rows where they may be larger.
+    """
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(size)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(size, str(BATCH_ROWS))
 
     def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

@@ -43,7 +43,7 @@ CANDIDATE_BITS = 23
 BLOCK_BYTES = 1 << 18
 SCAN_ROWS = 1000
 #: Rounds of grouping: each holds every set against another hub; they end when few of the tried pairs link.
-ROUNDS, LEAST_YIELD = 3, 0.4
+ROUNDS, LEAST_YIELD = 3, 0.5
 #: Groups of more members than SMALL_GROUP are opened by blocks, smaller ones pair by pair. A block has at most about
 #: GROUP_BLOCK members, QUERY_BLOCK queries, and BLOCK_TOKENS shingles of either.
 SMALL_GROUP, GROUP_BLOCK, QUERY_BLOCK, BLOCK_TOKENS = 4, 256, 2048, 1 << 20
@@ -251,6 +251,7 @@ def _shared(postings: DataFrame, parts: int, scratch: Scratch) -> tuple[DataFram
     pruned = scratch.save(map_arrow(postings.repartition(parts, "token", "salt"), prune, "token long, key long, n int, reach int"), "pruned")
     least = pruned.groupBy("token").agg(F.count("*").alias("df"), F.min(F.when(F.col("reach") >= F.col("n"), F.col("n"))).alias("least")).filter("df > 1")
     wide = scratch.save(pruned.join(least, "token"), "wide")
+    scratch.drop(pruned)
     met = wide.filter("reach >= least")
     score = met.groupBy("key").agg((F.sum("df") / F.max("n")).alias("score"))
     return wide.select("token", "key", "n", "reach"), scratch.save(met.join(score, "key").select("token", "key", "n", "reach", "score"), "shared")
@@ -277,7 +278,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, shared: frozenset[int], scratch: Sc
     return scratch.save(map_batches(docs, start, "key long, tokens binary").join(small(nodes, nodes.count()), "key", "left_semi").dropDuplicates(["key"]), "sets")
 
 
-def _open_groups(sets: DataFrame, opened: DataFrame, groups: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+def _open_groups(docs: DataFrame, twice: frozenset[int], opened: DataFrame, groups: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     """The links of queries (key, n) with members of the groups opened for them (other), a block of members at a time.
 
     groups: key, n, grp of all members. Blocks are bounded by members and by shingles, so no task holds a whole group,
@@ -289,6 +290,7 @@ def _open_groups(sets: DataFrame, opened: DataFrame, groups: DataFrame, scratch:
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = groups.join(load, "grp").withColumn("m", part("mb")).select("grp", "key", "m", each("qb").alias("q"))
     queries = opened.withColumnRenamed("other", "grp").join(load, "grp").withColumn("q", part("qb")).select("grp", "key", "q", each("mb").alias("m"))
+    sets = _sets(docs, scratch.save(members.select("key").union(queries.select("key")).distinct(), "nodes"), twice, scratch)
 
     def compare(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         tokens = [np.frombuffer(t, np.uint64) for t in held["tokens"]]
@@ -310,14 +312,16 @@ def _open_groups(sets: DataFrame, opened: DataFrame, groups: DataFrame, scratch:
 
     keyed = [d.join(sets, "key").select("grp", "m", "q", "key", "tokens").toDF(*[f"{side}_{c}" for c in ("grp", "m", "q")], "key", "tokens") for side, d in (("h", members), ("a", queries))]
     keyed[1] = keyed[1].select(*[F.col(c).alias(c) for c in keyed[1].columns])
-    return scratch.save(keyed[0].groupBy("h_grp", "h_m", "h_q").cogroup(keyed[1].groupBy("a_grp", "a_m", "a_q")).applyInPandas(compare, "src long, dst long"), "links")
+    links = scratch.save(keyed[0].groupBy("h_grp", "h_m", "h_q").cogroup(keyed[1].groupBy("a_grp", "a_m", "a_q")).applyInPandas(compare, "src long, dst long"), "links")
+    scratch.drop(sets)
+    return links
 
 
 def _blocks(rows: int) -> Column:
     return F.ceil(F.greatest(F.count("*") / rows, F.sum("n") / BLOCK_TOKENS)).cast("int")
 
 
-def _verify(sets: DataFrame, pairs: DataFrame, tried: int, scratch: Scratch, num: int, den: int) -> DataFrame:
+def _verify(docs: DataFrame, twice: frozenset[int], pairs: DataFrame, tried: int, scratch: Scratch, num: int, den: int) -> DataFrame:
     """The links among ``pairs`` (src, dst: set keys), by comparing whole sets."""
 
     def compare():
@@ -334,10 +338,12 @@ def _verify(sets: DataFrame, pairs: DataFrame, tried: int, scratch: Scratch, num
         return step
 
     # A hub's set meets its pairs while they are small; then each pair goes to its other end, which has few.
-    pairs = small(pairs.select("src", "dst"), tried)
-    ends = sets.join(small(pairs.select(F.col("src").alias("key")).distinct(), tried), "key", "left_semi")
-    joined = pairs.join(sets.select(F.col("key").alias("dst"), F.col("tokens").alias("b")), "dst").join(ends.select(F.col("key").alias("src"), F.col("tokens").alias("a")), "src")
-    return scratch.save(map_batches(joined.select("src", "dst", "a", "b"), compare, "src long, dst long"), "links")
+    pairs = pairs.select("src", "dst")
+    sets = _sets(docs, scratch.save(pairs.select(F.col("src").alias("key")).union(pairs.select("dst")).distinct(), "nodes"), twice, scratch)
+    joined = small(pairs, tried).join(sets.select(F.col("key").alias("dst"), F.col("tokens").alias("b")), "dst").join(sets.select(F.col("key").alias("src"), F.col("tokens").alias("a")), "src")
+    links = scratch.save(map_batches(joined.select("src", "dst", "a", "b"), compare, "src long, dst long"), "links")
+    scratch.drop(sets)
+    return links
 
 
 def _suffix(n: Column, num: int, den: int) -> Column:
@@ -394,7 +400,6 @@ def _held(shared: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _links(docs: DataFrame, wide: DataFrame, shared: DataFrame, twice: frozenset[int], scratch: Scratch, num: int, den: int) -> DataFrame:
     ratio = lambda a, b: (F.lit(den) * F.least(a, b) >= F.lit(num) * F.greatest(a, b))
-    sets = _sets(docs, scratch.save(shared.select("key").distinct(), "nodes"), twice, scratch)
     held, edges, labels = shared.withColumn("grp", F.col("key")).withColumn("size", F.lit(1)), None, None
     for r in range(ROUNDS):
         # Groups: each set against the hub of the tokens it has: of the largest group the most central set, in later
@@ -406,7 +411,7 @@ def _links(docs: DataFrame, wide: DataFrame, shared: DataFrame, twice: frozenset
         best = near.groupBy("key", F.col("hub.key").alias("dst")).count().groupBy("key").agg(F.max(F.struct("count", "dst")).alias("best"))
         pairs = scratch.save(best.select(F.col("key").alias("src"), F.col("best.dst").alias("dst")), "pairs")
         tried = pairs.count()
-        links = _verify(sets, pairs, tried, scratch, num, den) if tried else pairs
+        links = _verify(docs, twice, pairs, tried, scratch, num, den) if tried else pairs
         found = links.count()
         if found or edges is None:
             edges = links if edges is None else scratch.save(edges.union(links), "edges")
@@ -423,14 +428,15 @@ def _links(docs: DataFrame, wide: DataFrame, shared: DataFrame, twice: frozenset
     asks = scratch.save(asks.groupBy("key", "n", "other").agg(F.max("other_size").alias("other_size"), F.min("lo").alias("lo")), "asks")
     # The overlap with the group's union, as far as prefixes go, and all that comes after a prefix.
     grouped = wide.join(small(labels, labels.count()).withColumnRenamed("node", "key"), "key", "left").withColumn("grp", F.coalesce("component", "key"))
-    union = grouped.select("token", F.col("grp").alias("other")).join(asks.select("other").distinct(), "other", "left_semi").distinct()
+    others = asks.select("other").distinct()
+    union = grouped.select("token", F.col("grp").alias("other")).join(small(others, others.count()), "other", "left_semi").distinct()
     bound = asks.join(wide.select("token", "key"), "key").join(union, ["token", "other"]).groupBy("key", "n", "other", "other_size", "lo").agg(F.count("*").alias("c"))
     opened = scratch.save(bound.filter(F.lit(num + den) * (F.col("c") + _suffix(n, num, den)) >= F.lit(num) * (n + F.greatest("lo", F.ceil(n * num / den)))).select("key", "n", "other", "other_size"), "opened")
     large = opened.filter(F.col("other_size") > SMALL_GROUP).select("key", "n", "other")
     if large.limit(1).count():
         groups = labels.select(F.col("node").alias("key"), F.col("component").alias("grp")).join(large.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi")
         groups = scratch.save(groups.join(wide.groupBy("key").agg(F.max("n").alias("n")), "key"), "groups")
-        edges = scratch.save(edges.union(_open_groups(sets, large, groups, scratch, num, den)), "edges")
+        edges = scratch.save(edges.union(_open_groups(docs, twice, large, groups, scratch, num, den)), "edges")
 
     # Members of opened groups of a few that share a prefix token with the set, by the same bounds for the pair.
     probe = wide.join(opened.filter(F.col("other_size") <= SMALL_GROUP).select("key", "other"), "key").select("token", F.col("key").alias("src"), "n", "reach", F.col("other").alias("grp"))
@@ -439,7 +445,7 @@ def _links(docs: DataFrame, wide: DataFrame, shared: DataFrame, twice: frozenset
     pair = pair.groupBy("src", "dst", "n", "m").agg(F.count("*").alias("c"), F.max((F.col("m") <= F.col("reach")) & (F.col("n") <= F.col("far"))).alias("meets"))
     pair = scratch.save(pair.filter(F.col("meets") & (F.lit(num + den) * (F.col("c") + _suffix(n, num, den)) >= F.lit(num) * (n + F.col("m")))), "pairs")
     tried = pair.count()
-    return scratch.save(edges.union(_verify(sets, pair, tried, scratch, num, den)), "edges") if tried else edges
+    return scratch.save(edges.union(_verify(docs, twice, pair, tried, scratch, num, den)), "edges") if tried else edges
 
 
 def representatives(df: DataFrame, components: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -6,12 +6,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, map_arrow, map_batches, slices
+from .common import joined, map_arrow, map_batches, slices, sum_arrays
 from .grams import hashed, held_out, letter_text
 
 N, BITS, ALPHA = 3, 16, 0.5
@@ -19,7 +19,7 @@ N, BITS, ALPHA = 3, 16, 0.5
 ROUNDS = 12
 #: What a further language must add to the log-likelihood, for each log of the number of n-grams.
 PENALTY = 6.0
-BLOCK_ROWS = 256
+BLOCK_ROWS, LEARN_ROWS = 256, 64
 UNDETERMINED = "und"
 
 
@@ -30,29 +30,26 @@ def _grams(text: str | None) -> np.ndarray:
 def gram_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, np.ndarray]]:
     """n-gram counts of each language over all rows that may be learned from.
 
-    A task adds up its own counts, and a row of at most 2**BITS counts for each task and language is shuffled, so a
-    language with most of the rows is no hot key. The driver sees one such row for each language.
+    A task adds up its own counts, and a row of at most 2**BITS counts for each task and language is shuffled; those
+    rows are summed as they come, in two levels. The driver sees one such row for each language.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            by: dict[str, list[np.ndarray]] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(_grams(text))
-            for lang, grams in by.items():
-                counts[lang] = counts.get(lang, 0) + np.bincount(np.concatenate(grams), minlength=1 << BITS)
+            for part in slices(batch, LEARN_ROWS):
+                by: dict[str, list[np.ndarray]] = {}
+                for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    by.setdefault(lang, []).append(_grams(text))
+                for lang, grams in by.items():
+                    counts[lang] = counts.get(lang, 0) + np.bincount(np.concatenate(grams), minlength=1 << BITS)
         if counts:
-            blobs = [zlib.compress(c.astype("<u8").tobytes(), 1) for c in counts.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(blobs, pa.binary())], names=["lang", "counts"])
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(c), "<u8") for c in rows["counts"])
-        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "counts": [total.astype("<u8").tobytes()]})
+            blobs, task = [zlib.compress(c.astype("<i8").tobytes(), 1) for c in counts.values()], TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([task] * len(counts), pa.int32()), pa.array(blobs, pa.binary())], names=["lang", "task", "counts"])
 
     learn = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = learn.mapInArrow(run, "lang string, counts binary").groupBy("lang").applyInPandas(merge, "lang string, counts binary").collect()
-    return sorted((r["lang"], np.frombuffer(bytes(r["counts"]), "<u8")) for r in rows)
+    rows = sum_arrays(map_arrow(learn, run, "lang string, task int, counts binary"), {"lang": "string"}).collect()
+    return sorted(((r["lang"], np.frombuffer(zlib.decompress(r["counts"]), "<i8")) for r in rows), key=lambda x: x[0])
 
 
 class Mixtures:

@@ -74,15 +74,17 @@ class Space:
     def vote(self, block: np.ndarray) -> np.ndarray:
         """Scores of a block of vectors: exact cosines with every labelled vector, the nearest weighted by theirs.
 
-        Ties at the last place go to the earlier labelled row. A zero vector gets the sample's share of 1.
+        All labelled rows that tie with the last place vote too; cosines are compared to six digits, as blocked sums
+        differ in the last ones. A zero vector gets the sample's share of 1.
         """
         if not len(self.vectors):
             return np.full(len(block), self.prior)
-        cosine = block @ self.vectors.T
+        cosine = np.round(block @ self.vectors.T, 6)
         k = min(NEIGHBOURS, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** 8 + 1e-12
-        out = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+        last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1]
+        row, at = np.nonzero(cosine >= last[:, None])
+        weight = np.maximum(cosine[row, at], 0).astype(np.float64) ** 8 + 1e-12
+        out = np.bincount(row, weight * self.labels[at], len(block)) / np.bincount(row, weight, len(block))
         out[~block.any(axis=1)] = self.prior
         return np.clip(out, 0, 1)
 

@@ -6,15 +6,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_arrow, map_batches, sum_arrays
 from .grams import hashed, held_out, labelled_sample, letter_text
 
-SIZES, BITS = (4, 5, 6), 20
+SIZES, BITS, BLOCKS = (4, 5, 6), 20, 16
 #: Labelled rows that the classifier is fitted on, about: the fit runs in one task, whose memory this bounds.
 SAMPLE = 12_000
 #: An n-gram counts where its log-count ratio is this many standard errors and at least LEAST_RATIO, either way.
@@ -56,7 +56,10 @@ def fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.nd
 
 
 def _counts(rows: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
-    """Per label the rows and how many of them have each n-gram: one array for each task and label is shuffled."""
+    """Per label the rows and how many of them have each n-gram.
+
+    The arrays of a task are shuffled in BLOCKS blocks, the last holding the number of rows, and summed as they come.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, found = [0, 0], np.zeros((2, 1 << BITS), np.int64)
@@ -64,15 +67,18 @@ def _counts(rows: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
             for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 n[y > 0] += 1
                 found[int(y > 0), present(text)] += 1
-        if sum(n):
-            yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(n, pa.int64()), pa.array([zlib.compress(f.astype("<i8").tobytes(), 1) for f in found], pa.binary())], names=["y", "n", "counts"])
-
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(c), "<i8") for c in part["counts"])
-        return pd.DataFrame({"y": [part["y"].iloc[0]], "n": [part["n"].sum()], "counts": [total.tobytes()]})
+        task = TaskContext.get().partitionId()
+        for y in (0, 1):
+            for block, part in enumerate([*np.split(found[y], BLOCKS), np.array([n[y]])]):
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([block], pa.int32()), pa.array([task], pa.int32()), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)], pa.binary())], names=["y", "block", "task", "counts"])
 
-    got = rows.mapInArrow(run, "y int, n long, counts binary").groupBy("y").applyInPandas(merge, "y int, n long, counts binary").collect()
-    return {r["y"]: (r["n"], np.frombuffer(bytes(r["counts"]), "<i8")) for r in got}
+    out = {y: np.zeros((1 << BITS) + 1, np.int64) for y in (0, 1)}
+    for r in sum_arrays(map_arrow(rows, run, "y int, block int, task int, counts binary"), {"y": "int", "block": "int"}).collect():
+        part = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
+        at = r["block"] * ((1 << BITS) // BLOCKS)
+        out[r["y"]][at : at + len(part)] = part
+    return {y: (int(x[-1]), x[:-1]) for y, x in out.items()}
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, sample: int = SAMPLE, **columns: str) -> tuple[np.ndarray, float]:
@@ -82,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, sample: i
     """
     rows = labelled_sample(docs, labels, label, sample, **columns).select("doc_id", "text", "y")
     counts = _counts(rows)
-    (n0, negative), (n1, positive) = (counts.get(y, (0, np.zeros(1 << BITS, np.int64))) for y in (0, 1))
+    (n0, negative), (n1, positive) = counts[0], counts[1]
     if not n0 or not n1:
         return np.zeros(1 << BITS, np.float32), 6.0 if n1 else -6.0
     ratio = log_count_ratio(positive, negative, n1, n0)
