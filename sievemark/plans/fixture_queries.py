@@ -35,7 +35,7 @@ SUMMARIES = ("doc string, bidder string, lot string, total double, rank int", [
 OPENINGS = ("doc string, bidder string, lot string, price double", [
     ("a", "甲公司", "包1", 980000.0), ("b", "甲公司", "包1", 990000.0), ("a", "乙公司", "包1", 1000000.0), ("a", "丙公司", "包1", 1010000.0), ("a", "丁公司", "包2", 500000.0), ("a", "戊公司", "包2", None),
 ])
-ISSUES = ("seq int, agent string, risk_level string, issue_type string, source_file string, source_location string, description string, quote string, requires_human_review boolean, detection_status string, final_status string, confidence double", [
+ISSUES = ("seq int, owner string, risk_level string, issue_type string, source_file string, source_location string, description string, quote string, requires_human_review boolean, detection_status string, final_status string, confidence double", [
     (1, K.ANOMALY, "高", K.MERGEABLE_TYPES[0], "a.pdf", "甲、乙", "d1", "q1", True, "", "confirmed", 0.85), (2, K.ANOMALY, "中", K.MERGEABLE_TYPES[1], "b.pdf", "甲、乙", "d2", "q2", True, "", "", 0.7),
     (3, K.DATA, "高", "总分复算不一致", "a.pdf", "甲", "d3", "q1", False, "mismatch", "confirmed", 0.99), (4, K.DATA, "高", "总分复算不一致", "a.pdf", "甲", "d4", "q1", True, "", "", 0.99), (5, K.COMPLIANCE, "低", "x", "a.pdf", "", "d5", "q3", False, "", "passed", 0.5),
 ])
@@ -129,7 +129,7 @@ add("lif_04_merge_signals", ISSUES, lambda d: lifecycle.merge_signals(issues(d))
 add("set_05_dedupe_anomaly", ISSUES, lambda d: lifecycle.dedupe_anomaly(issues(d)).select("seq"), "SELECT min(seq) AS seq FROM t GROUP BY issue_type, source_location, quote")
 add("set_04_dedupe_compliance", ISSUES, lambda d: lifecycle.dedupe_compliance(issues(d)).select("seq"), "SELECT min(seq) AS seq FROM t WHERE issue_type <> '跨文件基础信息不一致' GROUP BY source_file, issue_type, quote")
 add("set_09_upsert_reviews", REVIEWS, lambda d: lifecycle.latest_reviews(d).select("seq", "decision"), "SELECT seq, decision FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY seq DESC) AS r FROM t) WHERE r = 1 OR issue_id IS NULL")
-add("agg_05_status_counts", ISSUES, lambda d: d.rollup("agent", "risk_level").agg(F.count("*").alias("n")), "SELECT agent, risk_level, count(*) AS n FROM t GROUP BY ROLLUP (agent, risk_level)")
+add("agg_05_status_counts", ISSUES, lambda d: d.rollup("owner", "risk_level").agg(F.count("*").alias("n")), "SELECT owner, risk_level, count(*) AS n FROM t GROUP BY ROLLUP (owner, risk_level)")
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,13 +59,13 @@ def review_reasons(issues: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def with_issue_id(issues: DataFrame) -> DataFrame:
-    return issues.withColumn("issue_id", issue_id("agent", "source_file", "source_location", "issue_type", "description", evidence="evidence"))
+    return issues.withColumn("issue_id", issue_id("owner", "source_file", "source_location", "issue_type", "description", evidence="evidence"))
 
 
 def merge_signals(issues: DataFrame, location: str | Column = "source_location") -> DataFrame:
     """Anomaly issues of the same entities as one: (location, n, risk_level, types, evidence, confidence), groups of two or more."""
     place = strip(location)
-    rows = issues.filter((F.col("agent") == K.ANOMALY) & F.col("issue_type").isin(*K.MERGEABLE_TYPES) & (place != "")).withColumn("location", place)
+    rows = issues.filter((F.col("owner") == K.ANOMALY) & F.col("issue_type").isin(*K.MERGEABLE_TYPES) & (place != "")).withColumn("location", place)
     quotes = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), lambda x: x["evidence"])))
     out = rows.groupBy("location").agg(F.count("*").alias("n"), F.max((F.col("risk_level") == "高").cast("int")).alias("high"), F.array_sort(F.collect_set("issue_type")).alias("types"), F.slice(quotes, 1, 30).alias("evidence"), F.max("confidence").alias("confidence"))
     return out.filter("n > 1").withColumn("risk_level", F.when((F.col("high") == 1) | (F.col("n") >= 3), "高").otherwise("中")).drop("high")

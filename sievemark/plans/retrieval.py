@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -19,9 +20,8 @@ def query_terms(query: str) -> list[str]:
 
 
 def terms(text: str | Column) -> Column:
-    """Distinct terms of a text."""
-    t = compact(F.lower(col(text)))
-    pairs = F.when(F.length(t) > 1, F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    """Distinct terms of a text: all pairs of neighbouring characters without white space, found in one pass, and words."""
+    pairs = F.regexp_extract_all(compact(F.lower(col(text))), F.lit("(?s)(?=(..))"), F.lit(1))
     return F.array_union(pairs, F.regexp_extract_all(F.lower(col(text)), F.lit(WORD), F.lit(0)))
 
 
@@ -34,24 +34,22 @@ def search(chunks: DataFrame, query: str, limit: int = 8, *, where: Column | Non
     """The best chunks for a query, by score and then id. chunks: chunk_id, content, section, confidence, requires_human_review.
 
     N and the document frequencies are over the chunks that ``where`` lets through. A chunk needs a common term, and
-    three tenths of a query of three terms or more. Whether a chunk has a term is a test on its text, so no postings
-    are made: one aggregate of a count for each query term, and one scan with the top rows.
+    three tenths of a query of three terms or more. A chunk's terms are met with the query's where the chunk is read, so
+    no postings are made: one aggregate of a count for each query term, and one scan with the top rows.
     """
     wanted = query_terms(query)
     if where is not None:
         chunks = chunks.filter(where)
     if not query.strip() or not wanted:
         return chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
-    body, low = compact(F.lower("content")), F.lower("content")
-    words = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
-    has = lambda t: (F.contains(body, F.lit(t)) if len(t) == 2 else F.lit(False)) | (F.array_contains(words, t) if re.fullmatch(WORD, t) else F.lit(False))
-    hits = F.array(*[has(t).cast("int") for t in wanted])
-    rows = chunks.select("chunk_id", "content", "section", "confidence", "requires_human_review", hits.alias("hits"))
-    got = rows.agg(F.count("*").alias("n"), *[F.sum(F.col("hits")[i]).alias(f"d{i}") for i in range(len(wanted))]).first()
-    idf = [F.log(F.lit(float(got["n"] + 1) / ((got[f"d{i}"] or 0) + 0.5))) + 1 for i in range(len(wanted))]
-    total = sum(idf[1:], idf[0])
-    hit = sum([F.col("hits")[i] * w for i, w in enumerate(idf)][1:], F.col("hits")[0] * idf[0])
-    overlap = F.aggregate("hits", F.lit(0), lambda a, x: a + x)
+    body = compact(F.lower("content"))
+    met = F.array_intersect(terms("content"), F.array(*map(F.lit, wanted)))
+    rows = chunks.select("chunk_id", "content", "section", "confidence", "requires_human_review", met.alias("met"))
+    got = rows.agg(F.count("*").alias("n"), *[F.sum(F.array_contains("met", t).cast("int")).alias(f"d{i}") for i, t in enumerate(wanted)]).first()
+    idf = [math.log((got["n"] + 1) / ((got[f"d{i}"] or 0) + 0.5)) + 1 for i in range(len(wanted))]
+    total = F.lit(sum(idf))
+    hit = sum((F.array_contains("met", t).cast("int") * w for t, w in zip(wanted[1:], idf[1:], strict=True)), F.array_contains("met", wanted[0]).cast("int") * idf[0])
+    overlap = F.size("met")
     least = F.lit(0.3 * len(wanted)) if len(wanted) >= 3 else F.lit(0.0)
     whole = re.sub(r"\s+", "", query.lower())
     score = hit / F.greatest(F.lit(1.0), total)

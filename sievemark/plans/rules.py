@@ -9,7 +9,7 @@ from .. import constants as K
 from ..exprs import contains_any
 from ..operators import scores
 
-SCHEMA = "rule_id string, category string, item string, owner_agent string, risk_level string, active boolean, conditional boolean"
+SCHEMA = "rule_id string, category string, item string, owner string, risk_level string, active boolean, conditional boolean"
 
 
 def catalogue(spark: SparkSession) -> DataFrame:

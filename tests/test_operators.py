@@ -116,7 +116,7 @@ def test_issue_id_and_review(spark):
     import hashlib
 
     assert row["i"] == "I" + hashlib.sha256(b"a|q").hexdigest()[:12]
-    issues = spark.createDataFrame([(1, "a", "f", "l", "t", "d", "高", True, ["q"]), (2, "a", "f", "l", "t", "d", "高", True, ["q"]), (3, "a", "f", "l", "u", "d", "高", False, ["q"]), (4, "a", "f", "l", "v", "d", "中", True, ["zz"])], "seq int, agent string, source_file string, source_location string, issue_type string, description string, risk_level string, requires_human_review boolean, evidence array<string>")
+    issues = spark.createDataFrame([(1, "a", "f", "l", "t", "d", "高", True, ["q"]), (2, "a", "f", "l", "t", "d", "高", True, ["q"]), (3, "a", "f", "l", "u", "d", "高", False, ["q"]), (4, "a", "f", "l", "v", "d", "中", True, ["zz"])], "seq int, owner string, source_file string, source_location string, issue_type string, description string, risk_level string, requires_human_review boolean, evidence array<string>")
     docs = spark.createDataFrame([("f", "text with q")], "source_file string, text string")
     assert {r["seq"]: r["reason"] for r in lifecycle.review_reasons(issues, docs).collect()} == {1: "", 2: "duplicate", 3: "unflagged", 4: "unlocated"}
 
