@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..exprs import compact, issue_id, issue_state, strip
+from ..exprs import issue_id, issue_state, strip
 
 
 def verbatim(issues: DataFrame, docs: DataFrame, doc: str, text: str, evidence: str, least: int = 1) -> DataFrame:
@@ -127,10 +127,3 @@ def quality_report(issues: DataFrame) -> DataFrame:
     """Issue states as they must stand, from flags alone."""
     state = issue_state(F.col("requires_human_review"), F.col("detection_status"), F.col("final_status"))
     return issues.withColumn("__s", state).withColumns({"requires_human_review": F.col("__s.requires_human_review"), "assessment": F.col("__s.assessment"), "final_status": F.col("__s.final_status")}).drop("__s")
-
-
-def same_sets(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-    """One row: whether two relations hold the same compacted names, and what each lacks."""
-    left, right = (d.select(compact(name).alias("n")).filter("n <> ''").agg(F.array_sort(F.collect_set("n")).alias(x)) for d, x in ((a, "a"), (b, "b")))
-    both = left.withColumn("b", right.scalar())
-    return both.select((F.col("a") == F.col("b")).alias("same"), F.array_except("a", "b").alias("only_a"), F.array_except("b", "a").alias("only_b"))
