@@ -45,6 +45,26 @@ def may_repeat(df: DataFrame, twice: DataFrame, sha: str, bits: int) -> DataFram
     return df.withColumn("__maybe", hit).drop(*[f"__{c}{i}" for i in range(HASHES) for c in "pwm"])
 
 
+def _groups(df: DataFrame, id_col: str, text_col: str, scratch: Scratch, bits: int | None) -> DataFrame:
+    """(row struct of all columns, keep_id, group_size, kept, text_sha256): the row stays a struct, so no name clashes."""
+    base = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_sha256"))
+    # The scan's order, the same for a task run again; the hash keeps all columns in both passes, so that the scan is one.
+    plain = [f"row.`{f.name}`" for f in df.schema if "map<" not in f.dataType.simpleString()]
+    base = base.withColumn("at", F.struct(F.xxhash64(*plain).alias("mark"), F.monotonically_increasing_id().alias("place")))
+    if bits is None:
+        bits = min(MAX_BITS, max(MIN_BITS, (df.count() * BITS_PER_ROW).bit_length()))
+    twice = scratch.keep(repeated_filter(base, "text_sha256", bits), "twice")
+    tested = may_repeat(base, twice, "text_sha256", bits)
+    single = tested.filter("not __maybe").select("row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    maybe = tested.filter("__maybe")
+    same = maybe.groupBy(F.col("text_sha256").alias("sha"), F.col("id").alias("own")).agg(F.count("*").alias("n"), F.max("at").alias("last"))
+    groups = same.groupBy("sha").agg(F.sum("n").alias("group_size"), F.max(F.struct(F.col("own").alias("id"), "n", "last")).alias("best"))
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & ((F.col("best.n") == 1) | (F.col("best.last") == F.col("at")))
+    # A hot text is split by the skew-join rule; the group's side has one row for each text.
+    joined = maybe.join(groups, F.col("text_sha256") == F.col("sha"))
+    return single.unionByName(joined.select("row", F.col("best.id").alias("keep_id"), "group_size", stays.alias("kept"), "text_sha256"))
+
+
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, scratch: Scratch, bits: int | None = None) -> DataFrame:
     """Every row of ``df`` with keep_id, group_size, kept and text_sha256 of its group of equal texts.
 
@@ -59,18 +79,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     shuffle; results stay the same.
     """
     names = ["keep_id", "group_size", "kept", "text_sha256"]
-    base = df.drop(*names).withColumn("text_sha256", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    base = base.withColumn("__row", F.monotonically_increasing_id())  # the scan's order, the same for a task run again
-    if bits is None:
-        bits = min(MAX_BITS, max(MIN_BITS, (df.count() * BITS_PER_ROW).bit_length()))
-    twice = scratch.keep(repeated_filter(base, "text_sha256", bits), "twice")
-    tested = may_repeat(base, twice, "text_sha256", bits)
-    single = tested.filter("not __maybe").select("*", F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    maybe = tested.filter("__maybe")
-    same = maybe.groupBy(F.col("text_sha256").alias("__sha"), F.col(id_col).alias("__id")).agg(F.count("*").alias("n"), F.max("__row").alias("row"))
-    groups = same.groupBy("__sha").agg(F.sum("n").alias("group_size"), F.max(F.struct(F.col("__id").alias("id"), "n", "row")).alias("__best"))
-    stays = F.col(id_col).eqNullSafe(F.col("__best.id")) & ((F.col("__best.n") == 1) | (F.col("__best.row") == F.col("__row")))
-    # A hot text is split by the skew-join rule; the group's side has one row for each text.
-    joined = maybe.join(groups, F.col("text_sha256") == F.col("__sha")).select("*", F.col("__best.id").alias("keep_id"), stays.alias("kept"))
-    out = [c for c in base.columns if c not in ("__row", "text_sha256")] + names
-    return single.select(out).unionByName(joined.select(out))
+    own = [F.col("row").getField(c).alias(c) for c in df.columns if c not in names]
+    return _groups(df, id_col, text_col, scratch, bits).select(*own, *names)
+
+
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, scratch: Scratch) -> DataFrame:
+    """The rows of ``df`` that stay, with all its columns and no others."""
+    return _groups(df, id_col, text_col, scratch, None).filter("kept").select("row.*")

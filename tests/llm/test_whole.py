@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 
 from sievemark.llm import decontamination as D
-from sievemark.llm import html_extract, jaccard_join, language_id, packing
+from sievemark.llm import exact_dedup, html_extract, jaccard_join, language_id, packing
+from sievemark.llm.common import Scratch
 from sievemark.llm.queries import tokenizer_path
 
 
@@ -131,3 +132,19 @@ def test_packing_wastes_little_and_is_the_same_again(spark):
         used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
     assert sum(512 - n for n in used.values()) < 0.02 * 512 * len(used)
     assert packing.pack_documents(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_exact_dedup_carries_clashing_names(spark, tmp_path):
+    names = ["__maybe", "__w0", "__row", "row", "id", "at", "best", "sha", "kept", "group_size"]
+    rows = [(1, "a", *range(10)), (2, "a", *range(10, 20)), (3, "b", *range(10)), (None, None, *range(10)), (5, "", *range(10)), (2, "a", *range(20, 30))]
+    spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names)).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    with Scratch(spark) as scratch:
+        out = exact_dedup.exact_dedup(docs, scratch=scratch)
+        assert set(out.columns) == set(docs.columns) | {"keep_id", "text_sha256"}
+        got = {(r["doc_id"], r["row"]): (r["keep_id"], r["group_size"], r["__maybe"]) for r in out.collect()}
+        assert got[(1, 3)] == (2, 3, 0) and got[(2, 13)] == (2, 3, 10) and got[(3, 3)] == (3, 1, 0) and got[(None, 3)] == (5, 2, 0)
+        left = exact_dedup.drop_copies(docs, scratch=scratch)
+        assert left.columns == docs.columns
+        kept = [tuple(r) for r in left.collect()]
+        assert sorted(r[0] for r in kept) == [2, 3, 5] and all(r in rows for r in kept)
