@@ -20,8 +20,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text the one with the largest doc_id stays."""
-    return exact_dedup.exact_dedup(docs, scratch=Scratch(spark)).filter("kept").select(docs.columns)
+    """Of documents with equal text the one with the largest doc_id stays, of repeated rows one.
+
+    Null text counts as empty, a null id is the smallest. All columns stay, whatever their names.
+    """
+    return exact_dedup.drop_copies(docs, scratch=Scratch(spark))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

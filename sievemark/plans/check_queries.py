@@ -119,3 +119,57 @@ add("agg_11_confidence_merge", {"fields": FIELDS}, lambda r: X.merge_fields(r["f
 add("set_11_merge_sections", {"old": OLD, "new": NEW}, lambda r: X.merge_new(r["old"], r["new"], ["title", "content"]), "SELECT * FROM old UNION ALL SELECT min(seq), title, content FROM new WHERE (title, content) NOT IN (SELECT (title, content) FROM old) GROUP BY title, content")
 add("srt_06_recent_tasks", {"tasks": TASKS}, lambda r: X.recent(r["tasks"], 3), "SELECT * FROM tasks ORDER BY modified DESC, task LIMIT 3")
 add("joi_16_evidence_rows", {"records": SOURCE, "cells": CELLS}, lambda r: X.evidence_rows(r["records"], r["cells"].select("doc", "sheet", "row_no", F.array("c1", "c2", "c3").alias("cells"))), "SELECT id, doc, sheet, row_no, concat_ws(' | ', nullif(trim(c1), ''), nullif(trim(c2), ''), nullif(trim(c3), '')) AS evidence FROM records JOIN cells USING (doc, sheet, row_no)")
+
+# Operators of text and of the life of findings.
+SCORED = ("lot string, bidder string, factor string, expert string, raw_score double, weight double, weighted_score double", [
+    ("", "甲公司", "技术方案", "专家A", 36.0, 50.0, 18.0), ("", "甲公司", "技术方案", "专家B", 35.0, 50.0, 17.5), ("", "甲公司", "技术方案", "专家C", 12.0, 50.0, 9.0),
+    ("", "乙公司", "价格", "专家A", 30.0, 50.0, 15.0), ("", "乙公司", "商务", "专家A", 15.0, None, None), ("", "乙公司", "商务", "专家D", 17.0, None, None),
+])
+SUMS = ("lot string, bidder string, total_score double", [("", "甲公司", 14.83), ("", "乙公司", 31.0)])
+BIDS = ("lot string, bidder string, bid_price double", [("包1", "甲公司", 980000.0), ("包1", "乙公司", 990000.0), ("包1", "丙公司", 1000000.0), ("包2", "", 5.0), ("包2", "丁公司", None)])
+RANKS = ("bidder string, rank int", [("乙公司", 1), ("甲公司", 2), ("丙公司", None)])
+LINES = ("id int, text string", [(1, "联系电话：13800138000，传真 010-66668888。"), (2, "项目名称：智慧校园建设  二期"), (3, "工程名称: 桥梁"), (4, "未提供售后服务承诺，缺少安全许可"), (5, ""), (6, None)])
+TWO = ("id int, subtype string, text string", [(1, "业务文件", "响应文件 供应商：甲公司"), (2, "合同", "响应文件 供应商：甲公司"), (3, "其他资料", "响应文件"), (4, "其他资料", "响应 文件\n投标人:乙")])
+FINDINGS = ("seq int, owner string, source_file string, source_location string, issue_type string, description string, risk_level string, requires_human_review boolean, quote string", [
+    (1, "a", "f", "l", "t", "d", "高", True, "q"), (2, "a", "f", "l", "t", "d", "高", True, "q"), (3, "a", "f", "l", "u", "d", "高", False, "q"), (4, "a", "f", "l", "v", "d", "中", True, "zz"), (5, "a", "f", "l", "w", " ", "中", True, "q"), (6, "a", "g", "l", "w", "d", "低", False, "a b"),
+])
+FILE_TEXTS = ("source_file string, text string", [("f", "some q here"), ("g", "no such words")])
+BONDS = ("id int, statement string, bond string, budget string", [(1, "投标保证金过高", "2万元", "100万元"), (2, "投标保证金过高", "3万元", "100万元"), (3, "其他", "1万元", "100万元"), (4, "投标保证金过高", "", "100万元")])
+SAID = ("id int, statement string, a string, b string", [(1, "两处不一致", "A 1", "a1"), (2, "两处不一致", "x", "y"), (3, "两处不一致", "", "")])
+PAIRS = ("id int, a string, b string", [(1, "abcd", "abcd"), (2, "abcd", "bcde"), (3, "", ""), (4, "x", None)])
+DECIDED = ("seq int, issue_id string, decision string, corrected_text string", [(1, "I1", "正确", ""), (2, "I1", "误判", ""), (3, None, "漏判", "m")])
+OPEN = ("issue_id string, risk_level string, requires_human_review boolean", [("I1", "高", False), ("I2", "低", True), ("I3", "低", False)])
+
+
+def findings(r):
+    return r["findings"].withColumn("evidence", F.array("quote"))
+
+
+def _queries() -> None:
+    from ..operators import links, text
+    from . import lifecycle, rules
+
+    def scored(rule_id: str, name: str, build, status: str, **relations) -> None:
+        rule(rule_id, name, relations or {"scored": SCORED}, build, status)
+
+    scored("P3-08", "price_weights", lambda r: rules.weighted_scores(r["scored"], "P3-08", "价格"), "SELECT CASE WHEN count(*) > 0 THEN CASE WHEN bool_or(abs(raw_score * weight / 100 - weighted_score) > 0.01) THEN 'human_review' ELSE 'passed' END END FROM scored WHERE contains(factor, '价格') AND weight IS NOT NULL")
+    scored("P3-10", "technical_weights", lambda r: rules.weighted_scores(r["scored"], "P3-10", "技术"), "SELECT CASE WHEN count(*) > 0 THEN CASE WHEN bool_or(abs(raw_score * weight / 100 - weighted_score) > 0.01) THEN 'human_review' ELSE 'passed' END END FROM scored WHERE contains(factor, '技术') AND weight IS NOT NULL")
+    scored("P3-13", "totals", lambda r: rules.totals(r["scored"], r["sums"]), "SELECT CASE WHEN count(*) > 0 THEN CASE WHEN bool_or(abs(c - total_score) > 0.01) THEN 'human_review' ELSE 'passed' END END FROM sums JOIN (SELECT lot, bidder, round(sum(m), 2) AS c FROM (SELECT lot, bidder, factor, avg(coalesce(weighted_score, raw_score)) AS m FROM scored GROUP BY ALL) GROUP BY ALL) USING (lot, bidder)", scored=SCORED, sums=SUMS)
+    scored("P2-09", "price_records", lambda r: rules.price_records(r["bids"]), "SELECT CASE WHEN count(*) > 0 THEN CASE WHEN bool_or(bidder = '' OR bid_price IS NULL) THEN 'human_review' ELSE 'passed' END END FROM bids", bids=BIDS)
+    scored("P2-11", "committee", lambda r: rules.committee(r["scored"], "公开招标"), "SELECT CASE WHEN count(DISTINCT expert) > 0 THEN CASE WHEN count(DISTINCT expert) < 5 OR count(DISTINCT expert) % 2 = 0 THEN 'human_review' ELSE 'passed' END END FROM scored")
+    scored("P1-04", "candidate_ranks", lambda r: rules.candidate_ranks(r["ranks"], r["sums"]), "SELECT CASE WHEN count(*) > 0 THEN CASE WHEN bool_or(rank <> e) THEN 'human_review' ELSE 'passed' END END FROM ranks JOIN (SELECT bidder, row_number() OVER (ORDER BY total_score DESC, bidder) AS e FROM sums) USING (bidder) WHERE rank IS NOT NULL", ranks=RANKS, sums=SUMS)
+    add("p1_09_report_sections", {"docs": DOCS}, lambda r: rules.report_sections(r["docs"]).select("seq", F.explode("missing").alias("missing")), "SELECT seq, missing FROM (" + " UNION ALL ".join("SELECT seq, '" + name + "' AS missing FROM docs WHERE NOT (" + " OR ".join(f"contains(text, '{w}')" for w in words) + ")" for name, words in rules.K.REPORT_SECTIONS) + ")")
+    add("ext_14b_phones", {"lines": LINES}, lambda r: r["lines"].select("id", F.explode(text.phones("text")).alias("phone")), r"SELECT DISTINCT id, unnest(regexp_extract_all(text, '1[3-9]\d{9}')) AS phone FROM lines")
+    add("ext_21_guess_project_name", {"lines": LINES}, lambda r: r["lines"].select("id", text.guess_project_name(F.coalesce("text", F.lit("")), "?").alias("name")), r"SELECT id, CASE WHEN regexp_matches(text, '(项目|工程)名称[:：]') THEN trim(regexp_extract(text, '(?:项目|工程)名称[:：]\s*([^\n\r]+)', 1)) ELSE '?' END AS name FROM lines")
+    add("ext_22_first_match", {"lines": LINES}, lambda r: r["lines"].select("id", text.first_match("text", (r"项目名称：(\S+)", r"工程名称:\s*(\S+)")).alias("value")), r"SELECT id, coalesce(nullif(regexp_extract(text, '项目名称：(\S+)', 1), ''), nullif(regexp_extract(text, '工程名称:\s*(\S+)', 1), '')) AS value FROM lines")
+    add("flt_04_subtype_from_content", {"two": TWO}, lambda r: r["two"].select("id", text.subtype_from_content("subtype", "text").alias("subtype")), "SELECT id, CASE WHEN subtype IN ('业务文件', '其他资料') AND contains(replace(text, ' ', ''), '响应文件') AND contains(text, '供应商：') THEN '响应文件' ELSE subtype END AS subtype FROM two")
+    add("flt_13_is_non_issue", {"said": SAID}, lambda r: r["said"].select("id", text.is_non_issue("statement", "a", "b").alias("none")), "SELECT id, replace(lower(a), ' ', '') <> '' AND replace(lower(a), ' ', '') = replace(lower(b), ' ', '') AS none FROM said")
+    add("flt_15b_bond_is_covered", {"bonds": BONDS}, lambda r: r["bonds"].select("id", text.bond_is_covered("statement", "bond", "budget").alias("covered")), "SELECT id, contains(statement, '投标保证金') AND coalesce(TRY_CAST(replace(bond, '万元', '') AS DOUBLE) <= 0.02 * TRY_CAST(replace(budget, '万元', '') AS DOUBLE), FALSE) AS covered FROM bonds")
+    add("flt_14b_verbatim", {"findings": FINDINGS, "texts": FILE_TEXTS}, lambda r: lifecycle.verbatim(findings(r), r["texts"], "source_file", "text", "evidence").select("seq"), "SELECT seq FROM findings JOIN texts USING (source_file) WHERE contains(text, quote)")
+    add("lif_02b_review_reasons", {"findings": FINDINGS, "texts": FILE_TEXTS}, lambda r: lifecycle.review_reasons(findings(r), r["texts"]).select("seq", "reason"), "SELECT seq, CASE WHEN n > 1 THEN 'duplicate' WHEN trim(description) = '' THEN 'blank' WHEN risk_level = '高' AND NOT requires_human_review THEN 'unflagged' WHEN NOT contains(text, quote) THEN 'unlocated' ELSE '' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY source_file, source_location, issue_type, quote ORDER BY seq) AS n FROM findings) JOIN texts USING (source_file)")
+    add("lif_03b_issue_ids", {"findings": FINDINGS}, lambda r: lifecycle.with_issue_id(findings(r)).select("seq", "issue_id"), "SELECT seq, 'I' || substr(sha256(concat_ws('|', owner, source_file, source_location, issue_type, description, quote)), 1, 12) AS issue_id FROM findings")
+    add("lif_08_review_progress", {"open": OPEN, "decided": DECIDED}, lambda r: lifecycle.review_progress(r["open"], r["decided"]), "SELECT count(*) AS total, count(*) FILTER (WHERE issue_id IN (SELECT issue_id FROM decided WHERE issue_id IS NOT NULL)) AS reviewed, count(*) FILTER (WHERE issue_id NOT IN (SELECT issue_id FROM decided WHERE issue_id IS NOT NULL)) AS remaining FROM open WHERE risk_level = '高' OR requires_human_review")
+    add("ano_07b_sequence_ratio", {"pairs": PAIRS}, lambda r: links.sequence_ratio(r["pairs"], "a", "b").select("id", "ratio"), "SELECT id, CAST(CASE id WHEN 2 THEN 0.75 WHEN 4 THEN 0.0 ELSE 1.0 END AS DOUBLE) AS ratio FROM pairs")
+
+
+_queries()
