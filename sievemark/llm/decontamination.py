@@ -1,29 +1,37 @@
-"""Benchmark decontamination over a positional inverted index of the corpus, kept by blocks of documents.
+"""Benchmark decontamination over a stored positional inverted index of the corpus, one written row for each block.
 
-The index holds, for each block, the positions of every token that a benchmark uses. A window of consecutive tokens is
-found by intersecting position lists, shifted by the tokens' offsets, from the rarest token on. A block's lists stay
-where its documents were read: nothing is shuffled, and a block that is lost is built again.
+``build_index`` writes, for each block of documents, every token with its posting list: the positions it has in the
+block, whose documents lie end to end. A search reads that table and not the texts: a window of consecutive tokens is
+found by intersecting posting lists, shifted by the tokens' offsets, from the rarest token on. A block's row holds all
+its lists, so neither building nor searching shuffles anything, and one index serves any number of benchmarks.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, joined, map_arrow, map_batches
+from .common import Scratch, joined, map_batches, small
 
 #: Fixed value: ASCII that is no word character after lower-casing: \x00-\x2F, \x3A-\x60 and \x7B-\x7F.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _TO_SPACE = bytes.maketrans(SEPARATORS, b" " * len(SEPARATORS))
 WINDOW = 10
-BLOCK_ROWS = 1024
-#: Words of a benchmark that one pass over the corpus takes; a larger one is searched in several passes.
+#: A block ends with the document that brings it to either size, so only one very long document makes it larger.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
+#: Words of a benchmark that one pass over the index takes; a larger one is searched in several passes.
 PASS_WORDS = 2_000_000
+#: A row of the index: its documents (id, two hashes of the text, number of words), its tokens with a space between, for
+#: each the number of its positions, and all positions in the order of tokens, as differences in byte planes.
+INDEX = "block long, docs array<struct<doc_id:bigint,h1:bigint,h2:bigint>>, lengths binary, terms binary, counts binary, positions binary"
+_DOC = pa.struct([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
 
 def words(text: str | None) -> list[bytes]:
@@ -31,6 +39,68 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().translate(_TO_SPACE).split() if text else []
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """int32 values as differences, all first bytes, then all second ones and so on, which compress well."""
+    return np.diff(values, prepend=np.int32(0)).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int64)
+
+
+def _cuts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, end) of the blocks of a batch."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    begin = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        held += size
+        if held >= BLOCK_BYTES or i + 1 - begin == BLOCK_ROWS:
+            yield begin, i + 1
+            begin, held = i + 1, 0
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def _index_block(texts: list[str | None]) -> tuple[bytes, bytes, bytes, bytes]:
+    """lengths, terms, counts and positions of a block's documents."""
+    ids: defaultdict[bytes, int] = defaultdict()
+    ids.default_factory = ids.__len__
+    parts = []
+    for text in texts:
+        tokens = words(text)
+        parts.append(np.fromiter(map(ids.__getitem__, tokens), np.int32, len(tokens)))
+    stream = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    lengths = np.array([len(p) for p in parts], "<i8")
+    return lengths.tobytes(), b" ".join(ids), np.bincount(stream, minlength=len(ids)).astype("<i4").tobytes(), _pack(np.argsort(stream, kind="stable").astype(np.int32))
+
+
+def build_index(df: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
+    """The written index of all rows (columns ``INDEX``); it goes with ``scratch``, or with the interpreter if kept.
+
+    All tokens of whole texts are in it. Null and empty texts are documents without words; rows with equal or null ids
+    are documents of their own; an empty table gives an empty index. Other columns aren't read.
+    """
+    text = F.col(text_col)
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
+
+    def start():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            out = []
+            for begin, end in _cuts(batch.column(3)):
+                part = batch.slice(begin, end - begin)
+                docs = pa.StructArray.from_arrays(part.columns[:3], fields=list(_DOC))
+                cells = [pa.array([x], pa.binary()) for x in _index_block(part.column(3).to_pylist())]
+                out.append(pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), *cells], names=["block", "docs", "lengths", "terms", "counts", "positions"]))
+            return joined(out)
+
+        return step
+
+    # a block's number is fixed when the table is written, not when it is read
+    index = map_batches(rows, start, INDEX).withColumn("block", F.monotonically_increasing_id())
+    return scratch.keep(index, "index") if keep else scratch.save(index, "index")
+
+
 class Windows:
     """The distinct windows of benchmark items, with the items that hold each."""
 
@@ -49,129 +119,155 @@ class Windows:
                 if not held or held[-1] != len(self.items) - 1:
                     held.append(len(self.items) - 1)
         self.windows, self.holders = list(found), list(found.values())
+        self.widths: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for width in {len(w) for w in self.windows}:
+            own = [k for k, w in enumerate(self.windows) if len(w) == width]
+            self.widths[width] = np.array(own), np.array([self.windows[k] for k in own], np.int32)
+
+    def within(self, present: np.ndarray) -> Iterator[int]:
+        """The windows all of whose terms are present."""
+        for own, terms in self.widths.values():
+            yield from own[present[terms].all(axis=1)].tolist()
 
 
 class Block:
-    """Positional postings of one block of documents: documents lie end to end, with a gap that no window spans."""
-
-    def __init__(self, documents: list[list[bytes]], terms: dict[bytes, int], gap: int):
-        get = terms.get
-        parts, self.starts, at = [], np.zeros(len(documents), np.int64), 0
-        self.lengths = np.array([len(d) for d in documents], np.int64)
-        for i, tokens in enumerate(documents):
-            self.starts[i] = at
-            parts.append(np.fromiter((get(w, -1) for w in tokens), np.int32, len(tokens)))
-            parts.append(np.full(gap, -1, np.int32))
-            at += len(tokens) + gap
-        stream = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        self.size = len(stream)
-        known = np.flatnonzero(stream >= 0)
-        order = known[np.argsort(stream[known], kind="stable")]
-        self.bounds = np.searchsorted(stream[order], np.arange(len(terms) + 1))
-        self.positions = order
-        self.stream = stream
+    """The posting lists of one row of the index for the terms that a search asks for."""
+
+    def __init__(self, lengths: bytes, terms: bytes, counts: bytes, positions: bytes, asked: dict[bytes, int]):
+        self.lengths = np.frombuffer(lengths, "<i8")
+        self.ends = np.cumsum(self.lengths)
+        self.starts = self.ends - self.lengths
+        self.size = int(self.ends[-1]) if len(self.ends) else 0
+        bounds = np.concatenate([[0], np.cumsum(np.frombuffer(counts, "<i4"), dtype=np.int64)])
+        slots = np.fromiter((asked.get(t, -1) for t in terms.split()), np.int64, len(bounds) - 1)
+        held = np.flatnonzero(slots >= 0)
+        self.begin, self.end = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+        self.begin[slots[held]], self.end[slots[held]] = bounds[held], bounds[held + 1]
+        self.positions = _unpack(positions) if len(held) else np.zeros(0, np.int64)
 
     def list(self, term: int) -> np.ndarray:
-        return self.positions[self.bounds[term] : self.bounds[term + 1]]
+        return self.positions[self.begin[term] : self.end[term]]
+
+    def present(self) -> np.ndarray:
+        return self.end > self.begin
+
+    def document(self, at: np.ndarray) -> np.ndarray:
+        """The document of each position; those without words have none."""
+        return np.searchsorted(self.ends, at, side="right")
+
+    def _rarest_first(self, terms: tuple[int, ...]) -> list[int]:
+        return sorted(range(len(terms)), key=lambda j: self.end[terms[j]] - self.begin[terms[j]])
 
     def phrase(self, window: tuple[int, ...]) -> np.ndarray:
-        """Start positions of the exact phrase: the rarest token's list, narrowed by each other token's, rarest first."""
-        order = sorted(range(len(window)), key=lambda j: self.bounds[window[j] + 1] - self.bounds[window[j]])
+        """Start positions of the exact phrase inside one document: the rarest token's list, narrowed by each other's."""
+        order = self._rarest_first(window)
         at = self.list(window[order[0]]) - order[0]
-        at = at[(at >= 0) & (at <= self.size - len(window))]
+        at = at[(at >= 0) & (at + len(window) <= self.size)]
         for j in order[1:]:
             if not len(at):
-                break
+                return at
             other = self.list(window[j])
-            if len(other) > 8 * len(at):  # a long list is met through its own positions, not walked
-                at = at[self.stream[at + j] == window[j]]
-            else:
-                at = at[np.isin(at + j, other, assume_unique=True)]
-        return at
+            if not len(other):
+                return at[:0]
+            at = at[other[np.minimum(np.searchsorted(other, at + j), len(other) - 1)] == at + j]
+        return at[at + len(window) <= self.ends[self.document(at)]]
 
     def near(self, terms: tuple[int, ...], span: int) -> np.ndarray:
-        """Positions of the rarest term that have every other term at most ``span`` tokens away."""
-        order = sorted(set(terms), key=lambda t: self.bounds[t + 1] - self.bounds[t])
-        at = self.list(order[0])
-        for t in order[1:]:
-            other = self.list(t)
-            if not len(other) or not len(at):
-                return at[:0]
-            after = np.searchsorted(other, at)
-            right = other[np.minimum(after, len(other) - 1)]
-            left = other[np.maximum(after - 1, 0)]
-            at = at[np.minimum(abs(right - at), abs(left - at)) <= span]
+        """Positions of the rarest term that have every other term at most ``span`` tokens away in their document."""
+        order = self._rarest_first(terms)
+        at = self.list(terms[order[0]])
+        for j in order[1:]:
+            doc, other = self.document(at), self.list(terms[j])
+            low, high = np.maximum(at - span, self.starts[doc]), np.minimum(at + span, self.ends[doc] - 1)
+            at = at[np.searchsorted(other, low, side="left") < np.searchsorted(other, high, side="right")]
         return at
 
 
-def _search(df: DataFrame, columns: list[str], schema: str, match: Callable[[Block, pa.RecordBatch], pa.RecordBatch], terms: dict[bytes, int], gap: int) -> DataFrame:
+def _search(index: DataFrame, terms: dict[bytes, int], match: Callable[[Block, int, pa.Array], pa.RecordBatch], schema: str) -> DataFrame:
+    """The rows that ``match`` gives for each block, its number and its documents."""
+
     def start():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            outs = []
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
-                texts = part.column(part.num_columns - 1).to_pylist()
-                outs.append(match(Block([words(t) for t in texts], terms, gap), part))
-            return joined(outs)
+            out = []
+            for i in range(batch.num_rows):
+                number, docs, *cells = (batch.column(c)[i] for c in range(6))
+                out.append(match(Block(*(x.as_py() for x in cells), terms), number.as_py(), docs.values))
+            return joined(out)
 
         return step
 
-    return map_batches(df.select(*columns), start, schema)
+    return map_batches(index, start, schema)
+
 
+def _marked(windows: Windows, block: Block) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(window, start positions, their documents) for the windows that occur in a block."""
+    for k in windows.within(block.present()):
+        at = block.phrase(windows.windows[k])
+        if len(at):
+            yield k, at, block.document(at)
 
-def find_windows(df: DataFrame, windows: Windows, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, hits binary of int64 word positions, items array<int>) of every row: its words inside windows.
 
-    Rows are not joined or aggregated by id, so rows with equal or null ids stay apart. Null and empty texts have no
-    words and no hits.
+def find_windows(index: DataFrame, windows: Windows) -> DataFrame:
+    """(block, at, doc_id, n_words, hits binary of int64 word positions, items array<string>) of every indexed row.
+
+    ``at`` is the row's place in its block. Rows are not joined or aggregated by id, so rows with equal or null ids
+    stay apart. Null and empty texts have no words and no hits.
     """
-    wins, holders = windows.windows, windows.holders
-    gap = max((len(w) for w in wins), default=1)
+    holders, names = windows.holders, [str(i) for i in windows.items]
 
-    def match(block: Block, part: pa.RecordBatch) -> pa.RecordBatch:
+    def match(block: Block, number: int, docs: pa.Array) -> pa.RecordBatch:
         n = len(block.lengths)
         marks = np.zeros(block.size + 1, np.int32)
-        held: list[set[int]] = [set() for _ in range(n)]
-        present = np.diff(block.bounds) > 0
-        for k, window in enumerate(wins):
-            if not all(present[t] for t in window):
-                continue
-            at = block.phrase(window)
-            if len(at):
-                np.add.at(marks, at, 1)
-                np.add.at(marks, at + len(window), -1)
-                for d in np.unique(np.searchsorted(block.starts, at, side="right") - 1).tolist():
-                    held[d].update(holders[k])
+        held: list[set[str]] = [set() for _ in range(n)]
+        for k, at, doc in _marked(windows, block):
+            np.add.at(marks, at, 1)
+            np.add.at(marks, at + len(windows.windows[k]), -1)
+            for d in np.unique(doc).tolist():
+                held[d].update(names[i] for i in holders[k])
         inside = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
-        lo = np.searchsorted(inside, block.starts)
-        hi = np.searchsorted(inside, block.starts + block.lengths)
+        lo, hi = np.searchsorted(inside, block.starts), np.searchsorted(inside, block.ends)
         hits = [(inside[a:b] - s).astype("<i8").tobytes() for a, b, s in zip(lo, hi, block.starts, strict=True)]
-        return pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(block.lengths), pa.array(hits, pa.binary()), pa.array([sorted(h) for h in held], pa.list_(pa.int32()))], names=["doc_id", "n_words", "hits", "items"])
+        columns = [pa.array([number] * n, pa.int64()), pa.array(np.arange(n)), docs.field("doc_id"), pa.array(block.lengths), pa.array(hits, pa.binary()), pa.array([sorted(h) for h in held], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "at", "doc_id", "n_words", "hits", "items"])
 
-    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
-    return _search(df, columns, "doc_id long, n_words long, hits binary, items array<int>", match, windows.terms, gap)
+    return _search(index, windows.terms, match, "block long, at long, doc_id long, n_words long, hits binary, items array<string>")
 
 
-def near_matches(df: DataFrame, queries: list[tuple[object, str]], span: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Proximity search: (doc_id, query string, position) where all words of a query lie within ``span`` of its rarest.
-
-    Queries without words match nothing.
-    """
+def _places(index: DataFrame, queries: list[tuple[object, str]], find: Callable[[Block, tuple[int, ...]], np.ndarray]) -> DataFrame:
     terms: dict[bytes, int] = {}
     asked = [(str(q), tuple(terms.setdefault(w, len(terms)) for w in words(text))) for q, text in queries if words(text)]
 
-    def match(block: Block, part: pa.RecordBatch) -> pa.RecordBatch:
+    def match(block: Block, number: int, docs: pa.Array) -> pa.RecordBatch:
         ids, names, places = [], [], []
+        present = block.present()
         for name, wanted in asked:
-            at = block.near(wanted, span)
-            doc = np.searchsorted(block.starts, at, side="right") - 1
+            if not present[list(wanted)].all():
+                continue
+            at = find(block, wanted)
+            doc = block.document(at)
             ids += doc.tolist()
             places += (at - block.starts[doc]).tolist()
             names += [name] * len(at)
-        return pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()).take(pa.array(ids, pa.int64())), pa.array(names, pa.string()), pa.array(places, pa.int64())], names=["doc_id", "query", "position"])
+        return pa.RecordBatch.from_arrays([docs.field("doc_id").take(pa.array(ids, pa.int64())), pa.array(names, pa.string()), pa.array(places, pa.int64())], names=["doc_id", "query", "position"])
+
+    return _search(index, terms, match, "doc_id long, query string, position long")
 
-    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
-    return _search(df, columns, "doc_id long, query string, position long", match, terms, span + 1)
+
+def phrase_matches(index: DataFrame, queries: list[tuple[object, str]]) -> DataFrame:
+    """Exact phrases of any length: (doc_id, query string, position of the first word) of every occurrence.
+
+    Queries without words match nothing.
+    """
+    return _places(index, queries, Block.phrase)
+
+
+def near_matches(df: DataFrame, queries: list[tuple[object, str]], span: int, id_col: str = "doc_id", text_col: str = "text", *, index: DataFrame | None = None) -> DataFrame:
+    """Proximity search: (doc_id, query string, position) where all words of a query lie within ``span`` of its rarest.
+
+    Searches ``index`` if it is given, or one that is built of ``df``. Queries without words match nothing.
+    """
+    index = index or build_index(df, Scratch(df.sparkSession), id_col=id_col, text_col=text_col)
+    return _places(index, queries, lambda block, terms: block.near(terms, span))
 
 
 def passes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", most: int = PASS_WORDS) -> list[Windows]:
@@ -187,38 +283,21 @@ def passes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
     return [*out, Windows(items)] if items or not out else out
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", index: DataFrame | None = None) -> DataFrame:
     """Per row of ``df``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     n_hit counts words inside any occurrence of a benchmark window (WINDOW consecutive words of an item; all words of
     a shorter one). Items with the same text all count, an item id counts once; null or empty items occur nowhere; with
-    an empty benchmark no row is contaminated. Rows keep apart even with equal or null ids: with several passes they
-    are numbered in a written table, and the passes meet by that number. Other columns aren't read.
+    an empty benchmark no row is contaminated. Rows keep apart even with equal or null ids: several passes meet by a
+    row's block and place in the index. ``index`` is one that ``build_index`` made of ``df``; without it one is built.
     """
     sets = passes(benchmark, item_col, item_text_col)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    key = "doc_id"
-    if len(sets) > 1:
-        rows, key = Scratch(df.sparkSession).keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows"), "row"
-    found = None
-    for w in sets:
-        names = [str(i) for i in w.items]
-
-        def finish(rows: DataFrame, names: list[str] = names) -> DataFrame:
-            def start():
-                def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                    items = [[names[i] for i in x] for x in batch.column(3).to_pylist()]
-                    return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "hits", "items"])
-
-                return step
-
-            return map_batches(rows, start, "doc_id long, n_words long, hits binary, items array<string>")
-
-        part = finish(find_windows(rows, w, key, "text"))
-        found = part if found is None else found.unionByName(part.filter(F.length("hits") > 0))
+    index = index or build_index(df, Scratch(df.sparkSession), id_col=id_col, text_col=text_col)
+    found = find_windows(index, sets[0])
+    for w in sets[1:]:
+        found = found.unionByName(find_windows(index, w).filter(F.length("hits") > 0))
     if len(sets) > 1:  # every row once from the first pass, and from others where they hit; hits may overlap
-        found = found.withColumnRenamed("doc_id", "row").groupBy("row", "n_words").agg(F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
-        found = found.join(rows.select("row", "doc_id"), "row").select("doc_id", "n_words", "hits", "items")
+        found = found.groupBy("block", "at", "doc_id", "n_words").agg(F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
     else:
         found = found.withColumn("hits", F.array("hits"))
 
@@ -234,24 +313,34 @@ def contamination(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id"
 
         return step
 
-    return map_batches(found, start, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return map_batches(found.select("doc_id", "n_words", "hits", "items"), start, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def _hit_texts(index: DataFrame, windows: Windows) -> DataFrame:
+    """(h1, h2) of the texts that hold a window."""
+
+    def match(block: Block, number: int, docs: pa.Array) -> pa.RecordBatch:
+        at = [doc for _, _, doc in _marked(windows, block)]
+        held = pa.array(np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([docs.field(c).take(held) for c in ("h1", "h2")], names=["h1", "h2"])
+
+    return _search(index, windows.terms, match, "h1 long, h2 long")
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` without any benchmark window, filtered where they are read, with all their columns."""
-    at = df.columns.index(text_col)
-    for w in passes(benchmark, item_col, item_text_col):
-        gap = max((len(x) for x in w.windows), default=1)
-
-        def run(batches: Iterator[pa.RecordBatch], w: Windows = w, gap: int = gap) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for begin in range(0, batch.num_rows, BLOCK_ROWS):
-                    part = batch.slice(begin, BLOCK_ROWS)
-                    block = Block([words(t) for t in part.column(at).to_pylist()], w.terms, gap)
-                    hit = np.zeros(part.num_rows, bool)
-                    for window in w.windows:
-                        hit[np.searchsorted(block.starts, block.phrase(window), side="right") - 1] = True
-                    yield part.filter(pa.array(~hit))
-
-        df = map_arrow(df, run, df.schema)
-    return df
+    """The rows of ``df`` without any benchmark window, with all their columns, whatever their names.
+
+    Whether a row goes depends on its text alone, so rows meet the hits by 128 bits of it. Hits are broadcast where their
+    counted number allows it, and nothing is shuffled then.
+    """
+    scratch = Scratch(df.sparkSession)
+    with scratch:
+        index = build_index(df.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text")), scratch, keep=False)
+        hits = None
+        for w in passes(benchmark, item_col, item_text_col):
+            own = _hit_texts(index, w)
+            hits = own if hits is None else hits.unionByName(own)
+        hits = scratch.keep(hits.distinct(), "hits")
+    text = F.col("row").getField(text_col)
+    rows = df.select(F.struct("*").alias("row")).withColumn("h1", F.xxhash64(text)).withColumn("h2", F.xxhash64(F.lit(1), text))
+    return rows.join(small(hits, hits.count()), ["h1", "h2"], "left_anti").select("row.*")

@@ -148,3 +148,31 @@ def test_exact_dedup_carries_clashing_names(spark, tmp_path):
         assert left.columns == docs.columns
         kept = [tuple(r) for r in left.collect()]
         assert sorted(r[0] for r in kept) == [2, 3, 5] and all(r in rows for r in kept)
+
+
+def test_stored_index_phrases_and_proximity(spark):
+    draw = random.Random(11)
+    texts = [" ".join(f"w{draw.randrange(6)}" for _ in range(draw.randrange(0, 40))) for _ in range(50)] + [None, "", "...", "W1 w2"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, block string").repartition(3)
+    index = D.build_index(docs, D.Scratch(spark))
+    queries = [("a", "w1 w2"), ("b", "w3 w3 w4"), ("c", "w0"), ("d", "absent w1"), ("e", "")]
+    got = sorted(map(tuple, D.phrase_matches(index, queries).collect()))
+    want = []
+    for d, t in enumerate(texts):
+        w = D.words(t)
+        want += [(d, q, i) for q, p in queries for n in [D.words(p)] if n for i in range(len(w) - len(n) + 1) if w[i : i + len(n)] == n]
+    assert got == sorted(want)
+    near = {(r["doc_id"], r["query"]) for r in D.near_matches(docs, queries, 2, index=index).collect()}
+    close = {(d, q) for d, t in enumerate(texts) for w in [D.words(t)] for q, p in queries[:1] for i, x in enumerate(w) if x == b"w1" and b"w2" in w[max(0, i - 2) : i + 3]}
+    assert {x for x in near if x[1] == "a"} == close
+    bench = spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
+    assert sorted(map(tuple, D.contamination(docs, bench, index=index).collect())) == sorted(map(tuple, D.contamination(docs, bench).collect()))
+    assert D.build_index(docs.limit(0), D.Scratch(spark)).count() == 0
+
+
+def test_drop_contaminated_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, 6), (1, "x", 5, 6), (None, None, None, None), (None, "A, b c!", 1, 2), (2, "", 0, 0), (1, "x", 5, 6)], "h1 long, text string, h2 int, row int")
+    bench = spark.createDataFrame([("q", "a b c"), (None, None)], "item_id string, text string")
+    out = D.drop_contaminated(docs, bench)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "x", 5, 6), (None, None, None, None), (2, "", 0, 0), (1, "x", 5, 6)], key=str)
