@@ -12,31 +12,73 @@ from .common import map_batches
 
 # Public licence sentences, normalised (A-Z lower-cased, every run of other than a-z and 0-9 one space).
 SENTENCES: dict[str, str] = {
-    "mit-notice": "released under the mit license",
-    "mit-notice-2": "licensed under the mit license",
     "mit-title": "the mit license mit",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-keep": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "apache-notice": "licensed under the apache license version 2 0",
     "apache-header": "licensed under the apache license version 2 0 the license",
     "apache-comply": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at",
-    "gpl3-notice": "this work is licensed under the gnu general public license version 3",
     "gpl-free": "this program is free software",
     "gpl3-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "cc-by-nc": "licensed under cc by nc 4 0",
-    "cc-by": "licensed under cc by 4 0",
-    "cc-by-sa": "licensed under cc by sa 4 0",
     "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl-free": "this library is free software",
+    "mpl2-subject": "this source code form is subject to the terms of the mozilla public license v",
+    "epl2-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "epl1-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html",
+    "unlicense-domain": "this is free and unencumbered software released into the public domain",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-liable": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "reserved": "all rights reserved",
 }
+# How a notice begins and ends around a licence's name.
+LEADS = (
+    "licensed under", "released under", "distributed under", "available under", "made available under",
+    "licensed under the terms of", "released under the terms of", "distributed under the terms of", "available under the terms of",
+    "this project is licensed under", "this project is licensed under the terms of", "this project is released under",
+    "this software is licensed under", "this software is released under", "this software is distributed under",
+    "this work is licensed under", "this code is licensed under", "this library is licensed under", "this package is licensed under",
+    "this program is licensed under", "this file is licensed under", "this repository is licensed under", "this document is licensed under",
+    "the code is licensed under", "the source code is licensed under",
+)
+TAILS = ("", " see the license file for details", " see the license md file for details", " see license for details", " see license file for details")
+# Licences by SPDX identifier, with the names that notices give them. A plus sign is lost in normalised
+# text, so short names of the GNU licences, which may end in one, are left out.
+NAMES: dict[str, tuple[str, ...]] = {
+    "MIT": ("the mit license", "mit license", "an mit license", "the mit licence", "mit licence", "mit", "the expat license"),
+    "Apache-2.0": ("the apache license version 2 0", "apache license version 2 0", "the apache license 2 0", "apache license 2 0", "the apache 2 0 license", "apache 2 0 license", "apache 2 0", "the apache software license version 2 0"),
+    "BSD-2-Clause": ("the bsd 2 clause license", "bsd 2 clause license", "bsd 2 clause", "the 2 clause bsd license", "the simplified bsd license"),
+    "BSD-3-Clause": ("the bsd 3 clause license", "bsd 3 clause license", "bsd 3 clause", "the 3 clause bsd license", "the new bsd license", "the revised bsd license", "the modified bsd license"),
+    "ISC": ("the isc license", "isc license", "isc"),
+    "0BSD": ("the zero clause bsd license", "0bsd"),
+    "MPL-2.0": ("the mozilla public license version 2 0", "the mozilla public license 2 0", "mozilla public license 2 0", "mpl 2 0"),
+    "EPL-1.0": ("the eclipse public license version 1 0", "the eclipse public license 1 0", "the eclipse public license v1 0", "epl 1 0"),
+    "EPL-2.0": ("the eclipse public license version 2 0", "the eclipse public license 2 0", "the eclipse public license v2 0", "epl 2 0"),
+    "Unlicense": ("the unlicense", "unlicense"),
+    "Zlib": ("the zlib license", "zlib license", "zlib"),
+    "BSL-1.0": ("the boost software license version 1 0", "the boost software license 1 0"),
+    "CC0-1.0": ("cc0", "cc0 1 0", "cc0 1 0 universal", "the cc0 1 0 universal license"),
+    "CC-BY-4.0": ("cc by 4 0", "the cc by 4 0 license", "a creative commons attribution 4 0 international license", "the creative commons attribution 4 0 international license"),
+    "CC-BY-SA-4.0": ("cc by sa 4 0", "the cc by sa 4 0 license", "a creative commons attribution sharealike 4 0 international license", "the creative commons attribution sharealike 4 0 international license"),
+    "CC-BY-NC-4.0": ("cc by nc 4 0", "the cc by nc 4 0 license", "a creative commons attribution noncommercial 4 0 international license", "the creative commons attribution noncommercial 4 0 international license"),
+    "CC-BY-ND-4.0": ("cc by nd 4 0", "the cc by nd 4 0 license", "a creative commons attribution noderivatives 4 0 international license", "the creative commons attribution noderivatives 4 0 international license"),
+    "CC-BY-NC-SA-4.0": ("cc by nc sa 4 0", "the cc by nc sa 4 0 license", "a creative commons attribution noncommercial sharealike 4 0 international license", "the creative commons attribution noncommercial sharealike 4 0 international license"),
+    "CC-BY-NC-ND-4.0": ("cc by nc nd 4 0", "the cc by nc nd 4 0 license", "a creative commons attribution noncommercial noderivatives 4 0 international license", "the creative commons attribution noncommercial noderivatives 4 0 international license"),
+}
+# The GNU licences: identifier, name, versions that were published.
+GNU = (
+    ("GPL", "general public license", ("2.0", "3.0")),
+    ("LGPL", "lesser general public license", ("2.1", "3.0")),
+    ("AGPL", "affero general public license", ("3.0",)),
+)
 # The rules in the order they are tried. Sentences that a rule has read are not read again.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
@@ -47,29 +89,75 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("apache-header",)),
     ("GPL-3.0-or-later", ("gpl-free", "gpl3-terms")),
     ("GPL-2.0-or-later", ("gpl-free", "gpl2-terms")),
-    ("MIT", ("mit-notice",)),
-    ("MIT", ("mit-notice-2",)),
     ("MIT", ("mit-title",)),
-    ("Apache-2.0", ("apache-notice",)),
-    ("GPL-3.0-only", ("gpl3-notice",)),
-    ("CC-BY-NC-4.0", ("cc-by-nc",)),
-    ("CC-BY-SA-4.0", ("cc-by-sa",)),
-    ("CC-BY-4.0", ("cc-by",)),
     ("CC0-1.0", ("cc0",)),
     ("ISC", ("isc-grant",)),
-    ("LicenseRef-all-rights-reserved", ("reserved",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("MPL-2.0", ("mpl2-subject",)),
+    ("EPL-2.0", ("epl2-terms",)),
+    ("EPL-1.0", ("epl1-terms",)),
+    ("Unlicense", ("unlicense-domain",)),
+    ("Zlib", ("zlib-as-is", "zlib-liable", "zlib-grant")),
 )
 # Every known sentence holds one of these, so a text without any has no known sentence.
-HINTS = (b"licen", b"permi", b"copyright", b"warranty", b"reserved", b"free")
+HINTS = (b"licen", b"permi", b"copyright", b"warranty", b"reserved", b"free", b"liable", b"released", b"distributed", b"available")
 #: Sentences end at these characters before white space, and at line ends; the second reading unwraps paragraphs first.
+#: The colon of an SPDX tag ends none.
 _END = re.compile(r"([.!?;:])[ \t\n]+")
+_TAG = re.compile(r"([Ii][Dd][Ee][Nn][Tt][Ii][Ff][Ii][Ee][Rr]):[ \t]+")
 _PARAGRAPH = re.compile(r"\n[ \t]*\n")
 _OTHER = re.compile(r"[^a-z0-9]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def gnu_names() -> dict[str, tuple[str, ...]]:
+    """Names in notices of each published version of the GNU licences, that version only and or any later one."""
+    out = {}
+    for short, name, versions in GNU:
+        for v in versions:
+            forms = {v.replace(".", " "), v.removesuffix(".0").replace(".", " ")}
+            only = [f"the gnu {name} version {f}" for f in sorted(forms)] + [f"the gnu {name} v{v.replace('.', ' ')}"]
+            out[f"{short}-{v}-only"] = (*only, *(f"{x} only" for x in only))
+            out[f"{short}-{v}-or-later"] = tuple(f"{x} or {y}" for x in only for y in ("later", "any later version", "at your option any later version"))
+    return out
+
+
+def gnu_terms() -> dict[str, str]:
+    """The sentence of file headers under the GNU licences that names the version, by identifier."""
+    out = {}
+    for short, name, versions in GNU:
+        for v in versions:
+            said = v.removesuffix(".0").replace(".", " ")
+            begin = f"you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation"
+            out[f"{short}-{v}-or-later"] = f"{begin} either version {said} of the license or at your option any later version"
+            out[f"{short}-{v}-only"] = f"{begin} version {said} of the license"
+    return out
+
+
+#: All names by licence, in the order in which their notices are tried.
+ALL_NAMES = NAMES | gnu_names()
+#: Sentences and rules of the GNU headers; rules of whole texts and headers stand before those of single notices.
+SENTENCES |= {f"terms-{licence}": text for licence, text in gnu_terms().items() if text not in SENTENCES.values()}
+RULES = (
+    *RULES,
+    *((licence, (free, f"terms-{licence}")) for licence in gnu_terms() if f"terms-{licence}" in SENTENCES for free in ("gpl-free", "lgpl-free")),
+    *((licence, (f"notice-{licence}",)) for licence in ALL_NAMES),
+    ("LicenseRef-all-rights-reserved", ("reserved",)),
+)
+
+
+def known_sentences() -> dict[str, str]:
+    """Every known sentence with its identifier: the fixed ones, notices of all forms, and SPDX tags."""
+    out = {text: name for name, text in SENTENCES.items()}
+    for licence, names in ALL_NAMES.items():
+        out |= {f"{lead} {name}{tail}": f"notice-{licence}" for lead in LEADS for name in names for tail in TAILS}
+        out[f"spdx license identifier {_OTHER.sub(' ', licence.translate(_LOWER))}"] = f"notice-{licence}"
+    return out
+
+
 def identifiers(text: str, known: dict[str, str], unwrap: bool) -> str:
     """Identifiers of a text's known sentences in order, each between bars. Other sentences are passed over."""
+    text = _TAG.sub("\\1 ", text)
     if unwrap:
         text = "\x1d".join(p.replace("\n", " ") for p in _PARAGRAPH.split(text))
     parts = _END.sub("\\1\x1d", text).replace("\n", "\x1d").split("\x1d")
@@ -95,7 +183,7 @@ def scan(df: DataFrame, *, sentences: dict[str, str] | None = None, id_col: str
     of either reading, sentence_ids those of the first. Null and empty texts, and texts without a licence, give ''.
     Repeated rows give repeated results; other columns are not read; an empty table gives no rows.
     """
-    known = {text: name for name, text in (sentences or SENTENCES).items()}
+    known = {text: name for name, text in sentences.items()} if sentences is not None else known_sentences()
     hints = HINTS if sentences is None else (b"",)
 
     def start():
@@ -120,6 +208,8 @@ def scan(df: DataFrame, *, sentences: dict[str, str] | None = None, id_col: str
 def oracle_sql() -> str:
     """The same in DuckDB's SQL over table documents."""
     values = ", ".join(f"('{name}', '{text}')" for name, text in SENTENCES.items())
+    leads, tails = ", ".join(f"('{x}')" for x in LEADS), ", ".join(f"('{x}')" for x in TAILS)
+    names = ", ".join(f"('{licence}', '{name}')" for licence, forms in ALL_NAMES.items() for name in forms)
     steps, last = [], "seq"
     for i, (_, ids) in enumerate(RULES):
         pattern = "".join(f"|{x}|" for x in ids)
@@ -127,11 +217,16 @@ def oracle_sql() -> str:
         last = f"s{i}"
     hits = ", ".join(f"CASE WHEN r{i} THEN '{licence}' END" for i, (licence, _) in enumerate(RULES))
     return rf"""
-WITH k(id, sentence) AS (VALUES {values}),
+WITH a(licence, name) AS (VALUES {names}),
+k(id, sentence) AS (
+  VALUES {values}
+  UNION SELECT 'notice-' || licence, lead || ' ' || name || tail FROM a, (VALUES {leads}) b(lead), (VALUES {tails}) c(tail)
+  UNION SELECT 'notice-' || licence, 'spdx license identifier ' || regexp_replace(lower(licence), '[^a-z0-9]+', ' ', 'g') FROM a),
+d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '([Ii][Dd][Ee][Nn][Tt][Ii][Ff][Ii][Ee][Rr]):[ \t]+', '\1 ', 'g') AS text FROM documents),
 t AS (
-  SELECT doc_id, 'lines' AS kind, coalesce(text, '') AS text FROM documents
+  SELECT doc_id, 'lines' AS kind, text FROM d
   UNION ALL
-  SELECT doc_id, 'wrapped', array_to_string(list_transform(regexp_split_to_array(coalesce(text, ''), '\n[ \t]*\n'), lambda x: replace(x, chr(10), ' ')), chr(29)) FROM documents),
+  SELECT doc_id, 'wrapped', array_to_string(list_transform(regexp_split_to_array(text, '\n[ \t]*\n'), lambda x: replace(x, chr(10), ' ')), chr(29)) FROM d),
 p AS (
   SELECT doc_id, kind, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos
   FROM (SELECT doc_id, kind, string_split(replace(regexp_replace(text, '([.!?;:])[ \t\n]+', '\1' || chr(29), 'g'), chr(10), chr(29)), chr(29)) AS parts FROM t)),

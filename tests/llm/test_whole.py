@@ -3,11 +3,12 @@
 import hashlib
 import random
 
+import duckdb
 import pyarrow as pa
 import pytest
 
 from sievemark.llm import decontamination as D
-from sievemark.llm import exact_dedup, html_extract, jaccard_join, language_id, packing
+from sievemark.llm import exact_dedup, html_extract, jaccard_join, language_id, licenses, packing
 from sievemark.llm.common import Scratch
 from sievemark.llm.queries import tokenizer_path
 
@@ -176,3 +177,30 @@ def test_drop_contaminated_clashing_columns(spark):
     out = D.drop_contaminated(docs, bench)
     assert out.columns == docs.columns
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "x", 5, 6), (None, None, None, None), (2, "", 0, 0), (1, "x", 5, 6)], key=str)
+
+
+def test_licence_notices_and_families(spark):
+    lgpl = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."
+    cases = [
+        ("// SPDX-License-Identifier: MPL-2.0\ncode", "MPL-2.0"),
+        ("/* SPDX-License-Identifier: LGPL-2.1-or-later */", "LGPL-2.1-or-later"),
+        ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT"),
+        ("This work is licensed under CC BY 4.0.", "CC-BY-4.0"),
+        ("Intro. Distributed under the\nBoost Software License, Version 1.0. End.", "BSL-1.0"),
+        ("This work is licensed under the GNU General Public License version 2.", "GPL-2.0-only"),
+        ("Licensed under the GNU Affero General Public License v3.0 or later", "AGPL-3.0-or-later"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        (lgpl.replace("; either", ", either"), "LGPL-2.1-or-later"),
+        ("The permitted parking zone is released under the bridge.", ""),
+        ("MIT", ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = sorted(map(tuple, licenses.scan(docs).collect()))
+    assert [r[1] for r in got] == [want for _, want in cases]
+    assert all(any(h.decode() in s for h in licenses.HINTS) for s in licenses.known_sentences())
+    names = [n for forms in licenses.ALL_NAMES.values() for n in forms]
+    assert len(names) == len(set(names))
+    duck = duckdb.connect()
+    duck.register("documents", pa.table({"doc_id": list(range(len(cases))), "text": [t for t, _ in cases]}))
+    rows = duck.sql(licenses.oracle_sql()).project("doc_id, licences, n_licences, sentence_ids").fetchall()
+    assert sorted(rows) == got
