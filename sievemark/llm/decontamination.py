@@ -24,12 +24,14 @@ from .common import Scratch, joined, map_batches, small
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _TO_SPACE = bytes.maketrans(SEPARATORS, b" " * len(SEPARATORS))
 WINDOW = 10
-#: A block ends with the document that brings it to either size, so only one very long document makes it larger.
-BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
+#: A block ends with the document that brings it to either size, so only one very long document makes it larger. Cells
+#: stay well below a megabyte, so that executors hold and write them as small objects.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 20
 #: Words of a benchmark that one pass over the index takes; a larger one is searched in several passes.
 PASS_WORDS = 2_000_000
 #: A row of the index: its documents (id, two hashes of the text, number of words), its tokens with a space between, for
-#: each the number of its positions, and all positions in the order of tokens, as differences in byte planes.
+#: each the number of its positions, and all positions in the order of tokens, as differences in byte planes. Tokens,
+#: numbers and positions are compressed.
 INDEX = "block long, docs array<struct<doc_id:bigint,h1:bigint,h2:bigint>>, lengths binary, terms binary, counts binary, positions binary"
 _DOC = pa.struct([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
@@ -41,14 +43,24 @@ def words(text: str | None) -> list[bytes]:
 
 def _pack(values: np.ndarray) -> bytes:
     """int32 values as differences, all first bytes, then all second ones and so on, which compress well."""
-    return np.diff(values, prepend=np.int32(0)).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return _squeeze(np.diff(values, prepend=np.int32(0)).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(4, -1)
+    planes = np.frombuffer(_spread(raw), np.uint8).reshape(4, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int64)
 
 
+def _squeeze(raw: bytes) -> bytes:
+    """Compressed, after the length as eight little-endian bytes."""
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def _spread(cell: bytes) -> bytes:
+    size = int.from_bytes(cell[:8], "little")
+    return pa.decompress(cell[8:], size, "zstd", asbytes=True) if size else b""
+
+
 def _cuts(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """(start, end) of the blocks of a batch."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -72,7 +84,8 @@ def _index_block(texts: list[str | None]) -> tuple[bytes, bytes, bytes, bytes]:
         parts.append(np.fromiter(map(ids.__getitem__, tokens), np.int32, len(tokens)))
     stream = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     lengths = np.array([len(p) for p in parts], "<i8")
-    return lengths.tobytes(), b" ".join(ids), np.bincount(stream, minlength=len(ids)).astype("<i4").tobytes(), _pack(np.argsort(stream, kind="stable").astype(np.int32))
+    counts = np.bincount(stream, minlength=len(ids)).astype("<i4")
+    return lengths.tobytes(), _squeeze(b" ".join(ids)), _squeeze(counts.tobytes()), _pack(np.argsort(stream, kind="stable").astype(np.int32))
 
 
 def build_index(df: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
@@ -138,8 +151,8 @@ class Block:
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
         self.size = int(self.ends[-1]) if len(self.ends) else 0
-        bounds = np.concatenate([[0], np.cumsum(np.frombuffer(counts, "<i4"), dtype=np.int64)])
-        slots = np.fromiter((asked.get(t, -1) for t in terms.split()), np.int64, len(bounds) - 1)
+        bounds = np.concatenate([[0], np.cumsum(np.frombuffer(_spread(counts), "<i4"), dtype=np.int64)])
+        slots = np.fromiter((asked.get(t, -1) for t in _spread(terms).split()), np.int64, len(bounds) - 1)
         held = np.flatnonzero(slots >= 0)
         self.begin, self.end = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
         self.begin[slots[held]], self.end[slots[held]] = bounds[held], bounds[held + 1]
