@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, joined, map_batches, small
+from .common import Scratch, joined, map_arrow, map_batches
 
 #: Fixed value: ASCII that is no word character after lower-casing: \x00-\x2F, \x3A-\x60 and \x7B-\x7F.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -29,11 +29,10 @@ WINDOW = 10
 BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 20
 #: Words of a benchmark that one pass over the index takes; a larger one is searched in several passes.
 PASS_WORDS = 2_000_000
-#: A row of the index: its documents (id, two hashes of the text, number of words), its tokens with a space between, for
-#: each the number of its positions, and all positions in the order of tokens, as differences in byte planes. Tokens,
-#: numbers and positions are compressed.
-INDEX = "block long, docs array<struct<doc_id:bigint,h1:bigint,h2:bigint>>, lengths binary, terms binary, counts binary, positions binary"
-_DOC = pa.struct([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+#: A row of the index: its documents (id, number of words), its tokens with a space between, for each the number
+#: of its positions, and all positions in the order of tokens, as differences in byte planes. Tokens, numbers and positions
+#: are compressed.
+INDEX = "block long, docs array<bigint>, lengths binary, terms binary, counts binary, positions binary"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -74,8 +73,8 @@ def _cuts(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def _index_block(texts: list[str | None]) -> tuple[bytes, bytes, bytes, bytes]:
-    """lengths, terms, counts and positions of a block's documents."""
+def _postings(texts: list[str | None]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Number of words of each document, distinct terms, number of positions of each, and positions term by term."""
     ids: defaultdict[bytes, int] = defaultdict()
     ids.default_factory = ids.__len__
     parts = []
@@ -83,35 +82,32 @@ def _index_block(texts: list[str | None]) -> tuple[bytes, bytes, bytes, bytes]:
         tokens = words(text)
         parts.append(np.fromiter(map(ids.__getitem__, tokens), np.int32, len(tokens)))
     stream = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    lengths = np.array([len(p) for p in parts], "<i8")
-    counts = np.bincount(stream, minlength=len(ids)).astype("<i4")
-    return lengths.tobytes(), _squeeze(b" ".join(ids)), _squeeze(counts.tobytes()), _pack(np.argsort(stream, kind="stable").astype(np.int32))
+    return np.array([len(p) for p in parts], np.int64), list(ids), np.bincount(stream, minlength=len(ids)), np.argsort(stream, kind="stable")
 
 
-def build_index(df: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
-    """The written index of all rows (columns ``INDEX``); it goes with ``scratch``, or with the interpreter if kept.
+def build_index(df: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The written index of all rows (columns ``INDEX``); it goes when the interpreter ends.
 
     All tokens of whole texts are in it. Null and empty texts are documents without words; rows with equal or null ids
     are documents of their own; an empty table gives an empty index. Other columns aren't read.
     """
-    text = F.col(text_col)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def start():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             out = []
-            for begin, end in _cuts(batch.column(3)):
-                part = batch.slice(begin, end - begin)
-                docs = pa.StructArray.from_arrays(part.columns[:3], fields=list(_DOC))
-                cells = [pa.array([x], pa.binary()) for x in _index_block(part.column(3).to_pylist())]
-                out.append(pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), *cells], names=["block", "docs", "lengths", "terms", "counts", "positions"]))
+            for begin, end in _cuts(batch.column(1)):
+                ids = batch.column(0).slice(begin, end - begin)
+                docs = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                lengths, terms, counts, positions = _postings(batch.column(1).slice(begin, end - begin).to_pylist())
+                cells = [lengths.astype("<i8").tobytes(), _squeeze(b" ".join(terms)), _squeeze(counts.astype("<i4").tobytes()), _pack(positions.astype(np.int32))]
+                out.append(pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), docs, *(pa.array([x], pa.binary()) for x in cells)], names=["block", "docs", "lengths", "terms", "counts", "positions"]))
             return joined(out)
 
         return step
 
     # a block's number is fixed when the table is written, not when it is read
-    index = map_batches(rows, start, INDEX).withColumn("block", F.monotonically_increasing_id())
-    return scratch.keep(index, "index") if keep else scratch.save(index, "index")
+    return scratch.keep(map_batches(rows, start, INDEX).withColumn("block", F.monotonically_increasing_id()), "index")
 
 
 class Windows:
@@ -144,19 +140,30 @@ class Windows:
 
 
 class Block:
-    """The posting lists of one row of the index for the terms that a search asks for."""
+    """The posting lists of one block for the terms that a search asks for."""
 
-    def __init__(self, lengths: bytes, terms: bytes, counts: bytes, positions: bytes, asked: dict[bytes, int]):
-        self.lengths = np.frombuffer(lengths, "<i8")
+    def __init__(self, lengths: np.ndarray, terms: list[bytes], counts: np.ndarray, positions: Callable[[], np.ndarray], asked: dict[bytes, int]):
+        self.lengths = lengths
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
         self.size = int(self.ends[-1]) if len(self.ends) else 0
-        bounds = np.concatenate([[0], np.cumsum(np.frombuffer(_spread(counts), "<i4"), dtype=np.int64)])
-        slots = np.fromiter((asked.get(t, -1) for t in _spread(terms).split()), np.int64, len(bounds) - 1)
+        bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        slots = np.fromiter((asked.get(t, -1) for t in terms), np.int64, len(terms))
         held = np.flatnonzero(slots >= 0)
         self.begin, self.end = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
         self.begin[slots[held]], self.end[slots[held]] = bounds[held], bounds[held + 1]
-        self.positions = _unpack(positions) if len(held) else np.zeros(0, np.int64)
+        self.positions = positions() if len(held) else np.zeros(0, np.int64)
+
+    @classmethod
+    def stored(cls, lengths: bytes, terms: bytes, counts: bytes, positions: bytes, asked: dict[bytes, int]) -> Block:
+        """The block of a row of the index."""
+        return cls(np.frombuffer(lengths, "<i8"), _spread(terms).split(), np.frombuffer(_spread(counts), "<i4"), lambda: _unpack(positions), asked)
+
+    @classmethod
+    def of(cls, texts: list[str | None], asked: dict[bytes, int]) -> Block:
+        """The block of texts that are at hand."""
+        lengths, terms, counts, positions = _postings(texts)
+        return cls(lengths, terms, counts, lambda: positions, asked)
 
     def list(self, term: int) -> np.ndarray:
         return self.positions[self.begin[term] : self.end[term]]
@@ -204,7 +211,7 @@ def _search(index: DataFrame, terms: dict[bytes, int], match: Callable[[Block, i
             out = []
             for i in range(batch.num_rows):
                 number, docs, *cells = (batch.column(c)[i] for c in range(6))
-                out.append(match(Block(*(x.as_py() for x in cells), terms), number.as_py(), docs.values))
+                out.append(match(Block.stored(*(x.as_py() for x in cells), terms), number.as_py(), docs.values))
             return joined(out)
 
         return step
@@ -240,7 +247,7 @@ def find_windows(index: DataFrame, windows: Windows) -> DataFrame:
         inside = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
         lo, hi = np.searchsorted(inside, block.starts), np.searchsorted(inside, block.ends)
         hits = [(inside[a:b] - s).astype("<i8").tobytes() for a, b, s in zip(lo, hi, block.starts, strict=True)]
-        columns = [pa.array([number] * n, pa.int64()), pa.array(np.arange(n)), docs.field("doc_id"), pa.array(block.lengths), pa.array(hits, pa.binary()), pa.array([sorted(h) for h in held], pa.list_(pa.string()))]
+        columns = [pa.array([number] * n, pa.int64()), pa.array(np.arange(n)), docs, pa.array(block.lengths), pa.array(hits, pa.binary()), pa.array([sorted(h) for h in held], pa.list_(pa.string()))]
         return pa.RecordBatch.from_arrays(columns, names=["block", "at", "doc_id", "n_words", "hits", "items"])
 
     return _search(index, windows.terms, match, "block long, at long, doc_id long, n_words long, hits binary, items array<string>")
@@ -261,7 +268,7 @@ def _places(index: DataFrame, queries: list[tuple[object, str]], find: Callable[
             ids += doc.tolist()
             places += (at - block.starts[doc]).tolist()
             names += [name] * len(at)
-        return pa.RecordBatch.from_arrays([docs.field("doc_id").take(pa.array(ids, pa.int64())), pa.array(names, pa.string()), pa.array(places, pa.int64())], names=["doc_id", "query", "position"])
+        return pa.RecordBatch.from_arrays([docs.take(pa.array(ids, pa.int64())), pa.array(names, pa.string()), pa.array(places, pa.int64())], names=["doc_id", "query", "position"])
 
     return _search(index, terms, match, "doc_id long, query string, position long")
 
@@ -329,31 +336,24 @@ def contamination(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id"
     return map_batches(found.select("doc_id", "n_words", "hits", "items"), start, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def _hit_texts(index: DataFrame, windows: Windows) -> DataFrame:
-    """(h1, h2) of the texts that hold a window."""
-
-    def match(block: Block, number: int, docs: pa.Array) -> pa.RecordBatch:
-        at = [doc for _, _, doc in _marked(windows, block)]
-        held = pa.array(np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64))
-        return pa.RecordBatch.from_arrays([docs.field(c).take(held) for c in ("h1", "h2")], names=["h1", "h2"])
-
-    return _search(index, windows.terms, match, "h1 long, h2 long")
-
-
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without any benchmark window, with all their columns, whatever their names.
 
-    Whether a row goes depends on its text alone, so rows meet the hits by 128 bits of it. Hits are broadcast where their
-    counted number allows it, and nothing is shuffled then.
+    As each text is read once, a block's posting lists are searched where they are built and not written: rows are
+    filtered where they are, without an index table, a join or a shuffle. Null and empty texts stay.
     """
-    scratch = Scratch(df.sparkSession)
-    with scratch:
-        index = build_index(df.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text")), scratch, keep=False)
-        hits = None
-        for w in passes(benchmark, item_col, item_text_col):
-            own = _hit_texts(index, w)
-            hits = own if hits is None else hits.unionByName(own)
-        hits = scratch.keep(hits.distinct(), "hits")
-    text = F.col("row").getField(text_col)
-    rows = df.select(F.struct("*").alias("row")).withColumn("h1", F.xxhash64(text)).withColumn("h2", F.xxhash64(F.lit(1), text))
-    return rows.join(small(hits, hits.count()), ["h1", "h2"], "left_anti").select("row.*")
+    at = df.columns.index(text_col)
+    for w in passes(benchmark, item_col, item_text_col):
+
+        def run(batches: Iterator[pa.RecordBatch], w: Windows = w) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for begin, end in _cuts(batch.column(at)):
+                    part = batch.slice(begin, end - begin)
+                    block = Block.of(part.column(at).to_pylist(), w.terms)
+                    hit = np.zeros(part.num_rows, bool)
+                    for _, _, docs in _marked(w, block):
+                        hit[docs] = True
+                    yield part.filter(pa.array(~hit))
+
+        df = map_arrow(df, run, df.schema)
+    return df
