@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, html_extract, jaccard_join, language_id, licenses, lm_scoring, packing, quality, resampling, sharding, toxicity
+from . import conversations, decontamination, exact_dedup, html_extract, jaccard_join, language_id, licenses, lm_scoring, packing, quality, resampling, sharding, toxicity
 from .common import Scratch
 
 #: Production parameters.
@@ -68,6 +68,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_all(table(spark, sf_dir, "documents")).drop("langs")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(given), scratch=Scratch(spark), also=given.select("conv_id"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), scratch=Scratch(spark))
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_conversations": op11_conversations,
     "op12_resampling": op12_resampling,
     "op13_lm_scoring": op13_lm_scoring,
 }
@@ -147,4 +153,4 @@ SELECT documents.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.root) AS com
 FROM documents JOIN r ON r.doc_id = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id GROUP BY documents.doc_id
 """
 
-ORACLE_SQL = {"op1_jaccard_join": OP1_SQL, "op4_licenses": licenses.oracle_sql(), "op6_exact_dedup": OP6_SQL, "op9_decontamination": OP9_SQL, "op12_resampling": resampling.ORACLE_SQL}
+ORACLE_SQL = {"op1_jaccard_join": OP1_SQL, "op4_licenses": licenses.oracle_sql(), "op6_exact_dedup": OP6_SQL, "op9_decontamination": OP9_SQL, "op11_conversations": conversations.ORACLE_SQL, "op12_resampling": resampling.ORACLE_SQL}
