@@ -90,10 +90,21 @@ class Scratch:
             for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
                 _delete(self.spark, f)
 
+    def _held(self, path: str) -> None:
+        if path not in _KEPT:
+            _KEPT.add(path)
+            atexit.register(_delete, self.spark, path)
+
+    def checkpoint(self, df: DataFrame) -> DataFrame:
+        """A reliable checkpoint, which keeps partitions and their order; it goes when kept tables do."""
+        out = df.checkpoint()
+        path = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if path.isDefined():
+            self._held(path.get())
+        return out
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        if self.root not in _KEPT:
-            _KEPT.add(self.root)
-            atexit.register(_delete, self.spark, self.root)
+        self._held(self.root)
         return self._write(df, f"{self.root}/keep/{name}-{uuid.uuid4().hex[:8]}")
 
 

@@ -16,7 +16,7 @@ from .common import map_batches, mix64
 #: Units that an encoder knows at most, about: beyond it it starts anew. Texts are cut together in blocks of about
 #: BLOCK_BYTES bytes.
 CACHE, BLOCK_BYTES = 600_000, 1 << 20
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, copy long"
 # What the tokenizer's pattern tells apart, as classes of bytes.
 SPACE, LETTER, DIGIT, SIGN, ODD = range(5)
 
@@ -49,13 +49,12 @@ class Encoder:
     is known, and no Python object is made for one that is.
     """
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str | None, cache: int = CACHE, *, text: str | None = None):
         import json
 
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = json.loads(text if text is not None else file_text(path))
         self.tokenizer, self.size = Tokenizer.from_str(json.dumps(spec)), cache
         split, byte_level = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])[:2]
         end = spec["model"].get("end_of_word_suffix")
@@ -110,7 +109,7 @@ class Encoder:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in plain.tolist()])], add_special_tokens=False)[0].ids, dtype="<u4")
         after = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
         if len(after) != len(plain) + 1:
-            raise ValueError("the tokenizer cuts words in another way than this encoder")
+            raise _Apart  # the tokenizer cuts words in another way
         count = np.zeros(len(texts), np.int64)
         count[plain] = np.diff(after)
         if odd.any():
@@ -131,7 +130,13 @@ class Encoder:
         at = 0
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(offsets[1:], offsets[at] + BLOCK_BYTES, side="right")))
-            yield from self._block(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            block, own = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+            try:
+                ids = self._block(block, own)
+            except _Apart:  # these texts go through the tokenizer whole
+                ids = [np.array(self.tokenizer.encode(block[a:b].tobytes().decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, dtype="<u4") for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
+                self._forget()
+            yield from ids
             at = to
 
     def _hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,11 +151,9 @@ class Encoder:
             out.append(mix64((sums[end] - sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64)))
         return out[0], out[1]
 
-    def _block(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    def _block(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         if not len(data):
-            for _ in range(len(offsets) - 1):
-                yield np.zeros(0, "<u4")
-            return
+            return [np.zeros(0, "<u4")] * (len(offsets) - 1)
         begin, end, odd = self._units(data, offsets)
         key, check = self._hashes(data, begin, end)
         distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
@@ -168,40 +171,54 @@ class Encoder:
             self.known, self.number = np.insert(self.known, at[new], distinct[new]), np.insert(self.number, at[new], number[new])
         unit = number[which]
         if (self.check[unit] != check).any():
-            raise ValueError("two words have the same hash")
+            raise _Apart  # two units have one hash
         count = self.count[unit]
         total = np.concatenate([[0], np.cumsum(count)])
         ids = self.ids[_ranges(self.first[unit], count)]
         bounds = total[np.searchsorted(begin, offsets)].tolist()
         if len(self.known) > self.size:
             self._forget()
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            yield ids[a:b]
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+class _Apart(Exception):
+    """A block's units can't be told apart or cut as the tokenizer does."""
+
+
+def file_text(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
 
 
 #: Fixed value: the multiplier of the byte polynomial, odd and so invertible modulo 2**64.
 MULTIPLIER = 0xD1342543DE82EF95
-#: One encoder for a Python worker, which reads a tokenizer's file once and not once a task.
-_ENCODER: dict[str, Encoder] = {}
+#: One encoder for a Python worker, which reads a tokenizer once and not once a task.
+_ENCODER: dict[int, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODER:
+def encoder(text: str) -> Encoder:
+    """The encoder of a tokenizer's JSON."""
+    key = zlib.crc32(text.encode())
+    if key not in _ENCODER:
         _ENCODER.clear()
-        _ENCODER[path] = Encoder(path)
-    return _ENCODER[path]
+        _ENCODER[key] = Encoder(None, text=text)
+    return _ENCODER[key]
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, *, capacity: int, end_id: int, parts: int, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Each document's ids and the end id, cut every ``capacity`` ids: a row for each piece.
 
-    ``part`` is the randomised group that packs the piece, drawn from the piece's own values alone, so a task that runs
-    again sends it to the same group. Null text is empty: one piece with the end id alone. ``with_ids`` adds the ids.
+    ``part`` is the randomised group that packs the piece, drawn from the piece's own values, so a task that runs again
+    sends it to the same group. Pieces alike in all values are counted, before they shuffle within each task, and drawn
+    by their number too: they spread over the groups however many they are. Null text is empty: one piece with the end
+    id alone. ``with_ids`` adds the ids. The driver reads the tokenizer's file and broadcasts its few megabytes.
     """
+    spec = df.sparkSession.sparkContext.broadcast(file_text(tokenizer_path))
 
     def start():
-        encode = encoder(tokenizer_path)
+        encode = encoder(spec.value)
         end = np.array([end_id], dtype="<u4")
+        seen: dict[int, int] = {}  # copies in this task so far, of pieces it has had
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             at, starts, lengths, crcs, totals, ids = [], [], [], [], [], []
@@ -217,13 +234,15 @@ def token_pieces(df: DataFrame, tokenizer_path: str, *, capacity: int, end_id: i
                     if with_ids:
                         ids.append(piece.tobytes())
             docs = batch.column(0).take(pa.array(at, pa.int64()))
-            key = docs.fill_null(-1).to_numpy().view(np.uint64)
-            draw = key
+            draw = docs.fill_null(-1).to_numpy().view(np.uint64)
             for x in (starts, crcs, totals):
                 draw = mix64(draw + np.uint64(seed)) + np.array(x, np.uint64)
-            part = (mix64(draw) % np.uint64(parts)).astype(np.int32)
-            columns = [docs, pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64()), pa.array(totals, pa.int64()), pa.array(part)]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part"]
+            copies = []
+            for d in draw.tolist():
+                seen[d] = copy = seen.get(d, -1) + 1
+                copies.append(copy)
+            columns = [docs, pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64()), pa.array(totals, pa.int64()), pa.array(copies, pa.int64())]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copy"]
             if with_ids:
                 columns.append(pa.array(ids, pa.binary()))
                 names.append("ids")
@@ -231,7 +250,14 @@ def token_pieces(df: DataFrame, tokenizer_path: str, *, capacity: int, end_id: i
 
         return step
 
-    return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), start, PIECES + (", ids binary" if with_ids else ""))
+    own = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
+    cut = map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), start, PIECES + (", ids binary" if with_ids else ""))
+    # copies numbered alike came from different tasks, so there are at most as many as tasks
+    counted = cut.groupBy(*own, "copy").agg(F.count("*").alias("n"))
+    single = counted.filter("n = 1").withColumn("at", F.lit(0).cast("long"))
+    many = counted.filter("n > 1").withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    part = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", "doc_tokens", "copy", "at"), F.lit(parts)).cast("int")
+    return single.unionByName(many).select(*own[:5], part.alias("part"), *own[5:])
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

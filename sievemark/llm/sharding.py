@@ -86,7 +86,7 @@ def shard_by_bytes(df: DataFrame, shards: int, *, scratch: Scratch, id_col: str
     Only (id, size, hash) rows are sorted, by range, so that a hot group spreads over partitions.
     """
     rows = sized(df, id_col, text_col).orderBy("g1", "g2", "doc_id", "size").withColumn("pid", F.spark_partition_id())
-    rows = rows.checkpoint()
+    rows = scratch.checkpoint(rows)  # and not a table, whose files would be dealt to tasks anew
     where, total = _layout(rows.mapInArrow(_totals, "pid long, rows long, bytes long, head long, tail long, f1 long, f2 long, l1 long, l2 long").collect())
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,11 +105,8 @@ def shard_by_bytes(df: DataFrame, shards: int, *, scratch: Scratch, id_col: str
         yield from table.to_batches()
 
     placed = rows.mapInArrow(assign, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, size long, text_crc32 long, shard int, row long")
-    first = {r["shard"]: r["first"] for r in placed.groupBy("shard").agg(F.min("row").alias("first")).collect()}  # a row for each shard
-    base = F.lit(0).cast("long")
-    for shard, row in first.items():
-        base = F.when(F.col("shard") == shard, F.lit(row)).otherwise(base)
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("row") - base).alias("slot"))
+    first = scratch.keep(placed.groupBy("shard").agg(F.min("row").alias("first")), "first")  # a row for each shard
+    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("row") - F.col("first")).alias("slot"))
 
 
 def write_shards(df: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:

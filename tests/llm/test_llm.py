@@ -303,3 +303,70 @@ def test_shingler_slices():
     whole = s(pa.array(["a b c d e f", None, "x"]))
     part = s(pa.array(["q", "a b c d e f", None, "x"]).slice(1))
     assert all((a == b).all() for a, b in zip(whole, part, strict=True)) and [len(x) for x in whole] == [2, 0, 1]
+
+
+def test_exact_dedup_with_a_full_filter_in_parts(spark):
+    """A filter so small that it is full, in several parts, and one whose parts are large: the same rows."""
+    from sievemark.llm import exact_dedup as E
+
+    draw = random.Random(21)
+    texts = [f"t{draw.randrange(3000)}" for _ in range(4000)] + [""] * 500 + [None] * 500
+    ids = [draw.choice([None, *range(900)]) for _ in texts]
+    rows = [sorted(map(str, exact_dedup(table(spark, texts, ids).select("doc_id", "text"), scratch=Scratch(spark), bits=b, parts=p).select("doc_id", "keep_id", "group_size", "text_sha256").collect())) for b, p in ((4, 1), (5, 3), (16, 4))]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 5000
+    assert E.filter_size(0)[0] == 1 and E.filter_size(10**6) == (1, 24, 2)
+    assert E.filter_size(10**9)[:2] == (4, 32) and E.filter_size(10**10) == (8, 32, 1)
+    base = table(spark, texts, ids).select(F.coalesce("text", F.lit("")).alias("sha"))
+    tested = E.may_repeat(base, E.repeated_filter(base, "sha", 3, 16, 2), "sha", 3, 16, 2).collect()
+    count = defaultdict(int)
+    for t in texts:
+        count[t or ""] += 1
+    assert all(r["__maybe"] for r in tested if count[r["sha"]] > 1)
+    assert sum(r["__maybe"] for r in tested if count[r["sha"]] == 1) < 0.1 * sum(n == 1 for n in count.values())
+
+
+def test_packing_spreads_copies(spark):
+    """A third of all rows alike in all values: no group gets many more than the others."""
+    texts, ids = [""] * 6000 + [f"own {i}" for i in range(6000)], [None] * 6000 + list(range(6000))
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    pieces = packing.token_pieces(docs, tokenizer_path(), capacity=64, end_id=2, parts=10)
+    sizes = [r["count"] for r in pieces.groupBy("part").count().collect()]
+    assert len(sizes) == 10 and sum(sizes) == 12000 and max(sizes) < 1500
+    packed = packing.pack_documents(docs, tokenizer_path(), capacity=64, docs_per_part=1200).collect()
+    assert len(packed) == 12000 and len({(r["sequence_id"], r["offset"]) for r in packed}) == 12000
+
+
+@pytest.mark.parametrize("fault", ["hash", "cut"])
+def test_encoder_falls_back_to_the_whole_tokenizer(fault, monkeypatch):
+    from tokenizers import Tokenizer
+
+    whole, texts = Tokenizer.from_file(tokenizer_path()), ["one two", "three, four!", None, "five don't 66"]
+    enc = packing.Encoder(tokenizer_path())
+    if fault == "hash":
+        monkeypatch.setattr(packing, "mix64", lambda x: x * np.uint64(0))
+        monkeypatch.setattr(enc, "_hashes", lambda data, begin, end: (np.zeros(len(begin), np.uint64), begin.astype(np.uint64)))
+    else:
+        enc.ends = ~enc.ends
+    for _ in range(2):
+        assert [x.tolist() for x in enc(pa.array(texts))] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_sharding_places_as_plain_python(spark):
+    draw = random.Random(22)
+    texts = [draw.choice([None, "", "same", f"t{draw.randrange(40)} " * draw.randrange(1, 30)]) for _ in range(700)]
+    rows = sharding.shard_by_bytes(table(spark, texts, list(range(700))), 5, scratch=Scratch(spark)).collect()
+    order = sharding.sized(table(spark, texts, list(range(700)))).orderBy("g1", "g2", "doc_id").collect()
+    total, at, want, slots = sum(r["size"] for r in order), 0, {}, defaultdict(int)
+    groups = defaultdict(list)
+    for r in order:
+        groups[r["g1"], r["g2"]].append(r)
+    for g in groups.values():
+        size = sum(r["size"] for r in g)
+        shard = (2 * at + size) * 5 // (2 * total)
+        for r in g:
+            want[r["doc_id"]] = (shard, slots[shard])
+            slots[shard] += 1
+        at += size
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in rows} == want
+    many = sharding.shard_by_bytes(table(spark, texts, list(range(700))), 5000, scratch=Scratch(spark))
+    assert many.count() == 700 and max(r["slot"] for r in many.collect()) >= 0
