@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..exprs import clean_text, col, compact, contains_any, count_hits, first_case, lines, money_yuan, normalize_clause, strip, unique_keep_order
+from .quotes import find_quotes
 
 
 def keyword_lines(text: str | Column, words: list[str] | tuple[str, ...], limit: int = 8, width: int = 240) -> Column:
@@ -180,10 +181,16 @@ def coverage_candidates(docs: DataFrame, doc: str, text: str, limit: int = 20) -
 
 
 def uncovered(candidates: DataFrame, returned: DataFrame, evidence: str = "evidence") -> DataFrame:
-    """The candidates whose evidence neither holds nor is held by any returned evidence; blank ones cover nothing."""
-    held = returned.select(normalize_clause(evidence).alias("__held")).filter("__held <> ''").distinct()
+    """The candidates whose evidence neither holds nor is held by any returned evidence; blank ones cover nothing.
+
+    Either way is a search of many quotes in many texts, by the quotes' rarest words.
+    """
+    held = returned.select(normalize_clause(evidence).alias("text")).filter("text <> ''").distinct()
     rows = candidates.withColumn("__own", normalize_clause(evidence))
-    return rows.join(F.broadcast(held), F.contains("__own", "__held") | F.contains("__held", "__own"), "left_anti").drop("__own")
+    own = rows.select(F.col("__own").alias("text")).filter("text <> ''").distinct()
+    pair = lambda quotes, texts: find_quotes(quotes.select(F.col("text").alias("qid"), F.col("text").alias("quote")), texts.select(F.col("text").alias("id"), "text"))
+    covered = pair(held, own).select(F.col("id").alias("__own")).unionByName(pair(own, held).select(F.col("qid").alias("__own"))).distinct()
+    return rows.join(covered, "__own", "left_anti").select(*candidates.columns)
 
 
 def clause_group(text: str | Column) -> Column:

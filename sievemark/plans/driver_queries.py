@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..exprs import clean_text, compact, issue_id, line_number, normalize_clause, normalize_compare, normalized_value, unique_keep_order
 from ..operators import links, scores, text
+from ..operators.quotes import find_quotes
 from . import lifecycle, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,11 +136,9 @@ def flt_06_is_heading(spark, sf):
 
 @query("SELECT b.item_id, d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def flt_14_evidence_verbatim(spark, sf):
-    """Quotes found in documents: the rows of a quote table against documents; a checked number of quotes is broadcast."""
-    quotes = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")).filter("quote <> ''")
-    if quotes.count() <= 10_000:
-        quotes = F.broadcast(quotes)
-    return docs(spark, sf).select("doc_id", "text").join(quotes, F.contains("text", F.col("quote"))).select("item_id", "doc_id")
+    """Quotes found in documents, anchored at their rarest words."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("quote"))
+    return find_quotes(items, docs(spark, sf).select(F.col("doc_id").alias("id"), "text")).select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"))
 
 
 JOI_06_SQL = "SELECT b.item_id, min(d.doc_id) AS document_id, count(*) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY 1"
@@ -526,6 +525,47 @@ def lif_02_quality_review(spark, sf):
     return rows.select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def benchmark_issues(spark, sf):
+    """benchmark as findings: each quotes its own text twice; every third names a file, of which only some are known."""
+    name = F.when(F.col("item_id") % 3 == 0, F.when(F.col("item_id") % 2 == 0, "web").otherwise("no such file")).otherwise("")
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("seq"), name.alias("source_file"), F.lit("").alias("source_location"), F.array("text", "text").alias("evidence"))
+
+
+def document_contexts(spark, sf):
+    """documents as contexts: the text, and a row of metadata."""
+    d = docs(spark, sf).select(F.col("source").alias("file_name"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("place"), F.lit(0).alias("ord"), F.col("lang").alias("section"), F.lit(None).cast("int").alias("page"), "text", F.concat_ws("|", "source", "lang").alias("meta"))
+    parts = F.explode(F.array(F.struct(F.lit("text").alias("part"), F.col("text").alias("content")), F.struct(F.lit("metadata").alias("part"), F.col("meta").alias("content"))))
+    return d.select("file_name", "document_id", "place", "ord", "section", "page", parts.alias("p")).select("file_name", "document_id", "place", "p.part", "ord", "section", "page", "p.content")
+
+
+REFS_SQL = r"""i AS (SELECT item_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS quote, CASE WHEN item_id % 6 = 0 THEN 'web' WHEN item_id % 3 = 0 THEN 'no such file' ELSE '' END AS named FROM benchmark),
+refs AS (SELECT item_id, quote, named, doc_id, source, lang, instr(text, quote) - 1 AS position FROM i JOIN documents d ON quote <> '' AND contains(d.text, quote)
+         WHERE named NOT IN (SELECT source FROM documents WHERE source IS NOT NULL) OR named = source)"""
+
+
+@query(f"WITH {REFS_SQL} SELECT item_id, doc_id, CAST(position AS BIGINT) AS position, 'text' AS source_type, source FROM refs")
+def lif_01_evidence_refs(spark, sf):
+    refs = lifecycle.evidence_refs(benchmark_issues(spark, sf), document_contexts(spark, sf))
+    return refs.select(F.col("seq").alias("item_id"), F.col("document_id").alias("doc_id"), "position", "source_type", F.col("file_name").alias("source"))
+
+
+@query(f"""WITH {REFS_SQL}, n AS (SELECT item_id, count(*) AS n_refs, arg_min(source, doc_id) AS source, arg_min(lang, doc_id) AS lang FROM refs GROUP BY 1)
+SELECT i.item_id, coalesce(n_refs, 0) AS n_refs, CASE WHEN named = '' THEN coalesce(n.source, '') ELSE named END AS source_file, CASE WHEN n_refs > 0 THEN coalesce(n.lang, '') ELSE '' END AS source_location
+FROM i LEFT JOIN n USING (item_id)""")
+def lif_01_enrich_evidence(spark, sf):
+    rows = lifecycle.enrich_evidence(benchmark_issues(spark, sf), document_contexts(spark, sf))
+    return rows.select(F.col("seq").alias("item_id"), F.size("evidence_refs").cast("long").alias("n_refs"), "source_file", "source_location")
+
+
+@query("""WITH i AS (SELECT *, row_number() OVER (PARTITION BY source, lang, text ORDER BY doc_id) AS n FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, CASE WHEN n > 1 THEN 'duplicate' WHEN coalesce(quality, 1) = 0 THEN 'blank' WHEN coalesce(toxic, 0) = 1 THEN 'unflagged' ELSE '' END AS reason FROM i""")
+def lif_02c_review_reasons(spark, sf):
+    """Every document as a finding that quotes its whole text; labels give description, risk and flag."""
+    d = docs(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
+    issues = d.select(F.col("doc_id").alias("seq"), F.col("source").alias("source_file"), F.col("lang").alias("source_location"), F.lit("x").alias("issue_type"), F.when(F.col("quality") == 0, "").otherwise("d").alias("description"), F.when(F.col("toxic") == 1, "高").otherwise("中").alias("risk_level"), F.lit(False).alias("requires_human_review"), F.array("text").alias("evidence"))
+    return lifecycle.review_reasons(issues, docs(spark, sf).select(F.col("source").alias("source_file"), "text")).select(F.col("seq").alias("doc_id"), "reason")
+
+
 @query("SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0")
 def lif_06_needs_human_review(spark, sf):
     return table(spark, sf, "labels").filter((F.col("toxic") == 1) | (F.col("quality") == 0)).select("doc_id")

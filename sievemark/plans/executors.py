@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..exprs import col, compact, strip
+from ..operators.quotes import find_quotes
 
 # Patterns, words and suffixes that results must agree on.
 LOT_PATTERNS = (r"(?:包编号|包号|标包)\s*[:：]?\s*([^\n；。]+)", r"项目编号\s*[:：]?\s*([^\n；。]*?(?:号-\d+|ZBDL\d+号-\d+))", r"项目名称\s*[:：]?\s*([^\n；。]*?\d+分包)")
@@ -257,13 +258,14 @@ def missing_inputs(docs: DataFrame) -> DataFrame:
 def unsupported_rejections(records: DataFrame, procurement: DataFrame, terms: Column) -> DataFrame:
     """CHK-13 with JOI-09: (doc, bidder, why) of rejections whose clause and reason no procurement text holds.
 
-    procurement: text, a row for each document, asked one by one; ``terms`` are the reason's words.
+    procurement: text, a row for each document; ``terms`` are the reason's words. A blank term is in every text.
     """
-    rows = records.withColumn("__t", terms).withColumn("__id", F.monotonically_increasing_id())
-    texts = procurement.filter("text <> ''")
-    held = texts.withColumnRenamed("text", "__text")
-    met = ((F.col("cited") != "") & F.contains("__text", F.col("cited"))) | F.exists("__t", lambda t: F.contains(F.col("__text"), t))
-    return rows.join(held, met, "left_anti").withColumn("__n", texts.agg(F.count("*")).scalar()).select("doc", "bidder", F.when(F.col("__n") == 0, "no procurement document").otherwise("not found").alias("why"))
+    rows = records.withColumn("__t", terms).withColumn("__q", F.array_distinct(F.filter(F.array_append("__t", F.col("cited")), lambda q: q != "")))
+    texts = procurement.filter("text <> ''").select(F.lit(0).alias("id"), "text")
+    met = find_quotes(rows.select(F.explode("__q").alias("qid")).distinct().withColumn("quote", F.col("qid")), texts).select(F.col("qid").alias("__m")).distinct()
+    held = rows.select("__q", F.explode("__q").alias("__m")).join(met, "__m", "left_semi").select("__q").distinct()
+    rows = rows.join(held, "__q", "left_anti").withColumn("__n", texts.agg(F.count("*")).scalar())
+    return rows.filter((F.col("__n") == 0) | ~F.exists("__t", lambda t: t == "")).select("doc", "bidder", F.when(F.col("__n") == 0, "no procurement document").otherwise("not found").alias("why"))
 
 
 def unknown_citations(citations: DataFrame, laws: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..exprs import issue_id, issue_state, strip
+from ..operators.quotes import find_quotes
 
 
 def verbatim(issues: DataFrame, docs: DataFrame, doc: str, text: str, evidence: str, least: int = 1) -> DataFrame:
@@ -39,23 +40,28 @@ def dedupe_anomaly(issues: DataFrame) -> DataFrame:
 def review_reasons(issues: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds ``reason``: duplicate, blank, unflagged, unproven, unlocated, or '' for a valid issue.
 
-    Duplicates are told before anything else. Evidence may be in the named file or, where it has no text, in any file.
+    Duplicates are told before anything else. Evidence may be in any document of the named file or, where that has no
+    text, in any document. ``seq`` tells issues apart.
     """
-    texts = docs.groupBy("source_file").agg(F.first("text").alias("__text"))
-    whole = docs.agg(F.array_join(F.collect_list("text"), "\n").alias("__all"))  # the documents of one task
+    texts = docs.filter("text <> ''").select("source_file", "text")
+    quoted = issues.select("seq", "source_file", F.explode(F.array_distinct("evidence")).alias("quote")).filter("quote <> ''")
+    held = texts.select("source_file").distinct().withColumn("own", F.lit(True))
+    quoted = quoted.join(held, "source_file", "left")
+    # the files go along as an id, so that a quote meets only documents that hold it, of whatever file
+    found = find_quotes(quoted.select(F.struct("seq", "source_file", F.coalesce("own", F.lit(False)).alias("own"), "quote").alias("qid"), "quote"), texts.select(F.col("source_file").alias("id"), "text"))
+    met = found.filter(~F.col("qid.own") | F.col("qid.source_file").eqNullSafe(F.col("id"))).select(F.col("qid.seq").alias("seq"), F.col("qid.quote").alias("quote")).distinct()
+    lost = quoted.join(met, ["seq", "quote"], "left_anti").select("seq").distinct().withColumn("__lost", F.lit(True))
     key = Window.partitionBy("source_file", "source_location", "issue_type", F.transform("evidence", strip)).orderBy("seq")
-    rows = issues.withColumn("__n", F.row_number().over(key)).join(texts, "source_file", "left").withColumn("__all", whole.scalar())
-    text = F.when(F.coalesce("__text", F.lit("")) != "", F.col("__text")).otherwise(F.col("__all"))
-    located = F.forall("evidence", lambda e: (e == "") | F.contains(text, e))
+    rows = issues.withColumn("__n", F.row_number().over(key)).join(lost, "seq", "left")
     reason = (
         F.when(F.col("__n") > 1, "duplicate")
         .when(strip("description") == "", "blank")
         .when((F.col("risk_level") == "高") & ~F.col("requires_human_review"), "unflagged")
         .when((F.col("risk_level") == "高") & (F.size("evidence") == 0), "unproven")
-        .when(~located, "unlocated")
+        .when(F.col("__lost"), "unlocated")
         .otherwise("")
     )
-    return rows.withColumn("reason", reason).drop("__n", "__text", "__all")
+    return rows.withColumn("reason", reason).select(*issues.columns, "reason")
 
 
 def with_issue_id(issues: DataFrame) -> DataFrame:
@@ -107,20 +113,67 @@ def risk_statistics(issues: DataFrame) -> DataFrame:
     )
 
 
+def _places(quotes: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(qid, c, position): where each quote (qid, quote, source_file) stands, c being the row of ``contexts`` without its content.
+
+    A quote of a known file is sought in that file's documents, any other in all of them.
+    """
+    row = F.struct(*[c for c in contexts.columns if c != "content"])
+    parts = contexts.select(row.alias("id"), F.col("content").alias("text"))
+    known = contexts.select(F.col("file_name").alias("source_file")).distinct().withColumn("known", F.lit(True))
+    asked = quotes.join(known, "source_file", "left").select(F.struct("qid", "source_file", F.coalesce("known", F.lit(False)).alias("known")).alias("qid"), "quote")
+    found = find_quotes(asked, parts).filter(~F.col("qid.known") | (F.col("qid.source_file") == F.col("id.file_name")))
+    return found.select(F.col("qid.qid").alias("qid"), F.col("id").alias("c"), "position")
+
+
+def _rank() -> Column:
+    return F.when(F.col("c.part") == "text", 0).when(F.col("c.part") == "table", 1).otherwise(2)
+
+
 def locate_quotes(quotes: DataFrame, contexts: DataFrame) -> DataFrame:
     """(seq, quote, document_id, source_type, page): each quote in text, else table, else metadata of the named file's documents.
 
     quotes: seq, quote, source_file. contexts: file_name, document_id, part (text, table, metadata), page, content.
     Quotes of no known file are sought in all documents of the task.
     """
-    known = contexts.select(F.col("file_name").alias("source_file")).distinct().withColumn("__known", F.lit(True))
-    q = quotes.withColumn("quote", strip("quote")).filter("quote <> ''").join(known, "source_file", "left")
-    kind = F.when(F.col("part") == "text", 0).when(F.col("part") == "table", 1).otherwise(2)
-    c = contexts.withColumn("prio", kind)
-    named = q.filter("__known").join(c, q["source_file"] == c["file_name"])
-    other = q.filter("__known IS NULL").join(c, F.contains(c["content"], q["quote"]))
-    found = named.unionByName(other).filter(F.contains("content", F.col("quote")))
-    return found.groupBy("seq", "quote", "document_id").agg(F.min(F.struct("prio", "page", "part")).alias("r")).select("seq", "quote", "document_id", F.col("r.part").alias("source_type"), F.col("r.page").alias("page"))
+    q = quotes.withColumn("quote", strip("quote")).filter("quote <> ''").withColumn("qid", F.struct("seq", "quote"))
+    found = _places(q, contexts).groupBy("qid", F.col("c.document_id").alias("document_id")).agg(F.min(F.struct(_rank().alias("prio"), F.col("c.page").alias("page"), F.col("c.part").alias("part"))).alias("r"))
+    return found.select("qid.seq", "qid.quote", "document_id", F.col("r.part").alias("source_type"), F.col("r.page").alias("page"))
+
+
+def evidence_refs(issues: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(seq, at, quote, document_id, file_name, source_type, section, page, position) of each issue's evidence.
+
+    issues: seq, source_file, evidence. contexts: file_name, document_id, place (a document's), part (text, table,
+    metadata), ord (a part's row), section, page, content. Of a document that holds a quote the first part counts: text
+    before tables before metadata, then by ``ord``; a quote that an issue gives twice has one reference. ``at`` is the
+    quote's place in the evidence, ``position`` that of its first character in the part.
+    """
+    quoted = issues.select("seq", F.coalesce("source_file", F.lit("")).alias("source_file"), F.posexplode("evidence").alias("at", "raw")).withColumn("quote", strip("raw")).filter("quote <> ''")
+    quoted = quoted.groupBy("seq", "source_file", "quote").agg(F.min("at").alias("at")).withColumn("qid", F.struct("seq", "at", "quote"))
+    best = F.min(F.struct(_rank().alias("prio"), F.col("c.ord").alias("ord"), F.col("c.section").alias("section"), F.col("c.page").alias("page"), F.col("c.part").alias("part"), "position", F.col("c.file_name").alias("file_name"), F.col("c.place").alias("place")))
+    found = _places(quoted, contexts).groupBy("qid", F.col("c.document_id").alias("document_id")).agg(best.alias("r"))
+    return found.select("qid.seq", "qid.at", "qid.quote", "document_id", "r.file_name", "r.place", F.col("r.part").alias("source_type"), "r.section", "r.page", "r.position")
+
+
+def enrich_evidence(issues: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Issues with ``evidence_refs``, and with source_file and source_location of the first one where they are blank.
+
+    References go by the quote's place in the evidence, then by the document's. Issues whose quotes no document holds have
+    an empty array and keep what they had.
+    """
+    one = F.struct("at", "place", "document_id", "quote", "file_name", "source_type", "section", "page", "position")
+    refs = evidence_refs(issues, contexts).groupBy("seq").agg(F.array_sort(F.collect_list(one)).alias("evidence_refs"))
+    rows = issues.join(refs, "seq", "left")
+    first = F.get("evidence_refs", F.lit(0))
+    page = F.when(first["page"] > 0, F.concat(F.lit("第"), first["page"].cast("string"), F.lit("页")))
+    place = F.concat_ws("，", F.nullif(first["section"], F.lit("")), page)
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    return rows.withColumns({
+        "source_file": F.when(blank("source_file"), F.coalesce(first["file_name"], F.lit(""))).otherwise(F.col("source_file")),
+        "source_location": F.when(blank("source_location"), place).otherwise(F.col("source_location")),
+        "evidence_refs": F.coalesce("evidence_refs", F.array().cast(refs.schema["evidence_refs"].dataType)),
+    }).select(*issues.columns, "evidence_refs")
 
 
 def quality_report(issues: DataFrame) -> DataFrame:
