@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .. import storage
 from ..exprs import clean_text, compact, issue_id, line_number, normalize_clause, normalize_compare, normalized_value, unique_keep_order
 from ..operators import links, scores, text
 from ..operators.quotes import find_quotes
@@ -515,6 +517,18 @@ def ret_02_search(spark, sf):
 QUERIES["srt_02_topk_search"], ORACLE["srt_02_topk_search"] = ret_02_search, SEARCH_SQL
 
 
+@query(SEARCH_SQL)
+def snk_02_index_search(spark, sf):
+    """All chunks of documents as one task of an index beside another one, and searched from there."""
+    index = retrieval.TermIndex(spark, f"evidence_{uuid.uuid4().hex[:8]}", storage.fresh(spark, "index"))
+    chunks = chunk_table(spark, sf)
+    index.write(chunks.withColumn("task", F.lit("all")))
+    index.write(table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("chunk_id"), F.col("text").alias("content"), F.lit("").alias("section"), F.lit(0.5).alias("confidence"), F.lit(True).alias("requires_human_review"), F.lit("bench").alias("task")))
+    found = index.search("all", SEARCH)  # reads a written table of the chunks it met, and no more the index
+    index.drop()
+    return found
+
+
 @query("""WITH i AS (SELECT doc_id, source, lang, substr(text, 1, 30) AS quote, CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'd' END AS description, CASE WHEN doc_id % 4 = 0 THEN '高' ELSE '中' END AS risk, doc_id % 8 <> 0 AS review, row_number() OVER (PARTITION BY source, lang, substr(text, 1, 30) ORDER BY doc_id) AS n FROM documents)
 SELECT CASE WHEN n > 1 THEN 'duplicate' WHEN description = '' THEN 'blank' WHEN risk = '高' AND NOT review THEN 'unflagged' ELSE '' END AS reason, count(*) AS n FROM i GROUP BY 1""")
 def lif_02_quality_review(spark, sf):

@@ -1,21 +1,28 @@
-"""Lexical evidence search over chunks: character bigrams and ASCII words, weighted by inverse document frequency."""
+"""Lexical evidence search: character bigrams and ASCII words, weighted by inverse document frequency.
+
+``search`` reads chunks; ``TermIndex`` keeps a written table of terms, bucketed by term and partitioned by task, of which
+a search reads the buckets of its own terms only.
+"""
 
 from __future__ import annotations
 
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..exprs import col, compact
+from ..storage import written
 
 #: Words of the index.
 WORD = r"[a-z0-9_.-]{2,}"
+SPACE = re.compile(r"\s+")
+CHUNK = ("chunk_id", "content", "section", "confidence", "requires_human_review")
 
 
 def query_terms(query: str) -> list[str]:
-    text = re.sub(r"\s+", "", query.lower())
+    text = SPACE.sub("", query.lower())
     return sorted({text[i : i + 2] for i in range(len(text) - 1)} | set(re.findall(WORD, query.lower())))
 
 
@@ -30,30 +37,109 @@ def document_frequency(chunks: DataFrame, text: str) -> DataFrame:
     return chunks.select(F.explode(terms(text)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+def has_term(body: Column, low: Column, term: str) -> Column:
+    """Whether a text has a term. body: without white space, low: with it, both lower-cased.
+
+    A term of two characters is one of the pairs, or a word and so one too; a longer one is a whole word.
+    """
+    if len(term) == 2:
+        return F.contains(body, F.lit(term))
+    bounds = f"(?<![a-z0-9_.-]){re.escape(term)}(?![a-z0-9_.-])"
+    return F.contains(low, F.lit(term)) & low.rlike(bounds)
+
+
+def scored(met: DataFrame, wanted: list[str], total: int, counts: dict[int, int], limit: int) -> DataFrame:
+    """The best of ``met`` (chunk_id, hits, whole, titled, confidence, requires_human_review) by score and then id.
+
+    hits: which of the query's terms a chunk has, by their place in ``wanted``. A chunk needs a common term, and three
+    tenths of a query of three terms or more.
+    """
+    idf = [math.log((total + 1) / (counts.get(i, 0) + 0.5)) + 1 for i in range(len(wanted))]
+    weight = F.array(*map(F.lit, idf))
+    hit = F.aggregate("hits", F.lit(0.0), lambda a, i: a + F.get(weight, i))
+    least = F.lit(0.3 * len(wanted)) if len(wanted) >= 3 else F.lit(0.0)
+    score = hit / F.greatest(F.lit(1.0), F.lit(sum(idf))) + F.when(F.col("whole"), 0.25).otherwise(0.0) + F.when(F.col("titled"), 0.12).otherwise(0.0)
+    score += 0.05 * F.col("confidence") - F.when(F.col("requires_human_review"), 0.02).otherwise(0.0)
+    ranked = met.filter((F.size("hits") > 0) & (F.size("hits") >= least)).select("chunk_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)).alias("s"))
+    return ranked.orderBy(F.desc("s"), "chunk_id").limit(max(1, min(limit, 50))).select("chunk_id", F.round("s", 4).alias("score"))
+
+
+def _flags(query: str) -> tuple[Column, Column]:
+    """Whether a chunk has the whole query, and whether its section's name has."""
+    whole = F.lit(SPACE.sub("", query.lower()))
+    return F.contains(compact(F.lower("content")), whole), F.contains(compact(F.lower(F.coalesce("section", F.lit("")))), whole)
+
+
 def search(chunks: DataFrame, query: str, limit: int = 8, *, where: Column | None = None) -> DataFrame:
     """The best chunks for a query, by score and then id. chunks: chunk_id, content, section, confidence, requires_human_review.
 
-    N and the document frequencies are over the chunks that ``where`` lets through. A chunk needs a common term, and
-    three tenths of a query of three terms or more. A chunk's terms are met with the query's where the chunk is read, so
-    no postings are made: one aggregate of a count for each query term, and one scan with the top rows.
+    N and the document frequencies are over the chunks that ``where`` lets through. One scan asks each text for the
+    query's terms and writes which it has, a few numbers a chunk; frequencies and scores come from there.
     """
     wanted = query_terms(query)
     if where is not None:
         chunks = chunks.filter(where)
     if not query.strip() or not wanted:
         return chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
-    body = compact(F.lower("content"))
-    met = F.array_intersect(terms("content"), F.array(*map(F.lit, wanted)))
-    rows = chunks.select("chunk_id", "content", "section", "confidence", "requires_human_review", met.alias("met"))
-    got = rows.agg(F.count("*").alias("n"), *[F.sum(F.array_contains("met", t).cast("int")).alias(f"d{i}") for i, t in enumerate(wanted)]).first()
-    idf = [math.log((got["n"] + 1) / ((got[f"d{i}"] or 0) + 0.5)) + 1 for i in range(len(wanted))]
-    total = F.lit(sum(idf))
-    hit = sum((F.array_contains("met", t).cast("int") * w for t, w in zip(wanted[1:], idf[1:], strict=True)), F.array_contains("met", wanted[0]).cast("int") * idf[0])
-    overlap = F.size("met")
-    least = F.lit(0.3 * len(wanted)) if len(wanted) >= 3 else F.lit(0.0)
-    whole = re.sub(r"\s+", "", query.lower())
-    score = hit / F.greatest(F.lit(1.0), total)
-    score += F.when(F.contains(body, F.lit(whole)), 0.25).otherwise(0.0) + F.when(F.contains(compact(F.lower("section")), F.lit(whole)), 0.12).otherwise(0.0)
-    score += 0.05 * F.col("confidence") - F.when(F.col("requires_human_review"), 0.02).otherwise(0.0)
-    ranked = rows.filter((overlap > 0) & (overlap >= least)).select("chunk_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)).alias("s"))
-    return ranked.orderBy(F.desc("s"), "chunk_id").limit(max(1, min(limit, 50))).select("chunk_id", F.round("s", 4).alias("score"))
+    rows = chunks.select(*CHUNK, F.lower("content").alias("low"), compact(F.lower("content")).alias("body"))
+    hits = F.array_compact(F.array(*[F.when(has_term(F.col("body"), F.col("low"), t), i) for i, t in enumerate(wanted)]))
+    whole, titled = _flags(query)
+    met = written(rows.select("chunk_id", hits.alias("hits"), whole.alias("whole"), titled.alias("titled"), "confidence", "requires_human_review"), "hits")
+    counts = dict(map(tuple, met.select(F.explode("hits").alias("i")).groupBy("i").count().collect()))  # a row for each term
+    return scored(met, wanted, met.count(), counts, limit)
+
+
+class TermIndex:
+    """A written index of chunks: a table of (task, term, chunk_id) and one of the chunks themselves.
+
+    Both are partitioned by task, and the terms are bucketed, so that writing a task again replaces that task alone and
+    a search reads the files of its terms and its task.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, path: str, buckets: int = 64):
+        self.spark, self.terms, self.chunks, self.path, self.buckets = spark, f"{name}_terms", f"{name}_chunks", path, buckets
+
+    def _put(self, df: DataFrame, table: str, bucketed: str | None) -> None:
+        if self.spark.catalog.tableExists(table):
+            mode = "spark.sql.sources.partitionOverwriteMode"
+            before = self.spark.conf.get(mode)
+            self.spark.conf.set(mode, "dynamic")
+            try:
+                df.select(*self.spark.table(table).columns).write.insertInto(table, overwrite=True)
+            finally:
+                self.spark.conf.set(mode, before)
+            return
+        out = df.write.partitionBy("task").format("parquet").option("path", f"{self.path}/{table}")
+        (out.bucketBy(self.buckets, bucketed).sortBy(bucketed) if bucketed else out).saveAsTable(table)
+
+    def write(self, chunks: DataFrame) -> None:
+        """Writes the tasks that ``chunks`` (task and the columns of CHUNK, others along) has; other tasks stay as they are.
+
+        A row is made for each distinct term of a chunk, where the chunk is read; rows shuffle once, to their bucket.
+        """
+        posted = chunks.select("task", "chunk_id", F.explode(terms("content")).alias("term")).select("chunk_id", "term", "task")
+        self._put(posted.repartition(self.buckets, "term"), self.terms, "term")
+        self._put(chunks.select(*[c for c in chunks.columns if c != "task"], "task"), self.chunks, None)
+
+    def drop(self) -> None:
+        for table in (self.terms, self.chunks):
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+    def postings(self, task: str, wanted: list[str]) -> DataFrame:
+        """The rows of a task's terms: one partition, and of its buckets those that hold a term."""
+        return self.spark.table(self.terms).filter((F.col("task") == task) & F.col("term").isin(*wanted))
+
+    def search(self, task: str, query: str, limit: int = 8, *, where: Column | None = None) -> DataFrame:
+        """As ``search`` over the task's chunks; of their texts only those of chunks that have a term are read."""
+        wanted = query_terms(query)
+        chunks = self.spark.table(self.chunks).filter(F.col("task") == task)
+        if where is not None:
+            chunks = chunks.filter(where)
+        if not query.strip() or not wanted:
+            return chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+        place = F.create_map(*[F.lit(x) for i, t in enumerate(wanted) for x in (t, i)])
+        hits = self.postings(task, wanted).groupBy("chunk_id").agg(F.array_sort(F.collect_list(place[F.col("term")])).alias("hits"))  # at most a query's terms
+        whole, titled = _flags(query)
+        met = written(chunks.join(hits, "chunk_id").select("chunk_id", "hits", whole.alias("whole"), titled.alias("titled"), "confidence", "requires_human_review"), "hits")
+        counts = dict(map(tuple, met.select(F.explode("hits").alias("i")).groupBy("i").count().collect()))
+        return scored(met, wanted, chunks.count(), counts, limit)
