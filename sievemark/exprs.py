@@ -130,3 +130,8 @@ def issue_state(flag: Column, detection: Column, final_status: Column) -> Column
         F.when(review, "待人工判断").when(status == "passed", "未发现问题").otherwise("明确问题").alias("assessment"),
         F.when(review, "human_review").when(status == "passed", "passed").otherwise("confirmed_issue").alias("final_status"),
     )
+
+
+def canonical_json(c: str | Column) -> Column:
+    """JSON text with keys in order and no white space between; null where it is no JSON."""
+    return F.to_json(F.try_parse_json(col(c)))

@@ -13,6 +13,8 @@ from .. import storage
 from ..exprs import clean_text, compact, issue_id, line_number, normalize_clause, normalize_compare, normalized_value, unique_keep_order
 from ..operators import links, scores, text
 from ..operators.quotes import find_quotes
+from ..streaming import cache
+from ..streaming.events import read_stream
 from . import lifecycle, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -600,3 +602,31 @@ def str_01_latest_event(spark, sf):
     from ..streaming.events import latest
 
     return latest(table(spark, sf, "events"), "user_id").select("user_id", "ts", "event_type")
+
+
+CACHE_SQL = """WITH r AS (SELECT *, event_id %% 2 AS version, event_type IN ('signup', 'purchase') AS put FROM events),
+s AS (SELECT *, max_by(CASE WHEN put THEN {'ts': ts, 'payload': props} END, CASE WHEN put THEN {'ts': ts, 'id': event_id} END) OVER w AS last FROM r
+      WINDOW w AS (PARTITION BY user_id, version ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, coalesce(%s, false) AS hit, CASE WHEN %s THEN last.payload END AS payload FROM s WHERE NOT put"""
+ALIVE = "epoch_us(ts) - epoch_us(last.ts) < 21601 * 1000000"
+
+
+def cache_requests(events: DataFrame) -> DataFrame:
+    """events as requests for what is known of a user: signups and purchases put, the others get, by two versions."""
+    key = cache.cache_key(F.lit("users"), F.to_json(F.struct("user_id")), (F.col("event_id") % 2).cast("string"), F.lit("1"))
+    return events.select(key.alias("key"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.when(F.col("event_type").isin("signup", "purchase"), "put").otherwise("get").alias("op"), F.col("props").alias("payload"))
+
+
+@query(CACHE_SQL % (ALIVE, ALIVE))
+def str_02_versioned_cache(spark, sf):
+    """All events as a stream through the cache, six hours of life."""
+    path, like = f"{sf}/events.parquet", table(spark, sf, "events")
+    out, state = storage.fresh(spark, "cache"), storage.fresh(spark, "cache-state")
+    cache.run_available(cache_requests(read_stream(spark, path, like)), out, state, ttl_seconds=6 * 3600)
+    return spark.read.schema("key string, seq long, at timestamp, hit boolean, payload string").parquet(out).select(F.col("seq").alias("event_id"), "hit", "payload")
+
+
+@query(CACHE_SQL % ("last IS NOT NULL", "last IS NOT NULL"))
+def str_02_cache_without_end(spark, sf):
+    """The same as a batch, and entries never end."""
+    return cache.cached(cache_requests(table(spark, sf, "events")), ttl_seconds=-1).select(F.col("seq").alias("event_id"), "hit", "payload")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import path_of
 
 def tumbling(events: DataFrame, width: str, late: str = "10 minutes", ts: str = "ts", slide: str | None = None) -> DataFrame:
     """(start, event_type, n, total) by windows of event time; on a stream, events later than ``late`` are dropped."""
@@ -32,4 +33,9 @@ def live_entries(cache: DataFrame, now: str, ttl_seconds: int) -> DataFrame:
 
 
 def read_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    return spark.readStream.schema(like.schema).parquet(path)
+    """Parquet files as a stream: those of a folder, or one file."""
+    reader = spark.readStream.schema(like.schema)
+    fs, p = path_of(spark, path)
+    if fs.exists(p) and fs.getFileStatus(p).isFile():
+        return reader.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
+    return reader.parquet(path)
