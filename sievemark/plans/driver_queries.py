@@ -608,7 +608,7 @@ CACHE_SQL = """WITH r AS (SELECT *, event_id %% 2 AS version, event_type IN ('si
 s AS (SELECT *, max_by(CASE WHEN put THEN {'ts': ts, 'payload': props} END, CASE WHEN put THEN {'ts': ts, 'id': event_id} END) OVER w AS last FROM r
       WINDOW w AS (PARTITION BY user_id, version ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
 SELECT event_id, coalesce(%s, false) AS hit, CASE WHEN %s THEN last.payload END AS payload FROM s WHERE NOT put"""
-ALIVE = "epoch_us(ts) - epoch_us(last.ts) < 21601 * 1000000"
+ALIVE = "epoch_us(ts) - epoch_us(last.ts) < 21601000000"
 
 
 def cache_requests(events: DataFrame) -> DataFrame:
