@@ -15,7 +15,7 @@ from ..operators import links, scores, text
 from ..operators.quotes import find_quotes
 from ..streaming import cache
 from ..streaming.events import read_stream
-from . import lifecycle, retrieval
+from . import lifecycle, retrieval, review
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -630,3 +630,28 @@ def str_02_versioned_cache(spark, sf):
 def str_02_cache_without_end(spark, sf):
     """The same as a batch, and entries never end."""
     return cache.cached(cache_requests(table(spark, sf, "events")), ttl_seconds=-1).select(F.col("seq").alias("event_id"), "hit", "payload")
+
+
+# A whole review, cut where it waits for people
+
+REVIEW_SQL = """WITH t AS (SELECT doc_id, coalesce(source, '') AS file, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(0), ''), '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS raw FROM documents),
+p AS (SELECT doc_id, file, trim(raw, ' ' || chr(9) || chr(10) || chr(13)) AS content FROM t),
+l AS (SELECT doc_id, file, u.pos, trim(u.line) AS line FROM (SELECT doc_id, file, unnest(list_transform(string_split(content, chr(10)), lambda x, i: {'pos': i, 'line': x})) AS u FROM p)),
+k AS (SELECT file, substr(line, 1, 240) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM l WHERE line <> '' AND (contains(line, 'License') OR contains(line, 'rights reserved'))),
+a AS (SELECT DISTINCT file, list_distinct(regexp_extract_all(content, '(?i)%s')) AS found FROM p WHERE regexp_matches(content, '(?i)%s')),
+x AS (
+  SELECT '限制性条款' AS issue_type, '中' AS risk_level, 'confirmed_issue' AS final_status, count(*) AS n FROM (SELECT DISTINCT file, line FROM k WHERE n <= 8)
+  UNION ALL SELECT '文本不可读', '低', 'confirmed_issue', count(*) FROM (SELECT DISTINCT file FROM p WHERE length(content) < 20 OR (length(content) - length(replace(content, chr(65533), ''))) > greatest(3.0, length(content) / 200.0))
+  UNION ALL SELECT '敏感信息', '高', CASE WHEN len(found) > 1 THEN 'confirmed_issue' ELSE 'normal' END, count(*) FROM (SELECT file, found FROM a) GROUP BY ALL)
+SELECT * FROM x WHERE n > 0""" % (PASSWORD, PASSWORD)
+
+
+@query(REVIEW_SQL)
+def str_03_resumed_review(spark, sf):
+    """All documents reviewed until people must decide, and then gone on with: what shows more than one passage is right."""
+    given = docs(spark, sf).select(F.col("doc_id").alias("document_id"), F.col("source").alias("file_name"), "text")
+    root, pattern = storage.fresh(spark, "review"), "(?i)" + PASSWORD
+    waiting = review.run_review(spark, root, given, KEYWORDS[:2], pattern)
+    found = review.pending(waiting)
+    decisions = found.select(F.hash("issue_id").alias("seq"), "issue_id", F.when(F.size("evidence") > 1, "正确").otherwise("误判").alias("decision"), F.lit("").alias("corrected_text"))
+    return review.run_review(spark, root, given, KEYWORDS[:2], pattern, decisions).tables["summary"]
