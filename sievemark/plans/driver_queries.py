@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .. import storage
 from ..exprs import clean_text, compact, issue_id, line_number, normalize_clause, normalize_compare, normalized_value, unique_keep_order
-from ..operators import links, scores, text
+from ..operators import contracts, links, payloads, scores, segments, text
 from ..operators.quotes import find_quotes
 from ..streaming import cache
 from ..streaming.events import read_stream
-from . import lifecycle, retrieval, review
+from . import lifecycle, planner, retrieval, review
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -655,3 +655,121 @@ def str_03_resumed_review(spark, sf):
     found = review.pending(waiting)
     decisions = found.select(F.hash("issue_id").alias("seq"), "issue_id", F.when(F.size("evidence") > 1, "正确").otherwise("误判").alias("decision"), F.lit("").alias("corrected_text"))
     return review.run_review(spark, root, given, KEYWORDS[:2], pattern, decisions).tables["summary"]
+
+
+# The planner over sources as tasks, with words of the tables standing in for the domain's
+
+STAND_IN = planner.Vocabulary(
+    {"lot": ("License",), "negotiation_report": ("rights reserved",), "unbalanced": ("password", "TOKEN"), "recusal": ("Copyright",), "sale": ("the ",), "opening": ("und ",), "committee": ("http",), "qualification": ("que ",), "conformity": ("los ",)},
+    lot_pattern=r"[0-9]{3}-[0-9]{4}", methods=("Apache", "MIT", "ion "), negotiated="ion",
+)
+RECORD_SQL = {"rankings": "n_chars > 20000", "summaries": "lang = 'de' AND n_chars > 4000", "details": "lang = 'fr' AND n_chars > 6000", "openings": "n_chars < 3", "report": "lang = 'es'"}
+
+
+def planner_tasks(spark, sf):
+    """Each source is a task, and so is one that has no documents; the system knows the method of one."""
+    d = docs(spark, sf).select(F.coalesce("source", F.lit("?")).alias("task"), "text", F.lit("").alias("method"), *[F.expr(x).alias(n) for n, x in RECORD_SQL.items()])
+    names = d.select("task").distinct().unionByName(table(spark, sf, "region").select(F.col("r_name").alias("task")))
+    tasks = names.withColumn("method", F.when(F.col("task") == "ASIA", "negotiation").otherwise(""))
+    return planner.task_facts(d, tasks, STAND_IN)
+
+
+def planner_sql() -> str:
+    v, has = STAND_IN, lambda words: " OR ".join(f"contains(text, '{w}')" for w in words)
+    facts = {"document": "true"} | RECORD_SQL | {n: has(w) for n, w in v.markers.items()} | {"lot_number": f"regexp_matches(text, '{v.lot_pattern}')"} | {f"method {i}": has((m,)) for i, m in enumerate(v.methods)}
+    bools = ", ".join(f"coalesce(bool_or({x}), false) AS f{i}" for i, x in enumerate(facts.values()))
+    at = {n: f"f{i}" for i, n in enumerate(facts)} | {"negotiated": "talks"}
+    method = "CASE WHEN d.task = 'ASIA' THEN 'negotiation' " + " ".join(f"WHEN {at[f'method {i}']} THEN '{m}'" for i, m in enumerate(v.methods)) + f" ELSE '{planner.UNKNOWN_METHOD}' END"
+    names = lambda ns: "(" + " OR ".join(at[n] for n in ns) + ")"
+    rows = " UNION ALL ".join(
+        f"SELECT task, {i} AS place, '{r}' AS rule_id, '{owner}' AS owner, {names(planner.INPUTS[category])} AS executable FROM m" + (f" WHERE {names(planner.TRIGGERS[r])}" if conditional and r in planner.TRIGGERS else "")
+        for i, (r, category, _, owner, _, _, conditional) in enumerate(x for x in K.RULES if x[5])
+    )
+    return f"""WITH t AS (SELECT coalesce(source, '?') AS task, * EXCLUDE (source) FROM documents), names AS (SELECT task FROM t UNION SELECT r_name FROM region),
+d AS (SELECT names.task, {bools.replace('bool_or(true)', 'count(t.task) > 0')} FROM names LEFT JOIN t ON t.task = names.task GROUP BY names.task),
+m AS (SELECT *, contains(method, '{v.negotiated}') AS talks FROM (SELECT d.*, {method} AS method FROM d)), r AS ({rows})"""
+
+
+@query(planner_sql() + " SELECT * FROM r")
+def flt_22_rule_plan(spark, sf):
+    return planner.plan_rules(planner_tasks(spark, sf), vocabulary=STAND_IN)
+
+
+@query(planner_sql() + f""", a AS (SELECT task, owner, min(place) AS p FROM r WHERE executable AND owner IN ('{K.COMPLIANCE}', '{K.DATA}', '{K.ANOMALY}') GROUP BY ALL),
+l AS (SELECT task, string_agg(owner, ',' ORDER BY p) AS agents FROM a GROUP BY 1),
+c AS (SELECT task, count(*) AS matched, count(*) FILTER (executable) AS executable, coalesce(string_agg(rule_id, ',' ORDER BY place) FILTER (rule_id IN {planner.PHASES['UC-07']}), '') AS uc_07 FROM r GROUP BY 1)
+SELECT m.task, method, matched, executable, coalesce(agents, '') AS agents, uc_07 FROM m JOIN c USING (task) LEFT JOIN l USING (task)""")
+def flt_22_plan_summary(spark, sf):
+    rows = planner.plan_summary(planner_tasks(spark, sf), vocabulary=STAND_IN)
+    return rows.select("task", "method", "matched", "executable", F.array_join("agents", ",").alias("agents"), F.array_join(F.col("phases")["UC-07"], ",").alias("uc_07"))
+
+
+# Typed rows from answers, segments, contracts
+
+
+def event_answers(spark, sf):
+    """events' properties as a reader's answers; every tenth is cut off."""
+    answer = F.concat(F.lit('{"fields":{"props":{"value":'), "props", F.lit(',"confidence":7}}}'))
+    cut = F.when(F.col("event_id") % 10 == 0, F.substring(answer, F.lit(1), F.length(answer) - 2)).otherwise(answer)
+    return table(spark, sf, "events").select("event_id", cut.alias("payload"))
+
+
+@query("SELECT event_id, 'props' AS name, replace(props, ' ', '') AS value, CAST(1 AS DOUBLE) AS confidence, true AS requires_human_review FROM events WHERE event_id % 10 <> 0")
+def ext_20_payload_fields(spark, sf):
+    rows = payloads.fields(payloads.parsed(event_answers(spark, sf), "payload"), ["event_id"])
+    return rows.select("event_id", "name", "value", "confidence", "requires_human_review")
+
+
+@query("SELECT count(*) AS n, sum(event_id) AS ids FROM events WHERE event_id % 10 = 0")
+def ext_20_broken_payloads(spark, sf):
+    return payloads.broken_rows(event_answers(spark, sf), "payload").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("SELECT conv_id, turn, role AS title, CAST(greatest(1, least(6, turn)) AS INTEGER) AS level, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS content FROM conversations WHERE role <> ''")
+def ext_20_payload_sections(spark, sf):
+    given = table(spark, sf, "conversations")
+    answer = F.to_json(F.struct(F.array(F.struct(F.col("role").alias("title"), F.col("turn").alias("level"), F.col("text").alias("content"))).alias("sections")))
+    return payloads.sections(payloads.parsed(given.select("conv_id", "turn", answer.alias("payload")), "payload"), ["conv_id", "turn"]).select("conv_id", "turn", "title", "level", "content")
+
+
+@query()
+def ext_08_semantic_segments(spark, sf):
+    """Whole documents in segments, and these in halves; tests hold them against a plain loop."""
+    rows = segments.split_text(docs(spark, sf).select("doc_id", "text"), "text", floor=segments.FLOOR)
+    return rows.select("doc_id", "part", "half", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("sha256"))
+
+
+AMOUNT_SQL = """WITH d AS (SELECT i, i // 1000 AS a, i // 100 % 10 AS b, i // 10 % 10 AS c, i % 10 AS d FROM range(10000) t(i)),
+g AS (SELECT i, CASE WHEN a > 0 THEN z[a + 1] || '仟' ELSE '' END || CASE WHEN b > 0 THEN z[b + 1] || '佰' ELSE '' END
+  || CASE WHEN c > 0 THEN CASE WHEN b = 0 AND a > 0 THEN '零' ELSE '' END || z[c + 1] || '拾' ELSE '' END
+  || CASE WHEN d > 0 THEN CASE WHEN c = 0 AND (a > 0 OR b > 0) THEN '零' ELSE '' END || z[d + 1] ELSE '' END AS t FROM d, (SELECT '零壹贰叁肆伍陆柒捌玖' AS z)),
+o AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders),
+p AS (SELECT o_orderkey, cents, cents // 100 // 10000 AS hi, cents // 100 % 10000 AS lo, cents // 10 % 10 AS jiao, cents % 10 AS fen FROM o)
+SELECT o_orderkey, '人民币' || CASE WHEN hi = 0 AND lo = 0 THEN '零' WHEN hi = 0 THEN l.t ELSE h.t || '万' || CASE WHEN lo > 0 AND lo < 1000 THEN '零' ELSE '' END || l.t END || '元'
+  || CASE WHEN jiao = 0 AND fen = 0 THEN '整' ELSE CASE WHEN jiao > 0 THEN '零壹贰叁肆伍陆柒捌玖'[jiao + 1] || '角' ELSE '零' END || CASE WHEN fen > 0 THEN '零壹贰叁肆伍陆柒捌玖'[fen + 1] || '分' ELSE '' END END AS said, true AS same
+FROM p JOIN g h ON h.i = hi JOIN g l ON l.i = lo"""
+
+
+@query(AMOUNT_SQL)
+def ctr_01_capital_amounts(spark, sf):
+    """Every order's price in financial capitals, and whether reading them gives it back."""
+    price = F.round("o_totalprice", 2).cast("decimal(20,2)")
+    rows = table(spark, sf, "orders").select("o_orderkey", price.alias("price"), contracts.capital_amount(price).alias("said"))
+    return rows.select("o_orderkey", "said", F.coalesce(contracts.capital_value("said") == F.col("price"), F.lit(False)).alias("same"))
+
+
+@query("""WITH c AS (SELECT o_orderkey, o_orderdate AS first, max(l_shipdate) AS last, o_orderstatus, o_orderpriority, c_mktsegment, c_name FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey GROUP BY ALL)
+SELECT * FROM (
+  SELECT o_orderkey, 'INVALID_SERVICE_PERIOD' AS code, 'error' AS level FROM c WHERE last <= first
+  UNION ALL SELECT o_orderkey, 'MISSING_PURCHASER_CREDIT_CODE', 'warning' FROM c WHERE c_mktsegment = 'MACHINERY' OR c_mktsegment IS NULL
+  UNION ALL SELECT o_orderkey, 'MISSING_PURCHASER_ADDRESS', 'warning' FROM c WHERE coalesce(c_name, '') = ''
+  UNION ALL SELECT o_orderkey, 'MISSING_SUPPLIER_CREDIT_CODE', 'warning' FROM c WHERE o_orderstatus = 'P'
+  UNION ALL SELECT o_orderkey, 'MISSING_BREACH_TERMS', 'warning' FROM c WHERE o_orderpriority = '5-LOW'
+  UNION ALL SELECT o_orderkey, 'LEGAL_REVIEW_REQUIRED', 'info' FROM c)""")
+def ctr_01_contract_findings(spark, sf):
+    """Orders as contracts that run from the order to the last shipment."""
+    last = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("service_end"))
+    customer = table(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    rows = table(spark, sf, "orders").join(last, "o_orderkey", "left").join(customer, "o_custkey", "left")
+    drafts = rows.select("o_orderkey", F.col("o_orderdate").alias("service_start"), "service_end", F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment")).alias("purchaser_code"), F.col("c_name").alias("purchaser_address"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("supplier_code"), F.lit("x").alias("supplier_address"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("breach_terms"))
+    return contracts.contract_findings(drafts, "o_orderkey").select("o_orderkey", "code", "level")
