@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,9 +14,10 @@ from .. import storage
 from ..exprs import clean_text, compact, issue_id, line_number, normalize_clause, normalize_compare, normalized_value, unique_keep_order
 from ..operators import contracts, links, payloads, scores, segments, text
 from ..operators.quotes import find_quotes
+from ..sources import files, workbooks
 from ..streaming import cache
 from ..streaming.events import read_stream
-from . import lifecycle, planner, retrieval, review
+from . import lifecycle, planner, reports, retrieval, review
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -773,3 +775,49 @@ def ctr_01_contract_findings(spark, sf):
     rows = table(spark, sf, "orders").join(last, "o_orderkey", "left").join(customer, "o_custkey", "left")
     drafts = rows.select("o_orderkey", F.col("o_orderdate").alias("service_start"), "service_end", F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment")).alias("purchaser_code"), F.col("c_name").alias("purchaser_address"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("supplier_code"), F.lit("x").alias("supplier_address"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("breach_terms"))
     return contracts.contract_findings(drafts, "o_orderkey").select("o_orderkey", "code", "level")
+
+
+# Deliverables as files, and the report of rules
+
+
+def finding_rows(spark, sf):
+    """labels and documents as rows of all four deliverables."""
+    d = docs(spark, sf).join(table(spark, sf, "labels"), "doc_id")
+    kind = F.when(F.col("toxic") == 1, "anomaly").when(F.col("quality") == 0, "compliance").when(F.col("n_chars") > 3000, "data").otherwise("parse")
+    of = {"issue_id": F.concat(F.lit("I"), "doc_id"), "risk_level": F.when(F.col("toxic") == 1, "高").otherwise("低"), "issue_type": F.concat_ws("<&>", "lang", F.lit("_x0041_")), "description": F.concat(F.lit("第一行\n"), F.col("n_chars").cast("string")), "evidence": F.array("lang", "source"), "basis": F.lit('"&'), "source_location": F.col("source"), "final_status": F.lit("passed"), "assessment": F.lit("a\r\nb"), "filename": F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), "page_count": F.col("n_chars"), "document_subtype": F.col("lang")}
+    return d.select(kind.alias("kind"), *[c.alias(n) for n, c in of.items()])
+
+
+@query("""WITH d AS (SELECT *, CASE WHEN toxic = 1 THEN 'anomaly' WHEN quality = 0 THEN 'compliance' WHEN n_chars > 3000 THEN 'data' ELSE 'parse' END AS kind, 'I' || doc_id AS i, CASE WHEN toxic = 1 THEN '高' ELSE '低' END AS risk,
+  concat_ws('<&>', lang, '_x0041_') AS type, '第一行' || chr(10) || n_chars AS said, concat_ws(chr(10), lang, source) AS ev FROM documents JOIN labels USING (doc_id))
+SELECT kind, CASE kind WHEN 'parse' THEN doc_id || '.txt|' || coalesce(lang, '') || '|' || n_chars
+  WHEN 'anomaly' THEN concat_ws('|', i, risk, type, said, ev, '', '', '"&')
+  ELSE concat_ws('|', i, risk, type, said, ev, '"&', coalesce(source, ''), '', CASE kind WHEN 'data' THEN 'a' || chr(13) || chr(10) || 'b' ELSE 'passed' END) END AS cells FROM d""")
+def snk_06_workbooks(spark, sf):
+    """Four deliverables written as spreadsheets and read back."""
+    rows, root = finding_rows(spark, sf), storage.fresh(spark, "deliverables")
+    back = []
+    for kind in workbooks.HEADERS:
+        workbooks.write_deliverable(rows.filter(F.col("kind") == kind), kind, f"{root}/{kind}", project_id="P")
+        sheets = files.parse(spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(f"{root}/{kind}"))
+        body = sheets.filter((F.col("kind") == "table") & (F.col("sheet") != workbooks.COVER)).select(F.explode(F.expr("slice(rows, 2, greatest(size(rows) - 1, 0))")).alias("r"))
+        back.append(body.select(F.lit(kind).alias("kind"), F.array_join("r", "|").alias("cells")))
+    return reduce(DataFrame.unionByName, back)
+
+
+RULE_VALUES = ", ".join(f"('{r[0]}', {str(r[5]).lower()}, {str(r[6]).lower()})" for r in K.RULES)
+
+
+@query(f"""WITH s AS (SELECT source, lang, count(*) FILTER (toxic = 1) AS toxic, count(*) FILTER (quality = 0) AS poor, count(quality) AS known FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2),
+r AS (SELECT coalesce(source, '?') AS task, substr(rule_id, 1, 2) AS group_code, CASE WHEN NOT active THEN 'disabled' WHEN conditional AND lang = 'de' THEN 'not_applicable' WHEN known = 0 THEN 'insufficient_data' WHEN toxic > 0 THEN 'confirmed_issue' WHEN poor > 0 THEN 'human_review' ELSE 'passed' END AS status
+  FROM s, (VALUES {RULE_VALUES}) v(rule_id, active, conditional))
+SELECT coalesce(task, '全部') AS task, coalesce(group_code, '合计') AS group_code, count(*) AS total, count(*) FILTER (status IN ('passed', 'confirmed_issue', 'human_review')) AS executed, {", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in reports.STATUSES)}
+FROM r GROUP BY GROUPING SETS ((task, group_code), (task), ())""")
+def snk_08_rules_report(spark, sf):
+    """Rule results of each source, a set for each language, from labels: groups by status with totals."""
+    d = docs(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
+    s = d.groupBy("source", "lang").agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("quality") == 0).alias("poor"), F.count("quality").alias("known"))
+    status = F.when(~F.col("active"), "disabled").when(F.col("conditional") & (F.col("lang") == "de"), "not_applicable").when(F.col("known") == 0, "insufficient_data").when(F.col("toxic") > 0, "confirmed_issue").when(F.col("poor") > 0, "human_review").otherwise("passed")
+    every = F.array(*[F.struct(F.lit(r[0]).alias("rule_id"), F.lit(r[5]).alias("active"), F.lit(r[6]).alias("conditional")) for r in K.RULES])
+    rows = s.select("*", F.explode(every).alias("r")).select(F.coalesce("source", F.lit("?")).alias("task"), "r.*", "lang", "known", "toxic", "poor")
+    return reports.rules_summary(rows.select("task", "rule_id", status.alias("status")))

@@ -64,7 +64,7 @@ def xlsx_records(raw: bytes) -> Iterator[dict]:
     """Each sheet as a table from row 1, without blank rows and trailing blanks; the text names the sheet first."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         names = set(z.namelist())
-        said = lambda e: "".join(t.text or "" for t in e.iter(f"{SHEET}t"))
+        said = lambda e: re.sub("_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), "".join(t.text or "" for t in e.iter(f"{SHEET}t")))
         shared = [said(s) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
         targets = {r.get("Id"): r.get("Target").lstrip("/") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{SHEET}sheet"):
