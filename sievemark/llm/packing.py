@@ -15,7 +15,7 @@ from .common import map_batches, mix64
 
 #: Units that an encoder knows at most, about: beyond it it starts anew. Texts are cut together in blocks of about
 #: BLOCK_BYTES bytes.
-CACHE, BLOCK_BYTES = 600_000, 1 << 20
+CACHE, BLOCK_BYTES = 300_000, 1 << 18
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, copy long"
 # What the tokenizer's pattern tells apart, as classes of bytes.
 SPACE, LETTER, DIGIT, SIGN, ODD = range(5)
