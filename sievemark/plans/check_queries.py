@@ -1,4 +1,4 @@
-"""Queries over the relations of one small review: each rule executor and check with SQL over the same rows as VALUES."""
+"""Rule executors and checks over relations derived from documents (see ``fixture_queries``), each with SQL over the same rows."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import executors as X
 from .driver_queries import ORACLE, QUERIES
-from .fixture_queries import frame, values
+from .fixture_queries import derived, values
 
 DOCS = ("seq int, doc string, subtype string, text string", [
     (1, "招标文件.pdf", "招标文件", "项目名称：智慧校园（第2包）\n包编号：A-01\n获取招标文件时间：2026年3月1日至2026年3月8日\n投标截止时间：2026年4月2日9:30\n采购公告发布日期：2026年3月1日\n服务期限为：3 年\n供应商应提供售后承诺。"),
@@ -39,7 +39,7 @@ CELLS = ("doc string, sheet string, row_no int, c1 string, c2 string, c3 string"
 
 
 def add(name: str, relations: dict[str, tuple[str, list]], build, sql: str) -> None:
-    QUERIES[name] = lambda spark, sf: build({k: frame(spark, r) for k, r in relations.items()})
+    QUERIES[name] = lambda spark, sf: build({k: derived(spark, sf, r) for k, r in relations.items()})
     ORACLE[name] = "WITH " + ", ".join(values(r, k) for k, r in relations.items()) + " " + sql
 
 
@@ -74,14 +74,14 @@ for _id in ("P1-07", "P3-14", "P3-18"):
 for _id, _word in (("P1-10", "日期"), ("P1-11", ""), ("P1-12", "谈判")):
     rule(_id, "marks", {"marks": MARKS, "docs": DOCS}, lambda r, i=_id: X.expected_marks(r["marks"], r["docs"], i), f"SELECT CASE WHEN count(*) > 0 AND bool_and(status = 'detected') THEN 'passed' WHEN count(*) > 0 OR (SELECT count(*) FROM docs WHERE subtype = '评标报告') > 0 THEN 'human_review' END FROM marks WHERE contains(target || source_text, '{_word}')")
 rule("P2-01", "sale_dates", D, lambda r: X.stated(r["docs"], "P2-01", X.SALE_PATTERNS, "human_review"), f"SELECT CASE WHEN bool_or({any_match(X.SALE_PATTERNS)}) THEN 'human_review' END FROM docs")
-_of = lambda kind, p: rf"(SELECT regexp_replace(regexp_extract(text, {quoted(p)}, 1), '\s+', '', 'g') FROM docs WHERE subtype = '{kind}')"
+_of = lambda kind, p: rf"(SELECT min(regexp_replace(regexp_extract(text, {quoted(p)}, 1), '\s+', '', 'g')) FROM docs WHERE subtype = '{kind}')"
 _time, _place = X.DATE_PATTERNS["P2-08"][0], X.DATE_PATTERNS["P2-07"][0]
 rule("P2-02", "opening_meeting", D, lambda r: X.opening_meeting(r["docs"]), f"SELECT CASE WHEN {_of(X.REPORT, _time)} = {_of(X.OPENING, _time)} AND {_of(X.REPORT, _place)} = {_of(X.OPENING, _place)} THEN 'passed' ELSE 'human_review' END")
 rule("P2-03", "bidders", {"openings": OPENINGS, "docs": DOCS}, lambda r: X.bidder_sets(r["openings"], r["docs"]), "SELECT CASE WHEN count(DISTINCT subtype) = 2 THEN 'human_review' END FROM openings JOIN docs USING (doc) WHERE bidder <> '' AND subtype IN ('评标报告', '开标记录表')")
 _key = rf"list_transform(regexp_extract_all(regexp_extract(v, {quoted(X.DATE_KEY)}, 0), '\d+'), lambda x: CAST(x AS INTEGER))"
 for _id in ("P2-04", "P2-05", "P2-08"):
     _v = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, {quoted(p)}, 1), '')" for p in X.DATE_PATTERNS[_id]) + ")"
-    rule(_id, "date", D, lambda r, i=_id: X.stated_date(r["docs"], i), f"SELECT CASE WHEN count(k) >= 2 THEN CASE WHEN count(DISTINCT k) = 1 THEN 'passed' ELSE 'human_review' END WHEN count(v) > 0 THEN 'human_review' END FROM (SELECT v, {_key} AS k FROM (SELECT {_v} AS v FROM docs) WHERE v IS NOT NULL)")
+    rule(_id, "date", D, lambda r, i=_id: X.stated_date(r["docs"], i), f"SELECT CASE WHEN count(k) >= 2 THEN CASE WHEN count(DISTINCT k) = 1 THEN 'passed' ELSE 'human_review' END WHEN count(v) > 0 THEN 'human_review' END FROM (SELECT v, {_key} AS k FROM (SELECT doc, arg_min(v, seq) AS v FROM (SELECT doc, seq, {_v} AS v FROM docs) WHERE v IS NOT NULL GROUP BY doc))")
 rule("P2-06", "duration", D, lambda r: X.durations(r["docs"]), rf"SELECT CASE WHEN count(DISTINCT t) = 1 THEN 'passed' WHEN count(DISTINCT t) > 1 THEN 'human_review' END FROM (SELECT regexp_extract(regexp_replace(x, '\s+', '', 'g'), {quoted(X.TERM)}, 0) AS t FROM (SELECT unnest(regexp_extract_all(text, {quoted(X.TERM_PATTERNS[0])}, 1)) AS x FROM docs)) WHERE t <> ''")
 rule("P2-07", "place", D, lambda r: X.stated_date(r["docs"], "P2-07"), f"SELECT CASE WHEN bool_or({any_match(X.DATE_PATTERNS['P2-07'])}) THEN 'passed' END FROM docs")
 for _id, _label, _word in (("P3-01", "资格审查", "资格性审查"), ("P3-03", "符合性审查", "符合性审查")):
@@ -100,7 +100,7 @@ def _matrix(r):
     return out.groupBy("status").agg(F.count("*").alias("n"))
 
 
-QUERIES["rul_01_matrix"] = lambda spark, sf: _matrix({k: frame(spark, r) for k, r in ALL.items()})
+QUERIES["rul_01_matrix"] = lambda spark, sf: _matrix({k: derived(spark, sf, r) for k, r in ALL.items()})
 
 add("joi_17_id_sets", {"a": IDS_A, "b": IDS_B}, lambda r: X.id_difference(r["a"], r["b"], "id"), "SELECT coalesce(x.id, y.id) AS id, CASE WHEN x.id IS NULL THEN 'b' ELSE 'a' END AS only_in FROM (SELECT DISTINCT id FROM a) x FULL JOIN (SELECT DISTINCT id FROM b) y ON x.id = y.id WHERE x.id IS NULL OR y.id IS NULL")
 add("set_07_bidder_difference", {"openings": OPENINGS, "docs": DOCS}, lambda r: X.bidder_difference(r["openings"], r["docs"]), "SELECT replace(bidder, ' ', '') AS bidder, min(subtype) AS only_in FROM openings JOIN docs USING (doc) WHERE bidder <> '' GROUP BY 1 HAVING count(DISTINCT subtype) = 1")
@@ -111,7 +111,6 @@ add("qlt_03_parse_status", {"states": STATES}, lambda r: X.parse_status(r["state
 add("prj_04_project_name", {"names": NAMES}, lambda r: r["names"].select("source", X.project_name("value").alias("name")), rf"SELECT source, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(value), '^项目名称\s*[:：]?\s*', ''), '\s+', '', 'g'), '{X.LOT_SUFFIX}', ''), '[。；;，,]+$', '') AS name FROM names")
 add("prj_05_project_id", {"ids": IDS}, lambda r: r["ids"].select("source", X.project_id("value").alias("id")), f"SELECT source, {FULL.format('upper(trim(value))')} AS id FROM ids")
 add("prj_10_page_for_offset", {"offsets": OFFSETS, "pages": PAGES}, lambda r: X.page_for_offset(r["offsets"], r["pages"]), "SELECT doc, \"offset\", min(page) AS page FROM offsets JOIN (SELECT doc, page, sum(n_chars + 1) OVER (PARTITION BY doc ORDER BY page) AS stop FROM pages) USING (doc) WHERE \"offset\" < stop GROUP BY 1, 2")
-ORACLE["prj_10_page_for_offset"] = ORACLE["prj_10_page_for_offset"].replace("offsets(doc, offset)", 'offsets(doc, "offset")')
 add("prj_12_document_text", {"parts": PARTS}, lambda r: X.document_text(r["parts"]), "SELECT doc, coalesce(string_agg(content, chr(10) ORDER BY seq) FILTER (WHERE content <> ''), '') AS text FROM parts GROUP BY 1")
 add("prj_13_source_label", {"places": PLACES}, lambda r: r["places"].select("id", X.source_label("name", "sheet", "page", "row_no").alias("label")), "SELECT id, concat_ws(' / ', name, CASE WHEN sheet <> '' THEN '工作表 ' || sheet END, '第' || page || '页', '第' || row_no || '行') AS label FROM places")
 add("prj_18_project_id_kind", {"ids": IDS}, lambda r: r["ids"].select("source", X.project_id_kind(F.concat_ws(" ", "raw_text", "source")).alias("kind")), "SELECT source, CASE WHEN contains(raw_text, '采购编号') THEN 'procurement_id' ELSE 'project_id' END AS kind FROM ids")
@@ -166,10 +165,10 @@ def _queries() -> None:
     add("flt_13_is_non_issue", {"said": SAID}, lambda r: r["said"].select("id", text.is_non_issue("statement", "a", "b").alias("none")), "SELECT id, replace(lower(a), ' ', '') <> '' AND replace(lower(a), ' ', '') = replace(lower(b), ' ', '') AS none FROM said")
     add("flt_15b_bond_is_covered", {"bonds": BONDS}, lambda r: r["bonds"].select("id", text.bond_is_covered("statement", "bond", "budget").alias("covered")), "SELECT id, contains(statement, '投标保证金') AND coalesce(TRY_CAST(replace(bond, '万元', '') AS DOUBLE) <= 0.02 * TRY_CAST(replace(budget, '万元', '') AS DOUBLE), FALSE) AS covered FROM bonds")
     add("flt_14b_verbatim", {"findings": FINDINGS, "texts": FILE_TEXTS}, lambda r: lifecycle.verbatim(findings(r), r["texts"], "source_file", "text", "evidence").select("seq"), "SELECT seq FROM findings JOIN texts USING (source_file) WHERE contains(text, quote)")
-    add("lif_02b_review_reasons", {"findings": FINDINGS, "texts": FILE_TEXTS}, lambda r: lifecycle.review_reasons(findings(r), r["texts"]).select("seq", "reason"), "SELECT seq, CASE WHEN n > 1 THEN 'duplicate' WHEN trim(description) = '' THEN 'blank' WHEN risk_level = '高' AND NOT requires_human_review THEN 'unflagged' WHEN NOT contains(text, quote) THEN 'unlocated' ELSE '' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY source_file, source_location, issue_type, quote ORDER BY seq) AS n FROM findings) JOIN texts USING (source_file)")
+    add("lif_02b_review_reasons", {"findings": FINDINGS, "texts": FILE_TEXTS}, lambda r: lifecycle.review_reasons(findings(r), r["texts"]).select("seq", "reason"), "SELECT seq, CASE WHEN n > 1 THEN 'duplicate' WHEN trim(description) = '' THEN 'blank' WHEN risk_level = '高' AND NOT requires_human_review THEN 'unflagged' WHEN NOT contains(text, quote) THEN 'unlocated' ELSE '' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY source_file, source_location, issue_type, quote ORDER BY seq) AS n FROM findings) JOIN (SELECT DISTINCT source_file, text FROM texts) USING (source_file)")
     add("lif_03b_issue_ids", {"findings": FINDINGS}, lambda r: lifecycle.with_issue_id(findings(r)).select("seq", "issue_id"), "SELECT seq, 'I' || substr(sha256(concat_ws('|', owner, source_file, source_location, issue_type, description, quote)), 1, 12) AS issue_id FROM findings")
     add("lif_08_review_progress", {"open": OPEN, "decided": DECIDED}, lambda r: lifecycle.review_progress(r["open"], r["decided"]), "SELECT count(*) AS total, count(*) FILTER (WHERE issue_id IN (SELECT issue_id FROM decided WHERE issue_id IS NOT NULL)) AS reviewed, count(*) FILTER (WHERE issue_id NOT IN (SELECT issue_id FROM decided WHERE issue_id IS NOT NULL)) AS remaining FROM open WHERE risk_level = '高' OR requires_human_review")
-    add("ano_07b_sequence_ratio", {"pairs": PAIRS}, lambda r: links.sequence_ratio(r["pairs"], "a", "b").select("id", "ratio"), "SELECT id, CAST(CASE id WHEN 2 THEN 0.75 WHEN 4 THEN 0.0 ELSE 1.0 END AS DOUBLE) AS ratio FROM pairs")
+    add("ano_07b_sequence_ratio", {"pairs": PAIRS}, lambda r: links.sequence_ratio(r["pairs"], "a", "b").select("id", "ratio"), "SELECT id, CAST(CASE id % 4 WHEN 1 THEN 0.75 WHEN 3 THEN 0.0 ELSE 1.0 END AS DOUBLE) AS ratio FROM pairs")
 
 
 _queries()

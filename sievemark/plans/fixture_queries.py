@@ -1,4 +1,8 @@
-"""Queries over small relations of the domain, given as rows here: each with SQL over the same rows as VALUES."""
+"""Queries over relations of the domain that are derived from documents, each with SQL over the same derivation.
+
+The tables have no procurement texts, so a document stands for one row of such a relation: its id picks the row's form
+from those listed here and is its number, its source is a part of bidders' names, its length a part of prices and totals.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from .. import constants as K
 from ..exprs import money_yuan
 from ..operators import scores, text
 from . import lifecycle, rules
-from .driver_queries import ORACLE, QUERIES
+from .driver_queries import ORACLE, QUERIES, docs
 
 # Relations: columns and rows. Strings, numbers, booleans and None only, so that they can be written as VALUES.
 FILES = ("file_id string, name string, kind string, subtype string", [
@@ -44,20 +48,64 @@ REVIEWS = ("seq int, issue_id string, decision string, corrected_text string", [
 ])
 
 
+#: Columns that number rows, that name bidders, and that hold amounts.
+NUMBERS, BIDDERS, AMOUNTS = ("id", "seq", "file_id"), ("bidder",), ("price", "bid_price", "total", "total_score")
+#: Small relations that aren't of documents: what a person hands in.
+GIVEN: list[tuple[str, list]] = [RETURNED]
+
+
+def columns(relation: tuple[str, list]) -> list[list[str]]:
+    return [c.split() for c in relation[0].split(", ")]
+
+
 def frame(spark: SparkSession, relation: tuple[str, list]) -> DataFrame:
     return spark.createDataFrame(relation[1], relation[0])
 
 
+def derived(spark: SparkSession, sf_dir: str, relation: tuple[str, list]) -> DataFrame:
+    """The relation with a row for each document."""
+    if relation in GIVEN:
+        return frame(spark, relation)
+    cols = columns(relation)
+    forms = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(r, cols, strict=True)]) for r in relation[1]])
+    rows = docs(spark, sf_dir).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "n_chars", F.element_at(forms, (F.pmod("doc_id", F.lit(len(relation[1]))) + 1).cast("int")).alias("f"))
+
+    def column(name: str, kind: str):
+        own = F.col(f"f.{name}")
+        if name in NUMBERS:
+            own = F.concat(F.lit("f"), F.col("doc_id").cast("string")) if kind == "string" else F.col("doc_id").cast(kind)
+        elif name in BIDDERS:
+            own = F.when(own != "", F.concat("source", own)).otherwise(own)
+        elif name in AMOUNTS:
+            own = own + F.col("n_chars")
+        return own.alias(name)
+
+    return rows.select(*[column(c, t) for c, t in cols])
+
+
 def values(relation: tuple[str, list], name: str) -> str:
     cols = [c.split() for c in relation[0].split(", ")]
     types = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
     lit = lambda v: "NULL" if v is None else ("TRUE" if v is True else "FALSE" if v is False else str(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'")
-    rows = ", ".join("(" + ", ".join(f"CAST({lit(v)} AS {types[t]})" for v, (_, t) in zip(r, cols, strict=True)) + ")" for r in relation[1])
-    return f"{name}({', '.join(c for c, _ in cols)}) AS (VALUES {rows})"
+    cells = lambda r: ", ".join(f"CAST({lit(v)} AS {types[t]})" for v, (_, t) in zip(r, cols, strict=True))
+    names = ", ".join(f'"{c}"' for c, _ in cols)
+    if relation in GIVEN:
+        return f"{name}({names}) AS (VALUES {', '.join(f'({cells(r)})' for r in relation[1])})"
+    forms = ", ".join(f"({i}, {cells(r)})" for i, r in enumerate(relation[1]))
+
+    def column(c: str, t: str) -> str:
+        if c in NUMBERS:
+            return "'f' || d.doc_id" if t == "string" else f"CAST(d.doc_id AS {types[t]})"
+        if c in BIDDERS:
+            return f"CASE WHEN f.{c} <> '' THEN coalesce(d.source, '') || f.{c} ELSE f.{c} END"
+        return f'f."{c}" + d.n_chars' if c in AMOUNTS else f'f."{c}"'
+
+    own = ", ".join(f'{column(c, t)} AS "{c}"' for c, t in cols)
+    return f"{name} AS (SELECT {own} FROM documents d JOIN (VALUES {forms}) f(form, {names}) ON f.form = d.doc_id % {len(relation[1])})"
 
 
 def add(name: str, relation: tuple[str, list], build, sql: str) -> None:
-    QUERIES[name] = lambda spark, sf: build(frame(spark, relation))
+    QUERIES[name] = lambda spark, sf: build(derived(spark, sf, relation))
     ORACLE[name] = f"WITH {values(relation, 't')} {sql}"
 
 
@@ -97,12 +145,17 @@ GROUP_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(line, '{w}')" fo
 add("flt_21_batch_classifier", CLAUSES, lambda d: d.select("id", text.clause_group("line").alias("grp")), f"SELECT id, {GROUP_SQL} AS grp FROM t")
 
 
+_CLAUSE = lambda c: f"regexp_replace(regexp_replace({c}, '^\\s*(?:第?[一二三四五六七八九十百零〇0-9]+[、.．）)])\\s*', ''), '[\\s，,。；;：:]', '', 'g')"
+
+
 def coverage_gap(d: DataFrame) -> DataFrame:
     left = text.uncovered(text.coverage_candidates(d, "id", "line"), frame(d.sparkSession, RETURNED))
     return left.select(F.col("doc").alias("id"), "category")
 
 
-add("chk_15_coverage_gap", CLAUSES, coverage_gap, f"SELECT id, {CATEGORY_SQL} AS category FROM t WHERE {CATEGORY_SQL} <> '' AND NOT {NON_OP_SQL} AND id NOT IN (1, 3)")
+add("chk_15_coverage_gap", CLAUSES, coverage_gap, "")
+ORACLE["chk_15_coverage_gap"] = f"""WITH {values(CLAUSES, 't')}, {values(RETURNED, 'returned')}, r AS (SELECT {_CLAUSE('evidence')} AS held FROM returned), c AS (SELECT *, {_CLAUSE('line')} AS own FROM t)
+SELECT id, {CATEGORY_SQL} AS category FROM c WHERE {CATEGORY_SQL} <> '' AND NOT {NON_OP_SQL} AND NOT EXISTS (SELECT 1 FROM r WHERE held <> '' AND (contains(own, held) OR contains(held, own)))"""
 
 PLACE_SQL = f"(c = '' OR regexp_matches(c, '^[_＿—\\-/.（）()\\[\\]【】]+(万元|元)?$') OR regexp_matches(c, '[_＿]{{2,}}') OR lower(c) IN ({', '.join(repr(w) for w in K.NULL_WORDS)}))"
 COMPACT = "(SELECT *, regexp_replace(value, '\\s+', '', 'g') AS c FROM t)"
@@ -114,8 +167,11 @@ add("flt_15_resolved_by_context", VALUES, lambda d: d.select("id", money_yuan("v
 
 add("chk_04b_weighted_fixture", SCORES, lambda d: scores.weighted_mismatches(d, "raw", "weight", "weighted").select("bidder", "expert", "expected"), "SELECT bidder, expert, raw * weight / 100 AS expected FROM t WHERE abs(raw * weight / 100 - weighted) > 0.02")
 add("ano_02b_expert_fixture", SCORES, lambda d: scores.leave_one_out(d, ["doc", "bidder", "lot", "factor"], "raw", "max_score").select("bidder", "expert", "deviation"), "SELECT bidder, expert, abs(raw - (s - raw) / (n - 1)) AS deviation FROM (SELECT *, sum(raw) OVER g AS s, count(*) OVER g AS n FROM t WINDOW g AS (PARTITION BY doc, bidder, lot, factor)) WHERE n >= 3 AND abs(raw - (s - raw) / (n - 1)) >= 8")
-add("agg_13_expert_count", SCORES, lambda d: d.agg(F.count_distinct("expert").alias("experts")).withColumn("status", F.when((F.col("experts") < 5) | (F.col("experts") % 2 == 0), "human_review").otherwise("passed")), "SELECT count(DISTINCT expert) AS experts, 'human_review' AS status FROM t")
-add("ano_04b_price_fixture", OPENINGS, lambda d: scores.price_progression(d, "lot", "price"), "SELECT '包1' AS lot, CAST(99000000 AS BIGINT) AS first_cents, CAST(100000000 AS BIGINT) AS middle_cents, CAST(101000000 AS BIGINT) AS last_cents, CAST(1000000 AS BIGINT) AS gap_cents")
+add("agg_13_expert_count", SCORES, lambda d: d.agg(F.count_distinct("expert").alias("experts")).withColumn("status", F.when((F.col("experts") < 5) | (F.col("experts") % 2 == 0), "human_review").otherwise("passed")), "SELECT count(DISTINCT expert) AS experts, CASE WHEN count(DISTINCT expert) < 5 OR count(DISTINCT expert) % 2 = 0 THEN 'human_review' ELSE 'passed' END AS status FROM t")
+add("ano_04b_price_fixture", OPENINGS, lambda d: scores.price_progression(d, "lot", "price"), """SELECT lot, first_cents, middle_cents, last_cents, gap_cents FROM (
+  SELECT x.lot, x.cents AS first_cents, y.cents AS middle_cents, 2 * y.cents - x.cents AS last_cents, y.cents - x.cents AS gap_cents, row_number() OVER (PARTITION BY x.lot ORDER BY x.cents DESC, y.cents) AS r
+  FROM c x JOIN c y ON x.lot = y.lot AND y.cents > x.cents JOIN c z ON z.lot = x.lot AND z.cents = 2 * y.cents - x.cents) WHERE r = 1""")
+ORACLE["ano_04b_price_fixture"] = ORACLE["ano_04b_price_fixture"].replace(" SELECT lot, first_cents", ", c AS (SELECT DISTINCT lot, CAST(round(price * 100) AS BIGINT) AS cents FROM t WHERE price IS NOT NULL) SELECT lot, first_cents", 1)
 add("chk_08b_price_fixture", OPENINGS, lambda d: scores.conflicting_values(d, ["bidder", "lot"], "price", 2).select("bidder", "lot", "n_values"), "SELECT bidder, lot, count(DISTINCT round(price, 2)) AS n_values FROM t GROUP BY 1, 2 HAVING count(DISTINCT round(price, 2)) >= 2")
 
 
@@ -125,7 +181,11 @@ def issues(d: DataFrame) -> DataFrame:
 
 STATE_SQL = "(requires_human_review OR detection_status IN ('not_detected', 'not_checked', 'low_confidence', 'mismatch', 'uncertain'))"
 add("lif_00_issue_state", ISSUES, lambda d: lifecycle.quality_report(issues(d)).select("seq", "assessment", "final_status"), f"SELECT seq, CASE WHEN {STATE_SQL} THEN '待人工判断' WHEN final_status = 'passed' THEN '未发现问题' ELSE '明确问题' END AS assessment, CASE WHEN {STATE_SQL} THEN 'human_review' WHEN final_status = 'passed' THEN 'passed' ELSE 'confirmed_issue' END AS final_status FROM t")
-add("lif_04_merge_signals", ISSUES, lambda d: lifecycle.merge_signals(issues(d)).select("location", "n", "risk_level", "confidence", F.array_join("evidence", "|").alias("quotes")), "SELECT '甲、乙' AS location, CAST(2 AS BIGINT) AS n, '高' AS risk_level, CAST(0.85 AS DOUBLE) AS confidence, 'q1|q2' AS quotes")
+MERGEABLE = ", ".join(f"'{x}'" for x in K.MERGEABLE_TYPES)
+add("lif_04_merge_signals", ISSUES, lambda d: lifecycle.merge_signals(issues(d)).select("location", "n", "risk_level", "confidence", F.array_join("evidence", "|").alias("quotes")), "")
+ORACLE["lif_04_merge_signals"] = f"""WITH {values(ISSUES, 't')}, s AS (SELECT *, trim(source_location) AS location FROM t WHERE owner = '{K.ANOMALY}' AND issue_type IN ({MERGEABLE}) AND trim(source_location) <> ''),
+q AS (SELECT location, string_agg(quote, '|' ORDER BY first) AS quotes FROM (SELECT location, quote, min(seq) AS first FROM s GROUP BY 1, 2) GROUP BY 1)
+SELECT location, count(*) AS n, CASE WHEN bool_or(risk_level = '高') OR count(*) >= 3 THEN '高' ELSE '中' END AS risk_level, max(confidence) AS confidence, any_value(quotes) AS quotes FROM s JOIN q USING (location) GROUP BY 1 HAVING count(*) > 1"""
 add("set_05_dedupe_anomaly", ISSUES, lambda d: lifecycle.dedupe_anomaly(issues(d)).select("seq"), "SELECT min(seq) AS seq FROM t GROUP BY issue_type, source_location, quote")
 add("set_04_dedupe_compliance", ISSUES, lambda d: lifecycle.dedupe_compliance(issues(d)).select("seq"), "SELECT min(seq) AS seq FROM t WHERE issue_type <> '跨文件基础信息不一致' GROUP BY source_file, issue_type, quote")
 add("set_09_upsert_reviews", REVIEWS, lambda d: lifecycle.latest_reviews(d).select("seq", "decision"), "SELECT seq, decision FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY seq DESC) AS r FROM t) WHERE r = 1 OR issue_id IS NULL")
@@ -133,16 +193,22 @@ add("agg_05_status_counts", ISSUES, lambda d: d.rollup("owner", "risk_level").ag
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = frame(spark, ISSUES).select(F.concat(F.lit("I"), F.col("seq").cast("string")).alias("issue_id"), "description", "final_status", "confidence")
-    return lifecycle.apply_decisions(found, lifecycle.latest_reviews(frame(spark, REVIEWS)))
+    found = derived(spark, sf_dir, ISSUES).select(F.concat(F.lit("I"), F.col("seq").cast("string")).alias("issue_id"), "description", "final_status", "confidence")
+    return lifecycle.apply_decisions(found, lifecycle.latest_reviews(derived(spark, sf_dir, REVIEWS)))
 
 
 QUERIES["lif_07_apply_decisions"] = QUERIES["joi_14_review_decisions"] = decided
-ORACLE["lif_07_apply_decisions"] = ORACLE["joi_14_review_decisions"] = f"WITH {values(ISSUES, 't')} SELECT CASE seq WHEN 1 THEN 'I1' WHEN 2 THEN 'I2' ELSE 'I' || seq END AS issue_id, CASE seq WHEN 1 THEN 'new' ELSE description END AS description, CASE seq WHEN 1 THEN 'confirmed_issue' WHEN 2 THEN 'normal' ELSE final_status END AS final_status, CASE seq WHEN 1 THEN CAST(1.0 AS DOUBLE) ELSE confidence END AS confidence FROM t UNION ALL SELECT NULL, 'missed', 'confirmed_issue', CAST(1.0 AS DOUBLE)"
+ORACLE["lif_07_apply_decisions"] = ORACLE["joi_14_review_decisions"] = f"""WITH {values(ISSUES, 't')}, {values(REVIEWS, 'r')}, l AS (SELECT issue_id, arg_max(decision, seq) AS decision, arg_max(corrected_text, seq) AS text FROM r WHERE issue_id IS NOT NULL GROUP BY 1)
+SELECT 'I' || seq AS issue_id, CASE WHEN decision = '需修改' AND text <> '' THEN text ELSE description END AS description,
+  CASE WHEN decision IN ('正确', '需修改') THEN 'confirmed_issue' WHEN decision = '误判' THEN 'normal' ELSE final_status END AS final_status, CASE WHEN decision IN ('正确', '需修改') THEN CAST(1.0 AS DOUBLE) ELSE confidence END AS confidence
+FROM t LEFT JOIN l ON l.issue_id = 'I' || seq UNION ALL SELECT NULL, corrected_text, 'confirmed_issue', 1.0 FROM r WHERE issue_id IS NULL AND decision = '漏判'"""
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.catalogue(spark).groupBy("group_code").agg(F.count("*").alias("n_rules"), F.count_if("active").alias("n_active"))
+    """The catalogue's rules by group, for each source of documents as a review."""
+    sources = docs(spark, sf_dir).select(F.coalesce("source", F.lit("?")).alias("task")).distinct()
+    each = F.explode(F.array(*[F.struct(F.lit(r[0][:2]).alias("group_code"), F.lit(r[5]).alias("active")) for r in K.RULES]))
+    return sources.select("task", each.alias("r")).groupBy("task", "r.group_code").agg(F.count("*").alias("n_rules"), F.count_if("r.active").alias("n_active"))
 
 
-QUERIES["rul_00_catalogue"], ORACLE["rul_00_catalogue"] = catalogue, "SELECT * FROM (VALUES ('P1', 12, 12), ('P2', 11, 11), ('P3', 18, 16)) AS t(group_code, n_rules, n_active)"
+QUERIES["rul_00_catalogue"], ORACLE["rul_00_catalogue"] = catalogue, "SELECT task, group_code, n_rules, n_active FROM (VALUES ('P1', 12, 12), ('P2', 11, 11), ('P3', 18, 16)) AS t(group_code, n_rules, n_active), (SELECT DISTINCT coalesce(source, '?') AS task FROM documents)"

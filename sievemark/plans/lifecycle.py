@@ -68,13 +68,21 @@ def with_issue_id(issues: DataFrame) -> DataFrame:
     return issues.withColumn("issue_id", issue_id("owner", "source_file", "source_location", "issue_type", "description", evidence="evidence"))
 
 
+#: Most quotes that a merged finding carries.
+MERGED_QUOTES = 30
+
+
 def merge_signals(issues: DataFrame, location: str | Column = "source_location") -> DataFrame:
     """Anomaly issues of the same entities as one: (location, n, risk_level, types, evidence, confidence), groups of two or more."""
     place = strip(location)
     rows = issues.filter((F.col("owner") == K.ANOMALY) & F.col("issue_type").isin(*K.MERGEABLE_TYPES) & (place != "")).withColumn("location", place)
-    quotes = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), lambda x: x["evidence"])))
-    out = rows.groupBy("location").agg(F.count("*").alias("n"), F.max((F.col("risk_level") == "高").cast("int")).alias("high"), F.array_sort(F.collect_set("issue_type")).alias("types"), F.slice(quotes, 1, 30).alias("evidence"), F.max("confidence").alias("confidence"))
-    return out.filter("n > 1").withColumn("risk_level", F.when((F.col("high") == 1) | (F.col("n") >= 3), "高").otherwise("中")).drop("high")
+    # the first MERGED_QUOTES quotes of a place: told apart before they shuffle, so that no place's findings are gathered
+    said = rows.select("location", "seq", F.posexplode("evidence").alias("at", "quote")).groupBy("location", "quote").agg(F.min(F.struct("seq", "at")).alias("first"))
+    place = Window.partitionBy("location").orderBy("first")
+    first = said.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= MERGED_QUOTES).groupBy("location").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "quote"))), lambda x: x["quote"]).alias("evidence"))
+    out = rows.groupBy("location").agg(F.count("*").alias("n"), F.max((F.col("risk_level") == "高").cast("int")).alias("high"), F.collect_set("issue_type").alias("types"), F.max("confidence").alias("confidence"))
+    out = out.filter("n > 1").join(first, "location", "left").withColumn("risk_level", F.when((F.col("high") == 1) | (F.col("n") >= 3), "高").otherwise("中"))
+    return out.select("location", "n", F.array_sort("types").alias("types"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"), "confidence", "risk_level")
 
 
 def latest_reviews(reviews: DataFrame) -> DataFrame:
