@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,14 +13,20 @@ from pyspark.sql import functions as F
 from ..exprs import compact, strip
 
 
-def equal_attribute_pairs(df: DataFrame, row: str, attributes: list[str], within: list[str], name: str | None = None) -> DataFrame:
-    """(within..., a, b, n_equal): rows a < b of one task with equal attributes, and how many. Blank values link nothing."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(a).cast("string").alias("value")) for a in attributes]))
-    long = df.select(*within, F.col(row).alias("__r"), F.col(name or row).alias("__n"), pairs.alias("p")).select(*within, "__r", "__n", "p.attr", "p.value").filter("value IS NOT NULL AND value <> ''")
-    a = long.select(*within, "attr", "value", F.col("__r").alias("a"), F.col("__n").alias("na"))
-    b = long.select(*within, "attr", "value", F.col("__r").alias("b"), F.col("__n").alias("nb"))
-    both = a.join(b, [*within, "attr", "value"]).filter("a < b AND na <> nb")
-    return both.groupBy(*within, "a", "b").agg(F.count_distinct("attr").cast("long").alias("n_equal"))
+def equal_attribute_pairs(df: DataFrame, row: str, attributes: list[str], within: list[str], name: str | None = None, *, least: int = 1) -> DataFrame:
+    """(within..., a, b, n_equal): rows a < b of one task with at least ``least`` equal attributes, and how many.
+
+    Blank values link nothing, nor do rows with equal ``name``. Rows meet by ``least`` attributes at once, so a value that
+    very many share alone makes no pairs; with more than one set of as many attributes, a pair that meets twice counts once.
+    """
+    value = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    sets = [F.when(reduce(lambda x, y: x & y, [value(c).isNotNull() for c in own]), F.struct(F.lit(i).alias("i"), F.array(*map(value, own)).alias("values"))) for i, own in enumerate(combinations(attributes, least))]
+    rows = df.select(*within, F.col(row).alias("__r"), F.col(name or row).alias("__n"), F.array(*map(value, attributes)).alias("__v"), F.explode(F.array_compact(F.array(*sets))).alias("__k"))
+    a = rows.select(*within, "__k", F.col("__r").alias("a"), F.col("__n").alias("na"), F.col("__v").alias("va"))
+    b = rows.select(*within, "__k", F.col("__r").alias("b"), F.col("__n").alias("nb"), F.col("__v").alias("vb"))
+    equal = F.size(F.filter(F.zip_with("va", "vb", lambda x, y: F.coalesce(x == y, F.lit(False))), lambda x: x)).cast("long")
+    both = a.join(b, [*within, "__k"]).filter("a < b AND na <> nb").select(*within, "a", "b", equal.alias("n_equal"))
+    return both if len(sets) == 1 else both.distinct()
 
 
 def shared_values(df: DataFrame, value: str, holder: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from . import executors as X
 from .driver_queries import ORACLE, QUERIES
 from .fixture_queries import derived, values
@@ -100,6 +101,18 @@ def _matrix(r):
     return out.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def _matrix_sql() -> str:
+    """The catalogue with the status that each rule's own SQL gives."""
+    own = {}
+    for name, sql in ORACLE.items():
+        if name.startswith("rule_") and not name.endswith("_given"):
+            own.setdefault(name[5:10].upper().replace("_", "-"), sql)
+    catalogue = ", ".join(f"('{r[0]}', {str(r[5]).lower()})" for r in K.RULES)
+    return f"""SELECT CASE WHEN NOT active THEN 'disabled' ELSE coalesce(done.status, 'insufficient_data') END AS status, count(*) AS n
+FROM (VALUES {catalogue}) c(rule_id, active) LEFT JOIN ({" UNION ALL ".join(f"SELECT * FROM ({sql})" for sql in own.values())}) done USING (rule_id) GROUP BY 1"""
+
+
+ORACLE["rul_01_matrix"] = _matrix_sql()  # before the rules that the matrix doesn't run are added
 QUERIES["rul_01_matrix"] = lambda spark, sf: _matrix({k: derived(spark, sf, r) for k, r in ALL.items()})
 
 add("joi_17_id_sets", {"a": IDS_A, "b": IDS_B}, lambda r: X.id_difference(r["a"], r["b"], "id"), "SELECT coalesce(x.id, y.id) AS id, CASE WHEN x.id IS NULL THEN 'b' ELSE 'a' END AS only_in FROM (SELECT DISTINCT id FROM a) x FULL JOIN (SELECT DISTINCT id FROM b) y ON x.id = y.id WHERE x.id IS NULL OR y.id IS NULL")

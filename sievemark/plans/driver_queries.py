@@ -261,7 +261,7 @@ SELECT a.event_id AS a, b.event_id AS b, count(DISTINCT a.attr) AS n_equal FROM
 GROUP BY 1, 2 HAVING count(DISTINCT a.attr) >= 3""")
 def joi_03_equal_attributes(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").alias("k"), F.hour("ts").cast("string").alias("hour"), F.to_date("ts").alias("day"))
-    return links.equal_attribute_pairs(e, "event_id", ["event_type", "k", "hour"], ["day"], "user_id").filter("n_equal >= 3").select("a", "b", "n_equal")
+    return links.equal_attribute_pairs(e, "event_id", ["event_type", "k", "hour"], ["day"], "user_id", least=3).select("a", "b", "n_equal")
 
 
 QUERIES["ano_05_metadata_overlap"], ORACLE["ano_05_metadata_overlap"] = joi_03_equal_attributes, ORACLE["joi_03_equal_attributes"]
