@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 from .common import Scratch, mix64
 from .grams import held_out
-from .words import pieces, word_batches
+from .words import BATCH_WORDS, pieces, word_batches
 
 ORDER, FOLDS = 3, 10
 #: Levels grow by this factor of the count; the filter has so many bits for each level of each n-gram, and sets so many.
@@ -34,6 +34,8 @@ ALPHA = 0.1
 PACK_BYTES = 64 << 20
 #: Most tokens whose exact counts are broadcast; those of others meet the documents in a join.
 FREQUENT = 1 << 20
+#: Most times BATCH_WORDS that are scored together where the filter has many packs.
+MOST_BATCHES = 4
 #: Distinct n-grams of an order that a task holds before it sends them on.
 HELD = 1 << 21
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -373,32 +375,40 @@ def score(df: DataFrame, model: Model, *, scratch: Scratch, id_col: str = "doc_i
     rows = df.select(F.col(id_col).alias("doc_id"), held_out(id_col, folds).alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def start():
-        scorer = _Scorer(model)
+    # each batch reads every pack again, so batches grow with them as far as a worker's memory goes
+    most = BATCH_WORDS * max(1, min(MOST_BATCHES, len(model.packs) // 4))
+    parts_of = _Parts(model)
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            out = []
-            for first, end, parts in word_batches(batch.column(2), token_hashes):
-                got = scorer.score(parts)
-                cuts = np.searchsorted(got["rare_of"], np.arange(len(parts) + 1))
-                lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(got[c], pa.int64())) for c in ("rare", "times")]
-                cols = [batch.column(i).slice(first, end - first) for i in (0, 1)] + [pa.array(got[c]) for c in ("n_tokens", "n_known", "base_score", "score")]
-                out.append(pa.RecordBatch.from_arrays([*cols, *lists], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times"]))
-            return common.joined(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, held, total = _Scorer(parts_of), [], 0
 
-        return step
+        def scores() -> pa.RecordBatch:
+            got = scorer.score([x for _, _, parts in held for x in parts])
+            cuts = np.searchsorted(got["rare_of"], np.arange(len(got["n_tokens"]) + 1))
+            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(got[c], pa.int64())) for c in ("rare", "times")]
+            cols = [pa.concat_arrays([h[i] for h in held]) for i in (0, 1)] + [pa.array(got[c]) for c in ("n_tokens", "n_known", "base_score", "score")]
+            return pa.RecordBatch.from_arrays([*cols, *lists], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times"])
 
-    scorer_model, model = model, _Parts(model)
-    scored = common.map_batches(rows, start, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<bigint>, times array<bigint>")
+        for batch in batches:
+            for first, end, parts in word_batches(batch.column(2), token_hashes):
+                held.append((*(batch.column(i).slice(first, end - first) for i in (0, 1)), parts))
+                total += sum(map(len, parts))
+                if total >= most:
+                    yield scores()
+                    held, total = [], 0
+        if held:
+            yield scores()
+
+    scored = common.map_arrow(rows, run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<bigint>, times array<bigint>")
     own = ["doc_id", "held_out", "n_tokens"]
-    if scorer_model.rare:
+    if model.rare:
         scored = scratch.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
         # a rare token counts as unseen above; what its count adds to that
-        tokens = scorer_model.tokens().filter(F.col("c") < F.lit(scorer_model.bound)).select("h", (F.log10((F.col("c") + ALPHA) / F.lit(ALPHA))).alias("more"))
+        tokens = model.tokens().filter(F.col("c") < F.lit(model.bound)).select("h", (F.log10((F.col("c") + ALPHA) / F.lit(ALPHA))).alias("more"))
         uses = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
         found = uses.join(tokens, "h").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.col("more")).alias("more"))
         scored = scored.drop("rare", "times").join(found, "row", "left").withColumn("n_known", F.col("n_known") + F.coalesce("known", F.lit(0))).withColumn("base_score", F.col("base_score") + F.coalesce("more", F.lit(0.0)))
-    return scored.select(*own, "n_known", F.lit(scorer_model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select(*own, "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 class _Parts:
