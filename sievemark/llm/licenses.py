@@ -37,24 +37,30 @@ SENTENCES: dict[str, str] = {
     "zlib-liable": "in no event will the authors be held liable for any damages arising from the use of this software",
     "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
     "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "apache-title": "apache license",
+    "apache-version": "version 2 0 january 2004",
+    "gpl-title": "gnu general public license",
+    "lgpl-title": "gnu lesser general public license",
+    "agpl-title": "gnu affero general public license",
+    "gnu3-version": "version 3 29 june 2007",
+    "gpl2-version": "version 2 june 1991",
+    "lgpl21-version": "version 2 1 february 1999",
+    "agpl3-version": "version 3 19 november 2007",
+    "version-3": "version 3",
+    "version-2": "version 2",
     "reserved": "all rights reserved",
 }
-# How a notice begins and ends around a licence's name.
-LEADS = (
-    "licensed under", "released under", "distributed under", "available under", "made available under",
-    "licensed under the terms of", "released under the terms of", "distributed under the terms of", "available under the terms of",
-    "this project is licensed under", "this project is licensed under the terms of", "this project is released under",
-    "this software is licensed under", "this software is released under", "this software is distributed under",
-    "this work is licensed under", "this code is licensed under", "this library is licensed under", "this package is licensed under",
-    "this program is licensed under", "this file is licensed under", "this repository is licensed under", "this document is licensed under",
-    "the code is licensed under", "the source code is licensed under",
-)
-TAILS = ("", " see the license file for details", " see the license md file for details", " see license for details", " see license file for details")
+# How a notice begins and ends around a licence's name: a subject and "is" or nothing, what is done, and what
+# may follow.
+SUBJECTS = tuple(f"{which} {what}" for which in ("this", "the", "all", "our") for what in ("project", "software", "work", "code", "source code", "library", "package", "program", "file", "repository", "document", "module", "tool")) + ("code", "source code", "software", "it")
+VERBS = ("licensed under", "released under", "distributed under", "available under", "made available under", "provided under", "published under")
+FILES = ("license", "license file", "license md", "license md file", "license txt", "license txt file", "licence", "copying", "copying file")
+ENDS = ("", " for details", " for more details", " for more information")
 # Licences by SPDX identifier, with the names that notices give them. A plus sign is lost in normalised
 # text, so short names of the GNU licences, which may end in one, are left out.
 NAMES: dict[str, tuple[str, ...]] = {
-    "MIT": ("the mit license", "mit license", "an mit license", "the mit licence", "mit licence", "mit", "the expat license"),
-    "Apache-2.0": ("the apache license version 2 0", "apache license version 2 0", "the apache license 2 0", "apache license 2 0", "the apache 2 0 license", "apache 2 0 license", "apache 2 0", "the apache software license version 2 0"),
+    "MIT": ("the mit license", "mit license", "an mit license", "the mit licence", "mit licence", "mit", "the mit license mit", "mit license mit", "the expat license"),
+    "Apache-2.0": ("the apache license version 2 0", "apache license version 2 0", "the apache license 2 0", "apache license 2 0", "the apache 2 0 license", "apache 2 0 license", "apache 2 0", "the apache software license version 2 0", "the apache 2 license", "the apache license v2 0", "apache license v2 0"),
     "BSD-2-Clause": ("the bsd 2 clause license", "bsd 2 clause license", "bsd 2 clause", "the 2 clause bsd license", "the simplified bsd license"),
     "BSD-3-Clause": ("the bsd 3 clause license", "bsd 3 clause license", "bsd 3 clause", "the 3 clause bsd license", "the new bsd license", "the revised bsd license", "the modified bsd license"),
     "ISC": ("the isc license", "isc license", "isc"),
@@ -66,12 +72,6 @@ NAMES: dict[str, tuple[str, ...]] = {
     "Zlib": ("the zlib license", "zlib license", "zlib"),
     "BSL-1.0": ("the boost software license version 1 0", "the boost software license 1 0"),
     "CC0-1.0": ("cc0", "cc0 1 0", "cc0 1 0 universal", "the cc0 1 0 universal license"),
-    "CC-BY-4.0": ("cc by 4 0", "the cc by 4 0 license", "a creative commons attribution 4 0 international license", "the creative commons attribution 4 0 international license"),
-    "CC-BY-SA-4.0": ("cc by sa 4 0", "the cc by sa 4 0 license", "a creative commons attribution sharealike 4 0 international license", "the creative commons attribution sharealike 4 0 international license"),
-    "CC-BY-NC-4.0": ("cc by nc 4 0", "the cc by nc 4 0 license", "a creative commons attribution noncommercial 4 0 international license", "the creative commons attribution noncommercial 4 0 international license"),
-    "CC-BY-ND-4.0": ("cc by nd 4 0", "the cc by nd 4 0 license", "a creative commons attribution noderivatives 4 0 international license", "the creative commons attribution noderivatives 4 0 international license"),
-    "CC-BY-NC-SA-4.0": ("cc by nc sa 4 0", "the cc by nc sa 4 0 license", "a creative commons attribution noncommercial sharealike 4 0 international license", "the creative commons attribution noncommercial sharealike 4 0 international license"),
-    "CC-BY-NC-ND-4.0": ("cc by nc nd 4 0", "the cc by nc nd 4 0 license", "a creative commons attribution noncommercial noderivatives 4 0 international license", "the creative commons attribution noncommercial noderivatives 4 0 international license"),
 }
 # The GNU licences: identifier, name, versions that were published.
 GNU = (
@@ -79,6 +79,9 @@ GNU = (
     ("LGPL", "lesser general public license", ("2.1", "3.0")),
     ("AGPL", "affero general public license", ("3.0",)),
 )
+# The Creative Commons licences: their parts, the words of each, and the versions that were published.
+COMMONS = {"BY": "attribution", "BY-SA": "attribution sharealike", "BY-NC": "attribution noncommercial", "BY-ND": "attribution noderivatives", "BY-NC-SA": "attribution noncommercial sharealike", "BY-NC-ND": "attribution noncommercial noderivatives"}
+COMMONS_VERSIONS = {"2.0": "generic", "2.5": "generic", "3.0": "unported", "4.0": "international"}
 # The rules in the order they are tried. Sentences that a rule has read are not read again.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
@@ -90,6 +93,14 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("GPL-3.0-or-later", ("gpl-free", "gpl3-terms")),
     ("GPL-2.0-or-later", ("gpl-free", "gpl2-terms")),
     ("MIT", ("mit-title",)),
+    ("Apache-2.0", ("apache-title", "apache-version")),
+    ("GPL-3.0-only", ("gpl-title", "gnu3-version")),
+    ("GPL-2.0-only", ("gpl-title", "gpl2-version")),
+    ("LGPL-3.0-only", ("lgpl-title", "gnu3-version")),
+    ("LGPL-2.1-only", ("lgpl-title", "lgpl21-version")),
+    ("AGPL-3.0-only", ("agpl-title", "agpl3-version")),
+    ("GPL-3.0-only", ("gpl-title", "version-3")),
+    ("GPL-2.0-only", ("gpl-title", "version-2")),
     ("CC0-1.0", ("cc0",)),
     ("ISC", ("isc-grant",)),
     ("0BSD", ("0bsd-grant",)),
@@ -100,7 +111,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Zlib", ("zlib-as-is", "zlib-liable", "zlib-grant")),
 )
 # Every known sentence holds one of these, so a text without any has no known sentence.
-HINTS = (b"licen", b"permi", b"copyright", b"warranty", b"reserved", b"free", b"liable", b"released", b"distributed", b"available")
+HINTS = (b"version", b"creative commons", b"licen", b"permi", b"copyright", b"warranty", b"reserved", b"free", b"liable", b"released", b"distributed", b"available", b"provided", b"published")
 #: Sentences end at these characters before white space, and at line ends; the second reading unwraps paragraphs first.
 #: The colon of an SPDX tag ends none.
 _END = re.compile(r"([.!?;:])[ \t\n]+")
@@ -134,8 +145,29 @@ def gnu_terms() -> dict[str, str]:
     return out
 
 
+def commons_names() -> dict[str, tuple[str, ...]]:
+    out = {}
+    for part, words in COMMONS.items():
+        for v, kind in COMMONS_VERSIONS.items():
+            number, short = v.replace(".", " "), part.lower().replace("-", " ")
+            long = [f"creative commons {x} {number}{y}" for x in sorted({words, words.replace("sharealike", "share alike").replace("noderivatives", "no derivatives").replace("noncommercial", "non commercial")}) for y in ("", f" {kind}")]
+            out[f"CC-{part}-{v}"] = (f"cc {short} {number}", f"the cc {short} {number} license", *(f"{a}{x}{b}" for x in long for a in ("", "a ", "the ") for b in ("", " license")))
+    return out
+
+
+def titles() -> dict[str, str]:
+    """Names that are a licence's title where they stand alone: those that say so, with a version where there are several."""
+    return {name: licence for licence, names in (NAMES | commons_names()).items() for name in names if name.endswith((" license", " licence", " license mit", " international", " unported")) or "license version" in name}
+
+
+def tags() -> dict[str, str]:
+    """Normalised SPDX identifiers, the GNU ones of old too, which meant that version only."""
+    out = {_OTHER.sub(" ", licence.translate(_LOWER)): licence for licence in ALL_NAMES}
+    return out | {_OTHER.sub(" ", f"{short}-{v}".lower()): f"{short}-{v}-only" for short, _, versions in GNU for v in versions}
+
+
 #: All names by licence, in the order in which their notices are tried.
-ALL_NAMES = NAMES | gnu_names()
+ALL_NAMES = NAMES | commons_names() | gnu_names()
 #: Sentences and rules of the GNU headers; rules of whole texts and headers stand before those of single notices.
 SENTENCES |= {f"terms-{licence}": text for licence, text in gnu_terms().items() if text not in SENTENCES.values()}
 RULES = (
@@ -146,23 +178,50 @@ RULES = (
 )
 
 
+def notice_pattern() -> str:
+    """What a notice says around a licence's name, which is the only group; both for re and for RE2."""
+    return f"^(?:(?:{'|'.join(SUBJECTS)}) (?:is|are) )?(?:{'|'.join(VERBS)})(?: the terms of)? (.+?)(?: see (?:the )?(?:{'|'.join(FILES)})(?:{'|'.join(ENDS[1:])})?)?$"
+
+
+#: A GNU identifier with a plus, which normalising would lose, and what begins a normalised SPDX tag.
+_PLUS, _SPDX = r"\b([AaLl]?[Gg][Pp][Ll]-[0-9.]*[0-9])\+", "spdx license identifier "
+
+
 def known_sentences() -> dict[str, str]:
-    """Every known sentence with its identifier: the fixed ones, notices of all forms, and SPDX tags."""
-    out = {text: name for name, text in SENTENCES.items()}
-    for licence, names in ALL_NAMES.items():
-        out |= {f"{lead} {name}{tail}": f"notice-{licence}" for lead in LEADS for name in names for tail in TAILS}
-        out[f"spdx license identifier {_OTHER.sub(' ', licence.translate(_LOWER))}"] = f"notice-{licence}"
-    return out
+    """The sentences that are known as a whole, with their identifiers: the fixed ones and titles."""
+    return {text: name for name, text in SENTENCES.items()} | {text: f"notice-{licence}" for text, licence in titles().items()}
+
 
+class Reader:
+    """Identifiers of normalised sentences: known ones, notices by their licence's name, and SPDX expressions by their parts."""
 
-def identifiers(text: str, known: dict[str, str], unwrap: bool) -> str:
+    def __init__(self, known: dict[str, str] | None = None):
+        self.known, self.all = known_sentences() if known is None else known, known is None
+        self.notice = re.compile(notice_pattern(), re.DOTALL)
+        self.names = {name: licence for licence, names in ALL_NAMES.items() for name in names}
+        self.tags = tags()
+
+    def __call__(self, sentence: str) -> list[str]:
+        if sentence in self.known:
+            return [self.known[sentence]]
+        if not self.all:
+            return []
+        if sentence.startswith(_SPDX):
+            parts = re.split(" (?:or|and) ", sentence[len(_SPDX) :].replace(" or later", " orlater"))
+            found = (self.tags.get(p.partition(" with ")[0].replace(" orlater", " or later")) for p in parts)
+            return [f"notice-{x}" for x in found if x]
+        if len(sentence) < 250 and (m := self.notice.match(sentence)) and (licence := self.names.get(m[1])):
+            return [f"notice-{licence}"]
+        return []
+
+
+def identifiers(text: str, read: Reader, unwrap: bool) -> str:
     """Identifiers of a text's known sentences in order, each between bars. Other sentences are passed over."""
-    text = _TAG.sub("\\1 ", text)
+    text = re.sub(_PLUS, "\\1-or-later", _TAG.sub("\\1 ", text))
     if unwrap:
         text = "\x1d".join(p.replace("\n", " ") for p in _PARAGRAPH.split(text))
     parts = _END.sub("\\1\x1d", text).replace("\n", "\x1d").split("\x1d")
-    found = (known.get(_OTHER.sub(" ", p.translate(_LOWER)).strip(" ")) for p in parts)
-    return "".join(f"|{x}|" for x in found if x)
+    return "".join(f"|{x}|" for p in parts for x in read(_OTHER.sub(" ", p.translate(_LOWER)).strip(" ")))
 
 
 def apply_rules(sequence: str, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> set[str]:
@@ -183,17 +242,19 @@ def scan(df: DataFrame, *, sentences: dict[str, str] | None = None, id_col: str
     of either reading, sentence_ids those of the first. Null and empty texts, and texts without a licence, give ''.
     Repeated rows give repeated results; other columns are not read; an empty table gives no rows.
     """
-    known = {text: name for name, text in sentences.items()} if sentences is not None else known_sentences()
+    known = {text: name for name, text in sentences.items()} if sentences is not None else None
     hints = HINTS if sentences is None else (b"",)
 
     def start():
+        read = Reader(known)
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             licences, counts, ids = [], [], []
             for text in batch.column(1).to_pylist():
                 low = text.encode("utf-8", "surrogatepass").lower() if text else b""
                 lines = wrapped = ""
                 if low and any(h in low for h in hints):
-                    lines, wrapped = identifiers(text, known, False), identifiers(text, known, True)
+                    lines, wrapped = identifiers(text, read, False), identifiers(text, read, True)
                 found = apply_rules(lines) | apply_rules(wrapped) if lines or wrapped else set()
                 licences.append(",".join(sorted(found)))
                 counts.append(len(found))
@@ -207,9 +268,9 @@ def scan(df: DataFrame, *, sentences: dict[str, str] | None = None, id_col: str
 
 def oracle_sql() -> str:
     """The same in DuckDB's SQL over table documents."""
-    values = ", ".join(f"('{name}', '{text}')" for name, text in SENTENCES.items())
-    leads, tails = ", ".join(f"('{x}')" for x in LEADS), ", ".join(f"('{x}')" for x in TAILS)
+    values = ", ".join(f"('{name}', '{text}')" for text, name in known_sentences().items())
     names = ", ".join(f"('{licence}', '{name}')" for licence, forms in ALL_NAMES.items() for name in forms)
+    marks = ", ".join(f"('{licence}', '{tag}')" for tag, licence in tags().items())
     steps, last = [], "seq"
     for i, (_, ids) in enumerate(RULES):
         pattern = "".join(f"|{x}|" for x in ids)
@@ -218,11 +279,9 @@ def oracle_sql() -> str:
     hits = ", ".join(f"CASE WHEN r{i} THEN '{licence}' END" for i, (licence, _) in enumerate(RULES))
     return rf"""
 WITH a(licence, name) AS (VALUES {names}),
-k(id, sentence) AS (
-  VALUES {values}
-  UNION SELECT 'notice-' || licence, lead || ' ' || name || tail FROM a, (VALUES {leads}) b(lead), (VALUES {tails}) c(tail)
-  UNION SELECT 'notice-' || licence, 'spdx license identifier ' || regexp_replace(lower(licence), '[^a-z0-9]+', ' ', 'g') FROM a),
-d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '([Ii][Dd][Ee][Nn][Tt][Ii][Ff][Ii][Ee][Rr]):[ \t]+', '\1 ', 'g') AS text FROM documents),
+g1(licence, tag) AS (VALUES {marks}),
+k(id, sentence) AS (VALUES {values}),
+d AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '([Ii][Dd][Ee][Nn][Tt][Ii][Ff][Ii][Ee][Rr]):[ \t]+', '\1 ', 'g'), '{_PLUS}', '\1-or-later', 'g') AS text FROM documents),
 t AS (
   SELECT doc_id, 'lines' AS kind, text FROM d
   UNION ALL
@@ -232,9 +291,16 @@ p AS (
   FROM (SELECT doc_id, kind, string_split(replace(regexp_replace(text, '([.!?;:])[ \t\n]+', '\1' || chr(29), 'g'), chr(10), chr(29)), chr(29)) AS parts FROM t)),
 n AS (
   SELECT doc_id, kind, pos, trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' ') AS sentence FROM p),
+s AS (
+  SELECT doc_id, kind, pos, unnest(own) AS own, generate_subscripts(own, 1) AS sub
+  FROM (SELECT doc_id, kind, pos, string_split(regexp_replace(replace(substr(sentence, {len(_SPDX) + 1}), ' or later', ' orlater'), ' (or|and) ', chr(30), 'g'), chr(30)) AS own FROM n WHERE starts_with(sentence, '{_SPDX}'))),
+m AS (
+  SELECT doc_id, kind, pos, 0 AS sub, k.id FROM n JOIN k USING (sentence)
+  UNION ALL SELECT doc_id, kind, pos, 0, 'notice-' || licence FROM (SELECT *, regexp_extract(sentence, '{notice_pattern()}', 1) AS name FROM n WHERE length(sentence) < 250 AND sentence NOT IN (SELECT sentence FROM k) AND NOT starts_with(sentence, '{_SPDX}')) JOIN a USING (name)
+  UNION ALL SELECT doc_id, kind, pos, sub, 'notice-' || licence FROM s JOIN g1 ON tag = replace(regexp_replace(own, ' with .*$', ''), ' orlater', ' or later')),
 seq AS (
-  SELECT t.doc_id, t.kind, coalesce(string_agg('|' || k.id || '|', '' ORDER BY n.pos), '') AS ids, coalesce(string_agg('|' || k.id || '|', '' ORDER BY n.pos), '') AS q0
-  FROM (SELECT doc_id, kind FROM t) t LEFT JOIN (n JOIN k ON n.sentence = k.sentence) ON t.doc_id = n.doc_id AND t.kind = n.kind GROUP BY 1, 2),
+  SELECT t.doc_id, t.kind, coalesce(string_agg('|' || m.id || '|', '' ORDER BY m.pos, m.sub), '') AS ids, coalesce(string_agg('|' || m.id || '|', '' ORDER BY m.pos, m.sub), '') AS q0
+  FROM (SELECT doc_id, kind FROM t) t LEFT JOIN m ON t.doc_id = m.doc_id AND t.kind = m.kind GROUP BY 1, 2),
 {", ".join(steps)},
 f AS (SELECT doc_id, kind, ids, list_filter([{hits}], lambda x: x IS NOT NULL) AS found FROM {last}),
 g AS (SELECT doc_id, list_sort(list_distinct(flatten(list(found)))) AS found, max(ids) FILTER (WHERE kind = 'lines') AS sentence_ids FROM f GROUP BY doc_id)

@@ -179,6 +179,34 @@ def test_drop_contaminated_clashing_columns(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "x", 5, 6), (None, None, None, None), (2, "", 0, 0), (1, "x", 5, 6)], key=str)
 
 
+def test_licence_expressions_titles_and_versions(spark):
+    cases = [
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"),
+        ("// SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0) AND MIT", "GPL-2.0-or-later,MIT"),
+        ("SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception", "Apache-2.0"),
+        ("SPDX-License-Identifier: GPL-3.0\ncode", "GPL-3.0-only"),
+        ("SPDX-License-Identifier: LGPL-2.1-or-later OR Foo-1.0", "LGPL-2.1-or-later"),
+        ("Code is released under the Apache 2.0 license", "Apache-2.0"),
+        ("Licensed under the MIT License (MIT).", "MIT"),
+        ("Released under the MIT License, see LICENSE.", "MIT"),
+        ("MIT License\n\nCopyright x", "MIT"),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "GPL-3.0-only"),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 2", "GPL-2.0-only"),
+        ("    Apache License\n  Version 2.0, January 2004", "Apache-2.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "CC-BY-SA-3.0"),
+        ("Licensed under CC BY-NC 2.5", "CC-BY-NC-2.5"),
+        ("All code is provided under the terms of the GNU Lesser General Public License version 3 or later. x", "LGPL-3.0-or-later"),
+        ("Our software is distributed under the ISC license, see the COPYING file for more details", "ISC"),
+        ("The zone is released under the bridge. Version 3. MIT. Licensed under a licence", ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = sorted(map(tuple, licenses.scan(docs).collect()))
+    assert [r[1] for r in got] == [want for _, want in cases]
+    duck = duckdb.connect()
+    duck.register("documents", pa.table({"doc_id": list(range(len(cases))), "text": [t for t, _ in cases]}))
+    assert sorted(duck.sql(licenses.oracle_sql()).project("doc_id, licences, n_licences, sentence_ids").fetchall()) == got
+
+
 def test_licence_notices_and_families(spark):
     lgpl = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."
     cases = [
