@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..exprs import col, is_close, weight_ratio
+from ..storage import written
 
 
 def mean_then_sum(df: DataFrame, keys: list[str], factor: str, value: str | Column, out: str = "calculated") -> DataFrame:
@@ -36,6 +37,21 @@ def total_mismatches(details: DataFrame, summaries: DataFrame, keys: list[str],
     return own.join(summaries.select(*keys, total), keys).filter(~is_close(F.col("calculated"), F.col(total), tolerance))
 
 
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Numbers all rows from 1 in an order: ranges are numbered by themselves, behind the rows of the ranges before.
+
+    A written table fixes the ranges; one count for each of them goes through the driver. Rows that tie must not matter.
+    """
+    ranged = written(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranks")
+    before, total = [], 0
+    for p, n in sorted(map(tuple, ranged.groupBy("__p").count().collect())):
+        before.append((p, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(before, "__p int, __before long")
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return ranged.withColumn("__own", own).join(F.broadcast(offsets), "__p").withColumn(name, (F.col("__before") + F.col("__own")).cast("int")).drop("__p", "__own", "__before")
+
+
 def expected_rank(df: DataFrame, lot: list[str], total: str, name: str, out: str = "expected_rank") -> DataFrame:
     """1, 2, ... by falling total, ties by name, in each lot."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*lot).orderBy(F.col(total).desc(), F.col(name))))

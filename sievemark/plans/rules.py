@@ -63,8 +63,8 @@ def committee(details: DataFrame, method: str) -> DataFrame:
 
 def candidate_ranks(rankings: DataFrame, summaries: DataFrame, rule_id: str = "P1-04") -> DataFrame:
     """P1-04 and P1-06: candidates against ranks by total, each bidder once."""
-    best = summaries.filter("total_score IS NOT NULL").groupBy("bidder").agg(F.max("total_score").alias("total_score")).withColumn("all", F.lit(1))
-    rows = scores.expected_rank(best, ["all"], "total_score", "bidder").join(rankings.filter("rank IS NOT NULL").select("bidder", "rank"), "bidder")
+    best = summaries.filter("total_score IS NOT NULL").groupBy("bidder").agg(F.max("total_score").alias("total_score"))
+    rows = scores.global_rank(best, [F.desc("total_score"), F.asc("bidder")], "expected_rank").join(rankings.filter("rank IS NOT NULL").select("bidder", "rank"), "bidder")
     return _row(rows, rule_id, F.col("rank") != F.col("expected_rank"))
 
 

@@ -14,8 +14,9 @@ def test_document_sections_without_cap(spark, tmp_path):
 
 
 def test_coverage_gap_by_containment(spark, monkeypatch):
-    every = {r["id"] for r in QUERIES["flt_12_coverage_candidates"](spark, "").collect()}
-    run = lambda: {r["id"] for r in QUERIES["chk_15_coverage_gap"](spark, "").collect()}
+    clauses = fixture_queries.frame(spark, fixture_queries.CLAUSES)  # the forms themselves; the queries derive rows of documents from them
+    every = {r["id"] for r in fixture_queries.COVER(clauses).collect()}
+    run = lambda: {r["id"] for r in fixture_queries.coverage_gap(clauses).collect()}
     assert run() == every - {1, 3}
     monkeypatch.setattr(fixture_queries, "RETURNED", ("evidence string", [("须提供指定品牌的服务器",), ("",)]))
     assert run() == every - {2}
