@@ -51,6 +51,7 @@ def quality_checks(docs: DataFrame, fields: DataFrame) -> DataFrame:
     """
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     text = F.coalesce("text", F.lit(""))
+    # The messages of the checks.
     unread = yes("is_scanned") & (~yes("ocr_applied") | (F.coalesce("ocr_confidence", F.lit(0.0)) < SURE))
     scan = F.when(yes("is_scanned") & yes("ocr_applied"), F.format_string("扫描件已完成 OCR，平均置信度 %.2f", F.coalesce("ocr_confidence", F.lit(0.0)))).when(yes("is_scanned"), "疑似扫描件，需要 OCR 或人工复核").otherwise("未发现明显扫描件特征")
     said = F.concat_ws("；", *[F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c, ", "))) for c, label in (("missing", "未识别字段: "), ("unsure", "低置信度字段: "), ("open", "存在冲突或需确认的字段: "))])

@@ -60,6 +60,7 @@ def conclusions(issues: DataFrame, documents: DataFrame) -> DataFrame:
     rows = files.withColumn("owner", F.explode(F.array(*map(F.lit, owners)))).join(counts.withColumnRenamed("who", "owner"), ["task", "owner"], "left").join(every, "task", "left")
     rows = rows.fillna(0, ["yes", "open", "n", "all_yes", "all_open", "all_n"])
     say = lambda text, *cols: F.format_string(text, *map(F.col, cols))
+    # The sentences of a report.
     some, pages = (F.col("yes") + F.col("open")) > 0, F.when(F.col("pages") > 0, say("共%d页", "pages")).otherwise("")
     parsed = F.concat(say("完成%d份文档", "files"), pages, F.lit("的内容解析，并提取正文、章节、表格及关键业务字段。"), F.when(F.col("open") > 0, say("视觉或解析质量核验发现%d项待人工复核事项，已纳入最终问题清单。", "open")).otherwise("当前未形成需要输出的文档解析质量问题。"))
     text = {
