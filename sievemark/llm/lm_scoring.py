@@ -31,10 +31,12 @@ LEVELS = 128
 MOST = 0.99
 ALPHA = 0.1
 #: Largest part of the filter that one broadcast holds. A segment is one slice; more shuffle partitions make more slices.
-PACK_BYTES = 64 << 20
+PACK_BYTES = 32 << 20
+#: Bytes of segments that the driver collects at once, about; one segment may be more.
+SENT_BYTES = 4 << 20
 #: Most tokens whose exact counts are broadcast; those of others meet the documents in a join.
-FREQUENT = 1 << 20
-#: Most times BATCH_WORDS that are scored together where the filter has many packs.
+FREQUENT = 1 << 18
+#: Most times half of BATCH_WORDS that are scored together where the filter has many packs.
 MOST_BATCHES = 4
 #: Distinct n-grams of an order that a task holds before it sends them on.
 HELD = 1 << 21
@@ -221,15 +223,22 @@ class Model:
         self.weight = self._weights()
 
     def _broadcast(self, spark: object, rows: list) -> object:
-        """The segments of ``rows``, which are next to each other in order, as one broadcast."""
-        (a, b), (c, d) = ((rows[i]["n"], rows[i]["slice"]) for i in (0, -1))
-        key = F.struct("n", "slice")
-        lit = lambda n, s: F.struct(F.lit(n).alias("n"), F.lit(s).alias("slice"))
-        cells = self.slices.filter((key >= lit(a, b)) & (key <= lit(c, d))).select("n", "slice", "bits").collect()
-        cells.sort(key=lambda r: (r["n"], r["slice"]))
-        out = spark.sparkContext.broadcast(np.concatenate([np.frombuffer(r["bits"], np.uint8) for r in cells]))
-        _forget(out)
-        return out
+        """The segments of ``rows``, which are next to each other in order, as one broadcast; the driver gets a few megabytes of them at a time."""
+        out, at, begin = np.zeros(sum(r["size"] for r in rows), np.uint8), 0, 0
+        key, lit = F.struct("n", "slice"), lambda r: F.struct(F.lit(r["n"]).alias("n"), F.lit(r["slice"]).alias("slice"))
+        for i, r in enumerate(rows):
+            if i + 1 < len(rows) and sum(x["size"] for x in rows[begin : i + 1]) < SENT_BYTES:
+                continue
+            cells = self.slices.filter((key >= lit(rows[begin])) & (key <= lit(r))).select("n", "slice", "bits").collect()
+            for cell in sorted(cells, key=lambda c: (c["n"], c["slice"])):
+                out[at : at + len(cell["bits"])] = np.frombuffer(cell["bits"], np.uint8)
+                at += len(cell["bits"])
+            begin = i + 1
+        sent = spark.sparkContext.broadcast(out)
+        _forget(sent)
+        del out, cells
+        common.release()
+        return sent
 
     def _frequent(self, spark: object, most: int) -> object:
         """Broadcast (hashes in order, counts) of all tokens from the least level on that leaves at most ``most`` of them."""
@@ -247,7 +256,16 @@ class Model:
         h = cells["h"].to_numpy().view(np.uint64) if cells is not None else np.zeros(0, np.uint64)
         c = cells["c"].to_numpy() if cells is not None else np.zeros(0, np.int64)
         at = np.argsort(h)
-        return spark.sparkContext.broadcast((h[at], c[at]))
+        sent = spark.sparkContext.broadcast((h[at], c[at]))
+        del cells, h, c, at
+        _forget(sent)
+        common.release()
+        return sent
+
+    def close(self) -> None:
+        """Gives up the broadcasts. What ``score`` gave before needs them no more."""
+        for held in (*self.packs, self.exact):
+            held.destroy()
 
     def _weights(self) -> np.ndarray:
         """Of each n-gram length and level of a history's count, the weight of that history's own counts.
@@ -376,7 +394,7 @@ def score(df: DataFrame, model: Model, *, scratch: Scratch, id_col: str = "doc_i
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     # each batch reads every pack again, so batches grow with them as far as a worker's memory goes
-    most = BATCH_WORDS * max(1, min(MOST_BATCHES, len(model.packs) // 4))
+    most = BATCH_WORDS // 2 * max(1, min(MOST_BATCHES, len(model.packs) // 16))
     parts_of = _Parts(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,9 +418,9 @@ def score(df: DataFrame, model: Model, *, scratch: Scratch, id_col: str = "doc_i
             yield scores()
 
     scored = common.map_arrow(rows, run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<bigint>, times array<bigint>")
+    scored = scratch.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # from here on without the model
     own = ["doc_id", "held_out", "n_tokens"]
     if model.rare:
-        scored = scratch.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
         # a rare token counts as unseen above; what its count adds to that
         tokens = model.tokens().filter(F.col("c") < F.lit(model.bound)).select("h", (F.log10((F.col("c") + ALPHA) / F.lit(ALPHA))).alias("more"))
         uses = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))

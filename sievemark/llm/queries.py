@@ -79,7 +79,10 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
-    return lm_scoring.score(docs, lm_scoring.train(docs, scratch=scratch), scratch=scratch)
+    model = lm_scoring.train(docs, scratch=scratch)
+    out = lm_scoring.score(docs, model, scratch=scratch)
+    model.close()
+    return out
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
