@@ -32,6 +32,18 @@ def findings(spark, rows):
     return spark.createDataFrame(rows, "seq int, source_file string, source_location string, issue_type string, description string, risk_level string, requires_human_review boolean, evidence array<string>")
 
 
+def test_review_of_equal_quotes(spark, most_rows, monkeypatch):
+    """Many findings with one quote, many equal texts of one file: they meet as one quote."""
+    made = []
+    find = lifecycle.find_quotes
+    monkeypatch.setattr(lifecycle, "find_quotes", lambda q, t: made.append(find(q, t)) or made[-1])
+    issues = findings(spark, [(i, "f", str(i), "t", "d", "低", True, ["q" if i % 2 else "zz"]) for i in range(N)])
+    docs = spark.range(N).select(F.lit("f").alias("source_file"), F.lit("some q here").alias("text"))
+    got = {r["seq"]: r["reason"] for r in lifecycle.review_reasons(issues, docs).collect()}
+    assert got == {i: "" if i % 2 else "unlocated" for i in range(N)}
+    assert sum(d.count() for d in made) <= N
+
+
 def test_review_of_whole_texts(spark, monkeypatch):
     """Quotes that are whole texts aren't searched for; all others are, each in its file or, where that is unknown, in all."""
     asked = []
