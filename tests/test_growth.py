@@ -28,6 +28,18 @@ def most_rows(spark):
     spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
+def bids(spark):
+    openings = spark.range(N).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("doc"), F.when(F.col("id") % 2 == 0, "甲 公司").otherwise("乙公司").alias("bidder"))
+    docs = spark.range(N).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("doc"), F.when(F.col("id") % 2 == 0, X.REPORT).otherwise(X.OPENING).alias("subtype"))
+    return openings, docs
+
+
+def test_bidder_difference(spark, most_rows):
+    rows, most = most_rows(X.bidder_difference(*bids(spark)))
+    assert sorted(map(tuple, rows)) == sorted([("甲公司", X.REPORT), ("乙公司", X.OPENING)])
+    assert most <= N
+
+
 def findings(spark, rows):
     return spark.createDataFrame(rows, "seq int, source_file string, source_location string, issue_type string, description string, risk_level string, requires_human_review boolean, evidence array<string>")
 
