@@ -40,6 +40,12 @@ def test_bidder_difference(spark, most_rows):
     assert most <= N
 
 
+def test_bidder_sets(spark, most_rows):
+    rows, most = most_rows(X.bidder_sets(*bids(spark)))
+    assert [tuple(r) for r in rows] == [("P2-03", "human_review")]
+    assert most <= N
+
+
 def findings(spark, rows):
     return spark.createDataFrame(rows, "seq int, source_file string, source_location string, issue_type string, description string, risk_level string, requires_human_review boolean, evidence array<string>")
 
