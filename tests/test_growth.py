@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sievemark.operators import links, text
 from sievemark.plans import executors as X
 from sievemark.plans import lifecycle
 
@@ -73,3 +74,15 @@ def test_review_of_whole_texts(spark, monkeypatch):
     got = {r["seq"]: r["reason"] for r in lifecycle.review_reasons(issues, docs).collect()}
     assert got == {i: r for i, (*_, r) in enumerate(rows)}
     assert sorted(asked) == ["five", "one two three", "seven", "two"]
+
+
+def test_page_for_offset(spark, most_rows):
+    pages = spark.createDataFrame([("a", p, n) for p, n in ((1, 10), (1, 3), (2, 0), (3, None), (4, 5))] + [("b", None, 4), (None, 1, 9)], "doc string, page int, n_chars int")
+    offsets = spark.createDataFrame([("a", o) for o in (0, 14, 15, 16, 21, 22, None, 0)] + [("b", 4), ("b", 5), (None, 0), ("c", 0)], "doc string, offset int")
+    got, _ = most_rows(X.page_for_offset(offsets, pages))
+    # page 1 stops at 15, 2 and 3 at 16, 4 at 22
+    assert sorted(map(tuple, got), key=str) == sorted([("a", 0, 1), ("a", 14, 1), ("a", 15, 2), ("a", 16, 4), ("a", 21, 4), ("b", 4, None)], key=str)
+    many = spark.range(N).select(F.lit("a").alias("doc"), F.col("id").cast("int").alias("page"), F.lit(1).alias("n_chars"))
+    got, most = most_rows(X.page_for_offset(spark.range(N).select(F.lit("a").alias("doc"), F.col("id").cast("int").alias("offset")), many))
+    assert sorted(map(tuple, got)) == [("a", i, i // 2) for i in range(N)]
+    assert most <= 2 * N
