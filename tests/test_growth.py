@@ -76,6 +76,22 @@ def test_review_of_whole_texts(spark, monkeypatch):
     assert sorted(asked) == ["five", "one two three", "seven", "two"]
 
 
+def test_verbatim(spark, most_rows):
+    rows = [(1, "f", ["q"]), (2, "f", ["zz"]), (3, "g", ["q"]), (4, "f", [])]
+    issues = spark.createDataFrame(rows, "seq int, source_file string, evidence array<string>")
+    texts = spark.range(N).select(F.lit("f").alias("source_file"), F.when(F.col("id") % 3 == 0, "no").otherwise("some q here").alias("text"))
+    got, _ = most_rows(lifecycle.verbatim(issues, texts, "source_file", "text", "evidence").select("seq"))
+    assert [r["seq"] for r in got] == [1] * (2 * N // 3)
+    silent = issues.filter("seq = 2").crossJoin(spark.range(N)).select("source_file", "evidence", "seq")
+    got, most = most_rows(lifecycle.verbatim(silent, texts, "source_file", "text", "evidence"))
+    assert not got and most <= 2 * N
+
+
+def test_repeated(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", links.RUN), ("c", 2 * links.RUN + 1)], "x string, n long")
+    assert {r["x"]: r["count"] for r in links.repeated(rows, "n").groupBy("x").count().collect()} == {"a": 1, "b": links.RUN, "c": 2 * links.RUN + 1}
+
+
 def test_page_for_offset(spark, most_rows):
     pages = spark.createDataFrame([("a", p, n) for p, n in ((1, 10), (1, 3), (2, 0), (3, None), (4, 5))] + [("b", None, 4), (None, 1, 9)], "doc string, page int, n_chars int")
     offsets = spark.createDataFrame([("a", o) for o in (0, 14, 15, 16, 21, 22, None, 0)] + [("b", 4), ("b", 5), (None, 0), ("c", 0)], "doc string, offset int")
