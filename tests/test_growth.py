@@ -87,6 +87,16 @@ def test_verbatim(spark, most_rows):
     assert not got and most <= 2 * N
 
 
+def test_evidence_rows(spark, most_rows):
+    """A row of the result for each pair, made from one pair of different texts."""
+    records = spark.range(3).select(F.col("id"), F.lit("d").alias("doc"), F.lit("s").alias("sheet"), F.lit(2).alias("row_no"))
+    cells = spark.range(N).select(F.lit("d").alias("doc"), F.lit("s").alias("sheet"), F.lit(2).alias("row_no"), F.array(F.lit("甲"), F.lit(" "), F.when(F.col("id") % 2 == 0, "1").otherwise("2")).alias("cells"))
+    got, _ = most_rows(X.evidence_rows(records, cells))
+    assert sorted(map(tuple, got)) == sorted((i, "d", "s", 2, f"甲 | {1 + k % 2}") for i in range(3) for k in range(N))
+    joins = X.evidence_rows(records, cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert joins.index("Generate") < joins.index("Join")  # copies are made after the join
+
+
 def test_repeated(spark):
     rows = spark.createDataFrame([("a", 1), ("b", links.RUN), ("c", 2 * links.RUN + 1)], "x string, n long")
     assert {r["x"]: r["count"] for r in links.repeated(rows, "n").groupBy("x").count().collect()} == {"a": 1, "b": links.RUN, "c": 2 * links.RUN + 1}
