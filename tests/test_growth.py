@@ -112,3 +112,9 @@ def test_page_for_offset(spark, most_rows):
     got, most = most_rows(X.page_for_offset(spark.range(N).select(F.lit("a").alias("doc"), F.col("id").cast("int").alias("offset")), many))
     assert sorted(map(tuple, got)) == [("a", i, i // 2) for i in range(N)]
     assert most <= 2 * N
+
+
+def test_keyword_lines_are_cut_only(spark):
+    line = "License " + "x" * 231 + " tail"
+    rows = spark.createDataFrame([(f"  {line}  \nnone\n{line}\nLicense",)], "text string")
+    assert rows.select(text.keyword_lines("text", ("License",)).alias("k")).first()["k"] == [line[:240], "License"]
