@@ -101,9 +101,12 @@ def price_sums(docs: DataFrame) -> DataFrame:
     docs: doc, text. Amounts are yuan; the first total counts. Texts without a total or with one component say nothing.
     """
     money = lambda amount, unit: F.replace(amount, F.lit(","), F.lit("")).try_cast("double") * F.when(unit == "万元", 10_000.0).otherwise(1.0)
-    found = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(PART_PRICE), F.lit(i)).alias(n) for i, n in enumerate(("clause", "label", "amount", "unit"))])
-    parts = F.transform(F.filter(found, lambda x: ~reduce(lambda a, b: a | b, [F.contains(x["label"], F.lit(w)) for w in NOT_A_PART])), lambda x: F.struct(strip(x["clause"]).alias("clause"), money(x["amount"], x["unit"]).alias("value")))
-    rows = docs.filter(F.col("text").rlike(TOTAL_PRICE)).select("doc", F.array_distinct(parts).alias("parts"), money(F.regexp_extract("text", TOTAL_PRICE, 1), F.regexp_extract("text", TOTAL_PRICE, 2)).alias("total"), strip(F.regexp_extract("text", TOTAL_PRICE, 0)).alias("last"))
+    # each text is matched once: what is found goes through a generator, so that no filter on it is computed from the text again
+    once = lambda rows, **made: rows.select("doc", F.explode(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))).alias("x")).select("doc", "x.*")
+    rows = once(docs.filter(F.col("text").rlike(TOTAL_PRICE)), found=F.regexp_extract_all("text", F.lit(PART_PRICE), F.lit(0)), last=F.regexp_extract("text", TOTAL_PRICE, 0))
+    clauses = F.filter("found", lambda x: ~F.regexp_extract(x, PART_PRICE, 1).rlike("|".join(NOT_A_PART)))
+    parts = F.transform(clauses, lambda x: F.struct(strip(x).alias("clause"), money(F.regexp_extract(x, PART_PRICE, 2), F.regexp_extract(x, PART_PRICE, 3)).alias("value")))
+    rows = once(rows.filter(F.size("found") >= 2), parts=F.array_distinct(parts), total=money(F.regexp_extract("last", TOTAL_PRICE, 1), F.regexp_extract("last", TOTAL_PRICE, 2)), last=strip("last"))
     rows = rows.filter(F.size("parts") >= 2).withColumn("calculated", F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["value"]))
     evidence = F.array_append(F.transform("parts", lambda x: x["clause"]), F.col("last"))
     return rows.filter(~is_close(F.col("calculated"), F.col("total"), 0.01)).select("doc", F.round("calculated", 2).alias("calculated"), "total", evidence.alias("evidence"))

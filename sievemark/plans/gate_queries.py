@@ -72,9 +72,9 @@ SELECT o_orderkey AS doc, calculated, total FROM t WHERE n >= 2 AND abs(calculat
 def chk_10_price_sum(spark, sf):
     """Orders as bids whose text gives each position's price and a total, which is right for every third."""
     price = lambda c: F.round(c, 2).cast("decimal(20,2)").cast("string")
-    clause = F.concat(F.lit("第"), F.monotonically_increasing_id().cast("string"), F.lit("项报价为人民币"), price("l_extendedprice"), F.lit("元"))
-    bids = table(spark, sf, "lineitem").select("l_orderkey", clause.alias("clause"), F.round("l_extendedprice", 2).alias("p"))
-    bids = bids.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("clause")), "；").alias("parts"), F.round(F.sum("p"), 2).alias("sum"))  # an order has a few lines
+    bids = table(spark, sf, "lineitem").select("l_orderkey", F.round("l_extendedprice", 2).alias("p")).groupBy("l_orderkey").agg(F.collect_list("p").alias("prices"), F.round(F.sum("p"), 2).alias("sum"))  # an order has a few lines
+    clauses = F.transform("prices", lambda p, i: F.concat(F.lit("第"), (i + 1).cast("string"), F.lit("项报价为人民币"), price(p), F.lit("元")))
+    bids = bids.select("l_orderkey", F.array_join(clauses, "；").alias("parts"), "sum")
     rows = table(spark, sf, "orders").join(bids, F.col("l_orderkey") == F.col("o_orderkey"))
     total = F.when(F.col("o_orderkey") % 3 == 0, F.col("sum")).otherwise(F.col("o_totalprice"))
     text = F.concat(F.lit("预算报价为人民币1元。\n"), "parts", F.lit("。\n投标总价为人民币"), price(total), F.lit("元。"))

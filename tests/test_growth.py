@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sievemark.operators import links, text
+from sievemark.operators import gate, links, text
 from sievemark.plans import executors as X
 from sievemark.plans import lifecycle
 
@@ -118,3 +118,11 @@ def test_keyword_lines_are_cut_only(spark):
     line = "License " + "x" * 231 + " tail"
     rows = spark.createDataFrame([(f"  {line}  \nnone\n{line}\nLicense",)], "text string")
     assert rows.select(text.keyword_lines("text", ("License",)).alias("k")).first()["k"] == [line[:240], "License"]
+
+
+def test_price_sums_match_once(spark):
+    """A text is matched once for its parts, whatever is then asked of them."""
+    rows = [(1, "甲报价为人民币1,000.50元；乙报价：人民币2万元；乙报价：人民币2万元；预算报价为人民币5元；限价报价为人民币6元。\n投标总价为人民币3万元。"), (2, "甲报价为人民币1元；乙报价为人民币2 元。投标总价：人民币3元"), (3, "甲报价为人民币1元。投标总价为人民币2元"), (4, "甲报价为人民币1元；乙报价为人民币5元"), (5, None)]
+    df = gate.price_sums(spark.createDataFrame(rows, "doc int, text string"))
+    assert [tuple(r) for r in df.collect()] == [(1, 21000.5, 30000.0, ["甲报价为人民币1,000.50元", "乙报价：人民币2万元", "投标总价为人民币3万元"])]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
