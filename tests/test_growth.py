@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sievemark.operators import gate, links, text
+from sievemark.operators import gate, links, quotes, text
 from sievemark.plans import executors as X
 from sievemark.plans import lifecycle
 
@@ -76,6 +76,28 @@ def test_review_of_whole_texts(spark, monkeypatch):
     assert sorted(asked) == ["five", "one two three", "seven", "two"]
 
 
+def test_quotes_of_all_kinds_read_texts_together(spark, most_rows):
+    """Short quotes and such with inner words: texts are read once for the anchors' counts and once for the anchors."""
+    asked = spark.createDataFrame([(1, "q"), (2, "zz"), (3, "a b"), (4, "some q here"), (5, "no q"), (6, "q h")], "qid int, quote string")
+    texts = spark.range(N).select("id", F.when(F.col("id") % 2 == 0, "some q here").otherwise("a b").alias("text"))
+    found = quotes.find_quotes(asked, texts)
+    got, most = most_rows(found)
+    assert sorted(map(tuple, got)) == sorted([(1, i, 5) for i in range(0, N, 2)] + [(4, i, 0) for i in range(0, N, 2)] + [(6, i, 5) for i in range(0, N, 2)] + [(3, i, 0) for i in range(1, N, 2)])
+    assert found._jdf.queryExecution().executedPlan().toString().count("Range (") == 2
+
+
+def test_findings_of_one_quote_are_told_by_it(spark, monkeypatch):
+    """What is sought and what is lost are quotes of files, however many findings give them."""
+    met = []
+    unmet = lifecycle._unmet
+    monkeypatch.setattr(lifecycle, "_unmet", lambda a, h: met.append(a.count()) or unmet(a, h))
+    issues = findings(spark, [(i, ("f", "g", None)[i % 3], str(i), "t", "d", "低", True, ["q", "zz", "q"][: 1 + i % 2]) for i in range(N)])
+    docs = spark.createDataFrame([("f", "some q here"), ("h", "zz")], "source_file string, text string")
+    got = {r["seq"]: r["reason"] for r in lifecycle.review_reasons(issues, docs).collect()}
+    assert got == {i: "unlocated" if i % 3 == 0 and i % 2 else "" for i in range(N)}
+    assert met and max(met) <= 6
+
+
 def test_verbatim(spark, most_rows):
     rows = [(1, "f", ["q"]), (2, "f", ["zz"]), (3, "g", ["q"]), (4, "f", [])]
     issues = spark.createDataFrame(rows, "seq int, source_file string, evidence array<string>")
