@@ -13,7 +13,9 @@ SCHEMA = "rule_id string, category string, item string, owner string, risk_level
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(K.RULES), SCHEMA).withColumn("group_code", F.substring("rule_id", 1, 2))
+    kinds = [c.split() for c in SCHEMA.split(", ")]
+    rows = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(r, kinds, strict=True)]) for r in K.RULES])
+    return spark.range(1, numPartitions=1).select(F.inline(rows)).withColumn("group_code", F.substring("rule_id", 1, 2))
 
 
 def status(bad: Column, any_: Column) -> Column:
@@ -78,10 +80,10 @@ def matrix(spark: SparkSession, executed: DataFrame, issues: DataFrame | None =
     """(rule_id, status) of all rules. Inactive rules are disabled, those not planned not applicable; issues matched to a
     rule (rule_id, requires_human_review) come before executors; a rule without data is never passed.
     """
-    out = catalogue(spark).join(executed.withColumnRenamed("status", "done"), "rule_id", "left")
-    if issues is None:
-        issues = spark.createDataFrame([], "rule_id string, requires_human_review boolean")
-    found = issues.groupBy("rule_id").agg(F.max("requires_human_review").alias("review"))
+    out = catalogue(spark).join(F.broadcast(executed.withColumnRenamed("status", "done")), "rule_id", "left")  # a row for each rule
     plan = F.lit(True) if planned is None else F.col("rule_id").isin(*planned)
-    state = F.when(~F.col("active"), "disabled").when(~plan, "not_applicable").when(F.col("review"), "human_review").when(~F.col("review"), "confirmed_issue").otherwise(F.coalesce("done", F.lit("insufficient_data")))
-    return out.join(found, "rule_id", "left").select("rule_id", "group_code", state.alias("status"))
+    state = F.when(~F.col("active"), "disabled").when(~plan, "not_applicable")
+    if issues is not None:
+        out = out.join(issues.groupBy("rule_id").agg(F.max("requires_human_review").alias("review")), "rule_id", "left")
+        state = state.when(F.col("review"), "human_review").when(~F.col("review"), "confirmed_issue")
+    return out.select("rule_id", "group_code", state.otherwise(F.coalesce("done", F.lit("insufficient_data"))).alias("status"))

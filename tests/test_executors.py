@@ -1,6 +1,8 @@
 """The filled rule matrix, and executors on relations without rows."""
 
 from sievemark.plans import check_queries as Q
+from pyspark.sql import functions as F
+
 from sievemark.plans import executors as X
 from sievemark.plans import rules
 from sievemark.plans.fixture_queries import frame
@@ -22,6 +24,28 @@ def test_matrix_from_executors(spark):
     assert len(matrix) == 41 and matrix["P1-01"] == "passed" and matrix["P3-15"] == matrix["P3-16"] == "disabled"
 
 
+def test_rules_ask_a_relation_together(spark):
+    """Documents are read for what all rules ask of them, for their dates, and for their kinds; other relations once or twice."""
+    docs = spark.range(6).select(F.col("id").cast("int").alias("seq"), F.concat(F.lit("d"), F.col("id")).alias("doc"), F.lit(X.REPORT).alias("subtype"), F.lit("开标时间：2026年4月2日9:30").alias("text"))
+    openings = spark.range(6, 9).select(F.concat(F.lit("d"), F.col("id")).alias("doc"), F.lit("甲公司").alias("bidder"), F.lit(1.0).alias("price"))
+    done = X.execute(relations(spark, empty=True) | {"docs": docs, "openings": openings})
+    got = {r["rule_id"]: r["status"] for r in done.collect()}
+    assert got["P2-08"] == "passed" and got["P1-11"] == got["P1-07"] == "human_review" and got["P2-02"] == got["P2-03"] == "insufficient_data"
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 6") <= 3 and plan.count("Range (6, 9") <= 2
+
+
+def test_equal_values_are_normalised_once(spark):
+    """What Python normalises are distinct values: it comes after their grouping."""
+    names = spark.createDataFrame([("a", "项目名称：ＡＢ工程第3包"), ("b", "AB工程第3包"), ("c", "1. 总则"), ("d", " "), ("e", None)], "source string, value string")
+    ids = spark.createDataFrame([("a", "ZC－1", ""), ("b", "zc-1", ""), ("b", "zc-1", ""), ("c", "　", ""), ("d", None, "")], "source string, value string, raw_text string")
+    for df in (X.same_names(names), X.same_ids(ids)):
+        assert df.first()["status"] == "passed"
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.rindex("ArrowEvalPython") < plan.rindex("Aggregate")  # the plan begins with its end
+    assert X.same_ids(ids.filter("source IN ('a', 'c')")).first()["status"] == "insufficient_data"
+
+
 def test_rules_without_data(spark):
     assert {r["status"] for r in X.execute(relations(spark, empty=True)).collect()} == {"insufficient_data"}
 
