@@ -8,7 +8,12 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +24,10 @@ from ..storage import written
 WORD = r"[a-z0-9_.-]{2,}"
 SPACE = re.compile(r"\s+")
 CHUNK = ("chunk_id", "content", "section", "confidence", "requires_human_review")
+#: An index numbers its chunks; a list of a term's chunks is of one run of so many numbers, in which two bytes tell them apart.
+RUN = 1 << 15
+#: Terms of chunks, repeated ones too, that are grouped at once.
+GROUPED = 4_000_000
 
 
 def query_terms(query: str) -> list[str]:
@@ -89,8 +98,36 @@ def search(chunks: DataFrame, query: str, limit: int = 8, *, where: Column | Non
     return scored(met, wanted, met.count(), counts, limit)
 
 
+def _lists(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (term, run, places, task) of chunks (n, task, terms): which chunks of a run have a term."""
+    table = pa.Table.from_batches(held).combine_chunks()
+    n, task, each = (table[c].combine_chunks() for c in ("n", "task", "terms"))
+    row, term, task = np.asarray(pc.list_parent_indices(each)), each.flatten().dictionary_encode(), task.dictionary_encode(null_encoding="encode")
+    n, of_task = n.to_numpy()[row], np.asarray(task.indices)[row]
+    runs, of_run = np.unique(n // RUN, return_inverse=True)
+    key = (np.asarray(term.indices).astype(np.int64) * len(task.dictionary) + of_task) * len(runs) + of_run
+    order = np.argsort(key, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(key[order], prepend=-1)), len(key))
+    first = order[ends[:-1]]
+    places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((n[order] % RUN).astype(np.int16)))
+    out = [term.dictionary.take(term.indices.take(pa.array(first))), pa.array(runs[of_run[first]], pa.int64()), places, task.dictionary.take(pa.array(of_task[first]))]
+    yield from pa.Table.from_arrays(out, ["term", "run", "places", "task"]).to_batches(10_000)
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch["terms"].flatten())
+        if size >= GROUPED:
+            yield from _lists(held)
+            held, size = [], 0
+    if size:
+        yield from _lists(held)
+
+
 class TermIndex:
-    """A written index of chunks: a table of (task, term, chunk_id) and one of the chunks themselves.
+    """A written index of chunks: a table of (term, run, places, task), lists of chunks, and one of the numbered chunks themselves.
 
     Both are partitioned by task, and the terms are bucketed, so that writing a task again replaces that task alone and
     a search reads the files of its terms and its task.
@@ -109,17 +146,22 @@ class TermIndex:
             finally:
                 self.spark.conf.set(mode, before)
             return
-        out = df.write.partitionBy("task").format("parquet").option("path", f"{self.path}/{table}")
+        out = df.write.partitionBy("task").format("parquet").option("path", f"{self.path}/{table}").option("compression", "zstd")
         (out.bucketBy(self.buckets, bucketed).sortBy(bucketed) if bucketed else out).saveAsTable(table)
 
     def write(self, chunks: DataFrame) -> None:
         """Writes the tasks that ``chunks`` (task and the columns of CHUNK, others along) has; other tasks stay as they are.
 
-        A row is made for each distinct term of a chunk, where the chunk is read; rows shuffle once, to their bucket.
+        Chunks are numbered as they are written. What a worker has read of them gives a list for each term; lists shuffle
+        once, to their bucket.
         """
-        posted = chunks.select("task", "chunk_id", F.explode(terms("content")).alias("term")).select("chunk_id", "term", "task")
-        self._put(posted.repartition(self.buckets, "term"), self.terms, "term")
-        self._put(chunks.select(*[c for c in chunks.columns if c != "task"], "task"), self.chunks, None)
+        mark = uuid.uuid4().hex
+        self._put(chunks.select(*[c for c in chunks.columns if c != "task"], F.monotonically_increasing_id().alias("n"), F.lit(mark).alias("mark"), "task"), self.chunks, None)
+        new = self.spark.table(self.chunks).filter(F.col("mark") == mark)
+        posted = new.select("n", "task", terms("content").alias("terms")).mapInArrow(_posted, f"term string, run long, places array<short>, task {new.schema['task'].dataType.simpleString()}")
+        # a task whose chunks have no term has a list too: an empty one, which replaces those that it had before
+        none = new.select("task").distinct().select(F.lit("").alias("term"), F.lit(0).cast("long").alias("run"), F.array().cast("array<short>").alias("places"), "task")
+        self._put(posted.unionByName(none).repartition(self.buckets, "term"), self.terms, "term")
 
     def drop(self) -> None:
         for table in (self.terms, self.chunks):
@@ -130,7 +172,7 @@ class TermIndex:
         return self.spark.table(self.terms).filter((F.col("task") == task) & F.col("term").isin(*wanted))
 
     def search(self, task: str, query: str, limit: int = 8, *, where: Column | None = None) -> DataFrame:
-        """As ``search`` over the task's chunks; of their texts only those of chunks that have a term are read."""
+        """As ``search`` over the task's chunks; their texts are asked for the whole query where they are read."""
         wanted = query_terms(query)
         chunks = self.spark.table(self.chunks).filter(F.col("task") == task)
         if where is not None:
@@ -138,8 +180,10 @@ class TermIndex:
         if not query.strip() or not wanted:
             return chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
         place = F.create_map(*[F.lit(x) for i, t in enumerate(wanted) for x in (t, i)])
-        hits = self.postings(task, wanted).groupBy("chunk_id").agg(F.array_sort(F.collect_list(place[F.col("term")])).alias("hits"))  # at most a query's terms
+        have = self.postings(task, wanted).select(place[F.col("term")].alias("i"), "run", F.explode("places").alias("place")).select((F.col("run") * RUN + F.col("place")).alias("n"), "i")
+        hits = have.groupBy("n").agg(F.array_sort(F.collect_list("i")).alias("hits"))  # at most a query's terms
         whole, titled = _flags(query)
-        met = written(chunks.join(hits, "chunk_id").select("chunk_id", "hits", whole.alias("whole"), titled.alias("titled"), "confidence", "requires_human_review"), "hits")
+        asked = chunks.select("n", "chunk_id", whole.alias("whole"), titled.alias("titled"), "confidence", "requires_human_review")
+        met = written(asked.join(hits, "n").drop("n"), "hits")
         counts = dict(map(tuple, met.select(F.explode("hits").alias("i")).groupBy("i").count().collect()))
         return scored(met, wanted, chunks.count(), counts, limit)
