@@ -75,8 +75,8 @@ def scored(met: DataFrame, wanted: list[str], total: int, counts: dict[int, int]
 
 def _flags(query: str) -> tuple[Column, Column]:
     """Whether a chunk has the whole query, and whether its section's name has."""
-    whole = F.lit(SPACE.sub("", query.lower()))
-    return F.contains(compact(F.lower("content")), whole), F.contains(compact(F.lower(F.coalesce("section", F.lit("")))), whole)
+    whole = r"(?U)" + r"\s*".join(map(re.escape, SPACE.sub("", query.lower())))  # with any white space, which needn't be taken out first
+    return F.lower("content").rlike(whole), F.lower(F.coalesce("section", F.lit(""))).rlike(whole)
 
 
 def search(chunks: DataFrame, query: str, limit: int = 8, *, where: Column | None = None) -> DataFrame:
